@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, media, urls, warc
+from tessera.llm import bpe, chat, decontam, media, quality, urls, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op5_warc": warc.query,
         "op6_urls": urls.query,
         "op7_bpe": bpe.query,
+        "op8_decontamination": decontam.query,
+        "op10_quality": quality.query,
     }
 
 

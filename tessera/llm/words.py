@@ -68,12 +68,12 @@ class Words:
     """The words of a run of texts.
 
     first: its first row in the batch; data: bytes of all its texts; hashes: a hash
-    of each word; begin, end: its bytes in data; rows: where each text's words begin,
-    and their number at the end.
+    of each word; begin, end: its bytes in data; rows and bytes_at: where each text's
+    words and bytes begin, with their number at the end.
     """
 
     def __init__(self, first: int, data: np.ndarray, at: np.ndarray, kind: np.ndarray, lower: bool) -> None:
-        self.first, self.data = first, data
+        self.first, self.data, self.bytes_at = first, data, at
         n = len(data)
         if lower:
             data = _LOWER[data]
@@ -89,7 +89,15 @@ class Words:
         up, down = _BYTES.get(n + 1)
         sums = np.zeros(n + 1, U64)
         np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=sums[1:])
-        self.hashes = mix((sums[self.end] - sums[self.begin]) * down[self.begin])
+        self._sums, self._down = sums, down
+        self.hashes = self._hash(self.end)
+
+    def _hash(self, end: np.ndarray) -> np.ndarray:
+        return mix((self._sums[end] - self._sums[self.begin]) * self._down[self.begin])
+
+    def prefixes(self, n: int) -> np.ndarray:
+        """A hash of the first n bytes of each word; words of fewer bytes count whole."""
+        return self._hash(np.minimum(self.begin + n, self.end))
 
     def __len__(self) -> int:
         return len(self.rows) - 1
