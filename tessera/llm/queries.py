@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontam, media, quality, urls, warc
+from tessera.llm import bpe, chat, decontam, media, neardup, quality, repeats, urls, warc
 
 
 def queries() -> dict:
     return {
         "op1_media": media.query,
+        "op2_neardup": neardup.query,
+        "op3_repeats": repeats.query,
         "op4_chat": chat.query,
         "op5_warc": warc.query,
         "op6_urls": urls.query,
