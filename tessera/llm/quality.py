@@ -29,7 +29,7 @@ from tessera.llm.shared import read, stash
 from tessera.llm.words import ALNUM, U64, Words, runs
 
 #: Labelled rows that the models are fitted on, those of the smallest hash of doc_id.
-FIT_ROWS = 8000
+FIT_ROWS = 6000
 #: Marker words of a label at most.
 MARKERS = 512
 #: Weight of the site against the document, and bounds of the weight of a prior in documents.
@@ -103,8 +103,8 @@ def fit(texts: list[str], labels: np.ndarray) -> Model | None:
     if y.all() or not y.any():
         return None
     rows, tokens, shapes, first = [], [], [], 0
-    parts = list(runs(pa.array(texts, pa.large_string()), ALNUM, lower=True))
-    for words in parts:
+    column = pa.array(texts, pa.large_string())
+    for words in runs(column, ALNUM, lower=True):  # twice over the texts, so that no run stays in memory
         t, r = _tokens(words)
         order = np.lexsort((t, r))
         t, r = t[order], r[order]
@@ -127,7 +127,8 @@ def fit(texts: list[str], labels: np.ndarray) -> Model | None:
     table[markers >> U64(64 - _BITS)] = True
     mean, scale = shapes.mean(0), shapes.std(0) + 1e-3
     model = Model(markers, np.zeros(len(markers) + shapes.shape[1] + 1), mean, scale, table)
-    x = np.concatenate([_features(words, model) for words in parts])
+    del tokens, rows, seen, back
+    x = np.concatenate([_features(words, model) for words in runs(column, ALNUM, lower=True)])
     ridge = np.full(x.shape[1], 0.1)
     ridge[-1] = 1e-6
     w = model.weights
