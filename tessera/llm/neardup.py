@@ -286,5 +286,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def distinct_documents(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of df, with all their columns, whose document stands for its group. Of rows with equal id and text one stays."""
+    gone, _ = stash(near_duplicates(df, key, text, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
+    rest = df.join(gone, df[key].cast("long") == F.col("_gone"), "left_anti")
+    many, _ = stash(df.groupBy(F.col(key).alias("_many")).count().where("count > 1").select("_many"))
+    if many.isEmpty():
+        return rest
+    same = df[key].eqNullSafe(F.col("_many"))
+    return rest.join(many, same, "left_anti").union(rest.join(many, same, "left_semi").dropDuplicates([key, text]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), percent=85)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontam, media, neardup, quality, repeats, urls, warc
+from tessera.llm import bpe, chat, decontam, langid, media, neardup, quality, repeats, urls, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_urls": urls.query,
         "op7_bpe": bpe.query,
         "op8_decontamination": decontam.query,
+        "op9_language": langid.query,
         "op10_quality": quality.query,
     }
 
