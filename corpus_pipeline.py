@@ -1,8 +1,58 @@
-"""The corpus pipeline: stages over `documents`."""
+"""The corpus pipeline: stages over `documents`, each of which calls one operator.
 
-STAGES = []
+Every stage takes what the stage before it kept, as a table, and all but the last give
+back the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, decontam, neardup, quality, repeats
+from tessera.llm.shared import read, stash
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the quality classifier rejects: documents of low quality and toxic ones."""
+    return quality.good(docs, read(spark, sf_dir, "labels"))
+
+
+def keep_first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, at a similarity of 0.8, the document of the smallest id stays, once."""
+    return neardup.distinct_documents(docs, percent=80)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that a document of smaller id has too out of the texts; documents stay, with n_chars of the new text."""
+    out = repeats.without_repeats(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, the ids and digests of ids and decoded text."""
+    return bpe.encoded(docs, bpe.default_path()).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("near-dedup", keep_first_of_near_duplicates),
+    ("substring dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("encoding", encode),
+]
+
+#: The stages have no counterpart in SQL; tests/llm holds run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs, _ = stash(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
