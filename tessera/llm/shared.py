@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -13,7 +14,19 @@ from pyspark.sql import functions as F
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def on_path(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver did, whatever their working folder is."""
+    env = spark.sparkContext.environment
+    known = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if _ROOT not in known:
+        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *known])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    on_path(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -66,4 +79,5 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 def text_of(df: DataFrame, key: str, text: str) -> DataFrame:
     """The two columns that an operator needs, under names of its own, so that extra columns cannot clash."""
+    on_path(df.sparkSession)
     return df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
