@@ -114,7 +114,7 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, wante
 
 
 def sketched(df: DataFrame) -> DataFrame:
-    """From doc_id and text: doc_id, size and hash of the set, sketch and bands."""
+    """From doc_id and text: doc_id, size and hash of the set, and sketch."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +124,6 @@ def sketched(df: DataFrame) -> DataFrame:
                 for i, found in enumerate(shingle_sets(words)):
                     least[i], size[i], total[i], other[i] = minima(found), len(found), found.sum(), np.bitwise_xor.reduce(mix(found)) if len(found) else 0
                 made = registers(least)
-                numbers = bands(made)
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(words.first, len(words)),
@@ -132,12 +131,24 @@ def sketched(df: DataFrame) -> DataFrame:
                         pa.array(mix(total).view(np.int64)),
                         pa.array(other.view(np.int64)),
                         pa.array([x.tobytes() for x in made], pa.binary()),
-                        pa.ListArray.from_arrays(np.arange(0, numbers.size + 1, BANDS, dtype=np.int32), pa.array(numbers.ravel().view(np.int64))),
                     ],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "bands"],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
                 )
 
-    return df.mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary, bands array<long>")
+    return df.mapInArrow(sketch, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary")
+
+
+def banded(sketches: DataFrame) -> DataFrame:
+    """doc_id and bucket, a row for each band."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                numbers = bands(_matrix(batch.column(1)))
+                yield pa.record_batch([batch.column(0).take(pa.array(np.repeat(np.arange(len(numbers)), BANDS))), pa.array(numbers.ravel().view(np.int64))], ["doc_id", "bucket"])
+
+    return sketches.select("doc_id", "sketch").mapInArrow(deal, "doc_id long, bucket long")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -148,7 +159,7 @@ def estimated(pairs: DataFrame, sketches: DataFrame, wanted: float) -> DataFrame
     """The pairs a, b whose sketches leave the wanted similarity likely."""
     left = sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("s_a"))
     right = sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("s_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").where(F.least("n_a", "n_b") >= F.lit(wanted) * F.greatest("n_a", "n_b") - 1e-6)
+    joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b").where(F.least("n_a", "n_b") >= F.lit(wanted) * F.greatest("n_a", "n_b") - 1e-6)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -164,8 +175,8 @@ def estimated(pairs: DataFrame, sketches: DataFrame, wanted: float) -> DataFrame
 def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets of shingles are that similar. Of docs, only the texts of pairs are shuffled on."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts, texts_at = stash(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t_b")), "b").select("a", "b", "t_a", "t_b")
+    texts, texts_at = stash(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("t_a")).hint("merge"), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t_b")).hint("merge"), "b").select("a", "b", "t_a", "t_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -192,7 +203,7 @@ def across(members: DataFrame, sketches: DataFrame, wanted: float) -> DataFrame:
     """
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
-        members.join(sketches.select("doc_id", "n_shingles", "sketch"), "doc_id")
+        members.join(sketches.select("doc_id", "n_shingles", "sketch").hint("merge"), "doc_id")
         .withColumn("mine", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "component", "n_shingles", "sketch")
@@ -254,6 +265,10 @@ def _pairs(table: pa.Table, cuts: list[int], wanted: float) -> Iterator[pa.Recor
         yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
 
+# Joins of two sides that both grow with the data ask for a sort-merge join, so that the
+# plan is the same for small and large inputs and nothing of unknown size is broadcast.
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row per row of df: documents whose sets of 5-word shingles have `percent` of their union in common are linked."""
     spark, wanted = df.sparkSession, percent / 100
@@ -261,8 +276,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     sketches, sketches_at = stash(sketched(docs))
     same = ["set_a", "set_b", "n_shingles"]
     classes = sketches.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    lone = sketches.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    entries = lone.select("doc_id", F.explode("bands").alias("bucket"))
+    lone = sketches.join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    entries = banded(lone)
     shared = entries.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").drop("most")
     members, members_at = stash(entries.join(shared, "bucket"))
     # First every document with the least one of each of its buckets.
