@@ -49,3 +49,23 @@ def boxes_or_whole(boxes: Column, width: Column, height: Column) -> Column:
     whole = F.array(F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), width.cast("long").alias("w"), height.cast("long").alias("h")))
     bad = F.coalesce(F.size(boxes), F.lit(0)) < 1
     return F.when(bad | F.exists(boxes, lambda b: (b["w"] <= 0) | (b["h"] <= 0)), whole).otherwise(boxes)
+
+
+def cells_to_pixels(cells: Column, cell: int, border: int = 0) -> Column:
+    """A size in cells as one in pixels, borders included."""
+    return cells * cell + 2 * border
+
+
+def pixels_to_cells(pixels: Column, cell: int, border: int = 0, nearest: bool = False) -> Column:
+    """The other way: whole cells, or the nearest number of them."""
+    inner = pixels - 2 * border
+    return F.floor(inner / cell + 0.5).cast("int") if nearest else F.floor(inner / cell).cast("int")
+
+
+def cell_to_pixel(place: Column, cell: int, border: int = 0) -> Column:
+    """A coordinate in cells as one in pixels."""
+    return place * cell + border
+
+
+def aspect_ratio(w: Column, h: Column) -> Column:
+    return h.cast("double") / w
