@@ -68,7 +68,7 @@ def sampled(df: DataFrame, window: int, prefix: int) -> DataFrame:
 
 
 def extended(df: DataFrame, window: int, prefix: int) -> DataFrame:
-    """From doc_id, text and its repeated prefixes: node (two hashes of a whole window), doc_id and first word."""
+    """From doc_id, text and its repeated prefixes: node (two hashes of a whole window) and doc_id, once for each document."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,35 +79,50 @@ def extended(df: DataFrame, window: int, prefix: int) -> DataFrame:
                 at, row, least = _windows(words, window, prefix)
                 keep = np.isin(_tied(least, row), _tied(wanted, owner))
                 at, row = at[keep], row[keep]
-                docs = batch.column(0).slice(words.first, len(words)).take(pa.array(row))
-                check = grams(mix(words.hashes ^ _OTHER), window)[at] >> U64(32)
-                first = at - words.rows[row]
-                yield pa.record_batch([pa.array(grams(words.hashes, window)[at].view(np.int64)), pa.array(check.astype(np.uint32).view(np.int32)), docs, pa.array(first.astype(np.int32))], ["node", "check", "doc_id", "first"])
+                node = grams(words.hashes, window)[at]
+                _, one = np.unique(_tied(node, row), return_index=True)
+                docs = batch.column(0).slice(words.first, len(words)).take(pa.array(row[one]))
+                check = grams(mix(words.hashes ^ _OTHER), window)[at[one]] >> U64(32)
+                yield pa.record_batch([pa.array(node[one].view(np.int64)), pa.array(check.astype(np.uint32).view(np.int32)), docs], ["node", "check", "doc_id"])
 
-    return df.mapInArrow(extend, "node long, check int, doc_id long, first int")
+    return df.mapInArrow(extend, "node long, check int, doc_id long")
 
 
 def _tied(prefix: np.ndarray, row: np.ndarray) -> np.ndarray:
     return mix(prefix + row.astype(U64) * _OTHER)
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id of documents whose whole text a smaller document has too; ids that several rows have are left out."""
+    lean = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("a"), F.hash("text").alias("b"), F.octet_length("text").alias("n"))
+    least = lean.groupBy("a", "b", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    once = lean.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), *(F.min(c).alias(c) for c in ("a", "b", "n"))).where("rows = 1")
+    return once.join(least, ["a", "b", "n"]).where("least < doc_id").select("doc_id")
+
+
 def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, prefix: int = PREFIX) -> tuple[DataFrame, str]:
-    """doc_id and firsts: the first words of its windows that start in a smaller document too; as a table, with its path."""
+    """doc_id and nodes: those of its windows that start in a smaller document too; as a table, with its path.
+
+    A copy of a smaller document has null nodes, for all of its windows do; what else
+    it shares it shares with the other one, so its windows go no further.
+    """
     docs = text_of(df, key, text)
     spark = df.sparkSession
+    whole, whole_at = stash(copies(docs))
     suffixes = sampled(docs.where("doc_id IS NOT NULL"), window, prefix)
     shared = suffixes.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("prefix")
-    kept, kept_at = stash(suffixes.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set("prefix").alias("prefixes")))
-    nodes = extended(docs.join(kept, "doc_id").select("doc_id", "text", "prefixes"), window, prefix)
+    kept, kept_at = stash(suffixes.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set("prefix").alias("prefixes")).join(whole, "doc_id", "left_anti"))
+    nodes, nodes_at = stash(extended(docs.join(kept, "doc_id").select("doc_id", "text", "prefixes"), window, prefix))
     least = nodes.groupBy("node", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     later = nodes.join(least, ["node", "check"]).where("least < doc_id")
-    out = stash(later.groupBy("doc_id").agg(F.collect_set("first").alias("firsts")))
-    drop(spark, kept_at)
+    found = later.groupBy("doc_id").agg(F.collect_list("node").alias("nodes"))
+    out = stash(found.unionByName(whole.withColumn("nodes", F.lit(None).cast("array<bigint>"))))
+    drop(spark, kept_at, nodes_at, whole_at)
     return out
 
 
-def cut(df: DataFrame, firsts: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, always: bool = False) -> DataFrame:
-    """df with its text without the covered words, and n_words and n_removed (as the last columns).
+def cut(df: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, always: bool = False) -> DataFrame:
+    """df with its text without the words of windows that repeated() found, and n_words and n_removed (as the last columns).
 
     Kept words are joined by one space; a text that loses none stays as it is, unless always.
     """
@@ -116,41 +131,52 @@ def cut(df: DataFrame, firsts: DataFrame, key: str = "doc_id", text: str = "text
     # Columns go by place under names of their own, so that those of df may have any names.
     own = [f"c{i}" for i in range(len(names))]
     rows = df.toDF(*own).withColumn(own[at], F.col(own[at]).cast("string"))
-    known = firsts.select(F.col("doc_id").alias("_doc"), F.col("firsts").alias("_firsts"))
-    joined = rows.join(known, rows[own[names.index(key)]].cast("long") == F.col("_doc"), "left").select(*own, "_firsts")
+    known = found.select(F.col("doc_id").alias("_doc"), F.col("nodes").alias("_nodes"), F.col("nodes").isNull().alias("_whole"))
+    joined = rows.join(known, rows[own[names.index(key)]].cast("long") == F.col("_doc"), "left").select(*own, "_nodes", "_whole")
     schema = T.StructType([*rows.schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts, removed = [], [], []
-            for old, begins in zip(batch.column(at).to_pylist(), batch.column(len(names)), strict=True):
-                words = (old or "").encode().split()
-                gone = np.zeros(len(words) + 1, np.int64)
-                if begins.is_valid:
-                    begin = begins.values.to_numpy(zero_copy_only=False)
-                    np.add.at(gone, begin, 1)
-                    np.add.at(gone, begin + window, -1)
-                stays = np.cumsum(gone[:-1]) == 0
-                n = len(words) - int(stays.sum())
-                counts.append(len(words))
-                removed.append(n)
-                if n:
-                    words = [w for w, s in zip(words, stays.tolist(), strict=True) if s]
-                texts.append(b" ".join(words).decode() if n or always else old)
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.record_batch([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], schema.fieldNames())
+            for words in runs(batch.column(at), NOT_SPACE):
+                part = batch.slice(words.first, len(words))
+                gone = _covered(words, part.column(len(names)), part.column(len(names) + 1), window)
+                n_words = np.diff(words.rows)
+                removed = np.bincount(np.repeat(np.arange(len(words)), n_words), gone, minlength=len(words)).astype(np.int64)
+                texts = []
+                for old, n, first, last in zip(part.column(at).to_pylist(), removed.tolist(), words.rows[:-1].tolist(), words.rows[1:].tolist(), strict=True):
+                    if n:
+                        texts.append(b" ".join([w for w, g in zip(old.encode().split(), gone[first:last].tolist(), strict=True) if not g]).decode())
+                    else:
+                        texts.append(b" ".join((old or "").encode().split()).decode() if always else old)
+                columns = [pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(len(names))]
+                yield pa.record_batch([*columns, pa.array(n_words.astype(np.int64)), pa.array(removed)], schema.fieldNames())
 
     return joined.mapInArrow(remove, schema).toDF(*names, "n_words", "n_removed")
 
 
+def _covered(words: Words, lists: pa.Array, whole: pa.Array, window: int) -> np.ndarray:
+    """Which words are in a window that goes."""
+    total = len(words.hashes) - window + 1
+    gone = np.zeros(len(words.hashes) + 1, np.int64)
+    if total > 0:
+        begins = np.flatnonzero(words.left()[:total] >= window)
+        row = np.repeat(np.arange(len(words)), np.diff(words.rows))[begins]
+        wanted = lists.flatten().to_numpy(zero_copy_only=False).view(U64)
+        owner = np.repeat(np.arange(len(words)), lists.fill_null([]).value_lengths().to_numpy(zero_copy_only=False))
+        hit = np.isin(_tied(grams(words.hashes, window)[begins], row), _tied(wanted, owner)) | whole.fill_null(False).to_numpy(zero_copy_only=False)[row]
+        gone[begins[hit]] += 1
+        np.add.at(gone, begins[hit] + window, -1)
+    return np.cumsum(gone[:-1]) > 0
+
+
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """df with all its columns and rows, its text without repeated passages."""
-    firsts, _ = repeated(df, key, text, window)
-    out = cut(df, firsts, key, text, window)
+    found, _ = repeated(df, key, text, window)
+    out = cut(df, found, key, text, window)
     return out.toDF(*df.columns, "_n_words", "_n_removed").drop("_n_words", "_n_removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = text_of(read(spark, sf_dir, "documents"), "doc_id", "text")
-    firsts, _ = repeated(docs)
-    return cut(docs, firsts, always=True).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    found, _ = repeated(docs)
+    return cut(docs, found, always=True).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

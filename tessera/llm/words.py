@@ -15,7 +15,7 @@ U64 = np.uint64
 #: Odd multipliers; any odd number would do.
 BASE, STEP = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 #: Texts are worked on in runs of about so many bytes, which bounds the arrays.
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 
 def _inverse(x: int) -> int:
@@ -31,7 +31,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = max(n, 1 << 16, self.n * 2)
+            self.n = n + (n >> 3) + (1 << 16)
             ones = np.full(self.n, self.base, U64)
             ones[0] = 1
             self.up = np.multiply.accumulate(ones)
