@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.shared import read, text_of
 
 #: Distinct words of one generation that a Python worker keeps between runs of texts.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 RUN_CHARS = 3 << 20
 
 
