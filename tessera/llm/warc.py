@@ -49,8 +49,9 @@ def plan_revisits(df: DataFrame, key: str = "page_id", url: str = "url", html: s
     pages = df.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), F.encode(F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload"))
     shared = pages.groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("last").isNotNull())
+    shared, _ = stash(shared)  # a table of its own, so that Spark may split a hot payload's side of the join
     revisits = (F.octet_length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("last"))
-    return pages.join(shared, "digest", "left").select("page_id", "url", F.when(F.col("last").isNotNull() & revisits, F.col("last")).alias("first"), "payload")
+    return pages.join(shared.hint("merge"), "digest", "left").select("page_id", "url", F.when(F.col("last").isNotNull() & revisits, F.col("last")).alias("first"), "payload")
 
 
 def _record(kind: str, page: int | None, url: str | None, first: int | None, payload: bytes) -> bytes:
