@@ -12,8 +12,8 @@ a prefix is made longer only where the shorter one repeats:
 
 Groups are never collected. A node needs the least doc_id below it, which is summed up
 before the shuffle, and goes back to its suffixes by a join whose large side Spark may
-split; so a passage that a third of all documents share is spread over tasks. Between
-the steps, tables of suffixes that repeat are written to the shared folder.
+split, as the sums are a table of their own by then; so a passage that a third of all
+documents share is spread over tasks. Tables between the steps are in the shared folder.
 
 Defined results: a null or empty text has no words; texts of fewer words than a window
 lose none; windows of a document with a null doc_id count for nothing and stay; a
@@ -97,7 +97,8 @@ def copies(docs: DataFrame) -> DataFrame:
     lean = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("a"), F.hash("text").alias("b"), F.octet_length("text").alias("n"))
     least = lean.groupBy("a", "b", "n").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     once = lean.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), *(F.min(c).alias(c) for c in ("a", "b", "n"))).where("rows = 1")
-    return once.join(least, ["a", "b", "n"]).where("least < doc_id").select("doc_id")
+    least, _ = stash(least)
+    return once.join(least.hint("merge"), ["a", "b", "n"]).where("least < doc_id").select("doc_id")
 
 
 def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, prefix: int = PREFIX) -> tuple[DataFrame, str]:
@@ -111,13 +112,14 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text", window: int
     whole, whole_at = stash(copies(docs))
     suffixes = sampled(docs.where("doc_id IS NOT NULL"), window, prefix)
     shared = suffixes.groupBy("prefix").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("prefix")
-    kept, kept_at = stash(suffixes.join(shared, "prefix").groupBy("doc_id").agg(F.collect_set("prefix").alias("prefixes")).join(whole, "doc_id", "left_anti"))
+    shared, shared_at = stash(shared)
+    kept, kept_at = stash(suffixes.join(shared.hint("merge"), "prefix").groupBy("doc_id").agg(F.collect_set("prefix").alias("prefixes")).join(whole, "doc_id", "left_anti"))
     nodes, nodes_at = stash(extended(docs.join(kept, "doc_id").select("doc_id", "text", "prefixes"), window, prefix))
-    least = nodes.groupBy("node", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    later = nodes.join(least, ["node", "check"]).where("least < doc_id")
+    least, least_at = stash(nodes.groupBy("node", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
+    later = nodes.join(least.hint("merge"), ["node", "check"]).where("least < doc_id")
     found = later.groupBy("doc_id").agg(F.collect_list("node").alias("nodes"))
     out = stash(found.unionByName(whole.withColumn("nodes", F.lit(None).cast("array<bigint>"))))
-    drop(spark, kept_at, nodes_at, whole_at)
+    drop(spark, shared_at, kept_at, nodes_at, least_at, whole_at)
     return out
 
 
