@@ -275,11 +275,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     docs = text_of(df, key, text)
     sketches, sketches_at = stash(sketched(docs))
     same = ["set_a", "set_b", "n_shingles"]
-    classes = sketches.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    # A table of its own: Spark splits a hot class only where both sides of the join come from a plain exchange.
+    classes, _ = stash(sketches.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")))
     lone = sketches.join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     entries = banded(lone)
     shared = entries.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").drop("most")
-    members, members_at = stash(entries.join(shared, "bucket"))
+    shared, shared_at = stash(shared)
+    members, members_at = stash(entries.join(shared.hint("merge"), "bucket"))
+    drop(spark, shared_at)
     # First every document with the least one of each of its buckets.
     stars = members.where("least < doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     first, first_at = stash(estimated(stars, sketches, wanted))
@@ -295,7 +298,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
         if not more.isEmpty():
             joined, joined_at = stash(components(links.union(more)))
     drop(spark, second_at)
-    least = sketches.select("doc_id", *same).join(classes, same, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    least = sketches.select("doc_id", *same).join(classes.hint("merge"), same, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     out = least.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
