@@ -142,11 +142,12 @@ def identify(pages: DataFrame, model: TextModel, key: str = "page_id", url: str
         .withColumn("by_domain", drawn("domain_sum", "domain_n", F.col("by_suffix")))
         .select("suffix", "domain", "host", "host_sum", "host_n", "by_domain")
     )
+    sites, _ = stash(sites)  # tables of their own, so that Spark may split a hot host's pages
     # How likely each language's pages declare what this one does.
     said = lean.where("declared <> ''").groupBy("declared").agg(*sums("soft", "said_sum"))
     all_said = [float(x or 0) for x in (total["s"] or [0.0] * k)]
     likely = F.array(*(F.log((F.col("said_sum")[i] + F.when(F.col("declared") == lang, DECLARED).otherwise(DECLARED / 100)) / (all_said[i] + DECLARED)) for i, lang in enumerate(model.langs)))
-    said = said.select("declared", likely.alias("markup"))
+    said, _ = stash(said.select("declared", likely.alias("markup")))
     joined = lean.join(sites, ["suffix", "domain", "host"]).join(said, "declared", "left")
     rest = F.transform(F.arrays_zip(F.col("host_sum").alias("s"), F.col("soft").alias("o"), F.col("by_domain").alias("d")), lambda z: (z["s"] - z["o"] + PRIOR * z["d"]) / (F.col("host_n") - 1 + PRIOR))
     logs = F.transform(F.arrays_zip(F.col("text").alias("t"), rest.alias("p"), F.coalesce("markup", F.array_repeat(F.lit(0.0), k)).alias("m")), lambda z: z["t"] + F.log(F.greatest(z["p"], F.lit(1e-12))) + z["m"])
