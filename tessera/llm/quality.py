@@ -196,7 +196,8 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     for k in LABELS:
         by_host = (F.col(f"{k}_host_sum") + weight[k] * rate[k]) / (F.col(f"{k}_host_n") + weight[k])
         sites = sites.withColumn(f"{k}_site", (F.col(f"{k}_sum") + weight[k] * by_host) / (F.col(f"{k}_n") + weight[k]))
-    out = judged.join(sites.select("host", "path", *(f"{k}_site" for k in LABELS)), ["host", "path"])
+    sites, _ = stash(sites.select("host", "path", *(f"{k}_site" for k in LABELS)))  # a table of its own, so that Spark may split a hot site
+    out = judged.join(sites, ["host", "path"])
     for k in LABELS:
         prior = _logit(F.lit(rate[k]))
         odds = F.coalesce(F.col(f"{k}_odds"), prior) + SITE_WEIGHT * (_logit(F.col(f"{k}_site")) - prior)
