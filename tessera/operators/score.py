@@ -5,8 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Places of a line that are transformed together.
+BLOCK = 1024
+
 
 def pyramid_scales(images: DataFrame, key: str, width: str, height: str, interval: int = 10, least: int = 40) -> DataFrame:
     """key, level and scale 2^(1 - level / interval) up to the level at which the smaller side is `least` pixels; none if that is under one octave."""
@@ -38,37 +42,82 @@ def correlate(grid: DataFrame, filters: dict[tuple[int, int], float]) -> DataFra
     return sent.groupBy("y", "x").agg(F.sum("part").alias("score"), F.max("own").alias("own")).where("own").drop("own")
 
 
-def envelope(values: np.ndarray, places: np.ndarray, targets: np.ndarray, a: float, b: float) -> np.ndarray:
-    """max over j of values[j] + a (i - p_j)^2 + b (i - p_j) for each target i; a < 0; places ascend.
+def _crossing(p, v, q, u, a: float, b: float):
+    """Where the parabola of height u at q gets above that of height v at p < q; numbers, arrays or columns."""
+    return (p + q) / 2 - b / (2 * a) + (u - v) / (2 * a * (q - p))
 
-    The parabolas' upper envelope, in time linear in values and targets.
-    """
+
+def _hull(values: np.ndarray, places: np.ndarray, a: float, b: float) -> tuple[list[int], list[float]]:
+    """The parabolas that are on top somewhere, and where each begins to be; places ascend."""
     hull, cut = [0], [-np.inf]
     for j in range(1, len(values)):
         while True:
             k = hull[-1]
-            # Where parabola j gets above k.
-            at = ((values[k] + a * places[k] ** 2 - b * places[k]) - (values[j] + a * places[j] ** 2 - b * places[j])) / (2 * a * (places[k] - places[j]))
+            at = _crossing(places[k], values[k], places[j], values[j], a, b)
             if at > cut[-1] or len(hull) == 1:
                 break
             hull.pop()
             cut.pop()
         hull.append(j)
         cut.append(at)
+    return hull, cut
+
+
+def envelope(values: np.ndarray, places: np.ndarray, targets: np.ndarray, a: float, b: float) -> np.ndarray:
+    """max over j of values[j] + a (i - p_j)^2 + b (i - p_j) for each target i; a < 0; places ascend.
+
+    The parabolas' upper envelope, in time linear in values and targets.
+    """
+    hull, cut = _hull(values, places, a, b)
     owner = np.asarray(hull)[np.searchsorted(np.asarray(cut), targets, "right") - 1]
     d = targets - places[owner]
     return values[owner] + a * d * d + b * d
 
 
-def distance_transform(grid: DataFrame, line: str, along: str, value: str, first: int, last: int, a: float, b: float) -> DataFrame:
-    """For each line all places from first to last; a line is one row or column of a level, which bounds a group."""
+def distance_transform(grid: DataFrame, line: str, along: str, value: str, first: int, last: int, a: float, b: float, block: int = BLOCK) -> DataFrame:
+    """For each line all places from first to last; a < 0.
+
+    Lines of more than `block` places are cut into blocks. Each block keeps the parabolas
+    that are on top somewhere, with the stretch where they are, bounded by the occupied
+    blocks beside it; each is sent to the blocks that its stretch touches. So a group is
+    a block and what reaches into it, however long a line is; of a whole line only a row
+    a block meets.
+    """
 
     def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         best = pdf.groupby(along, as_index=False)[value].max().sort_values(along)
-        targets = np.arange(first, last + 1, dtype=float)
-        return pd.DataFrame({line: key[0], along: targets.astype("int64"), value: envelope(best[value].to_numpy(float), best[along].to_numpy(float), targets, a, b)})
-
-    return grid.select(line, along, value).groupBy(line).applyInPandas(of, f"{line} long, {along} long, {value} double")
+        start = first + (key[1] * block if len(key) > 1 else 0)
+        targets = np.arange(start, min(last, start + block - 1) + 1 if len(key) > 1 else last + 1)
+        return pd.DataFrame({line: key[0], along: targets, value: envelope(best[value].to_numpy(float), best[along].to_numpy() - float(start), targets - float(start), a, b)})
+
+    def on_top(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        best = pdf.sort_values(along)
+        start = float(first + key[1] * block)
+        hull, cut = _hull(best[value].to_numpy(float), best[along].to_numpy() - start, a, b)
+        cut = np.asarray([*cut, np.inf]) + start
+        return best.iloc[hull].assign(_from=cut[:-1], _to=cut[1:])
+
+    out = f"{line} long, {along} long, {value} double"
+    if last - first < block:
+        return grid.select(line, along, value).groupBy(line).applyInPandas(of, out)
+    best = grid.groupBy(F.col(line).cast("long").alias(line), F.col(along).cast("long").alias(along)).agg(F.max(F.col(value).cast("double")).alias(value)).withColumn("_block", F.floor((F.col(along) - first) / F.lit(float(block))))
+    ends = best.groupBy(line, "_block").agg(F.min(F.struct(along, value)).alias("_low"), F.max(F.struct(along, value)).alias("_high"))
+    w = W.partitionBy(line).orderBy("_block")
+    ends = ends.select(line, "_block", *(f(end, 1).over(w).alias(f"{end}_{side}") for side, f in (("before", F.lag), ("after", F.lead)) for end in ("_low", "_high")))
+    kept = best.groupBy(line, "_block").applyInPandas(on_top, f"{line} long, {along} long, {value} double, _block long, _from double, _to double").join(ends, [line, "_block"])
+
+    def left(end: str):
+        return _crossing(F.col(f"{end}.{along}"), F.col(f"{end}.{value}"), F.col(along), F.col(value), a, b)
+
+    def right(end: str):
+        return _crossing(F.col(along), F.col(value), F.col(f"{end}.{along}"), F.col(f"{end}.{value}"), a, b)
+
+    # Nulls are skipped: there is nothing beside the outermost blocks. One place more on each side for rounding.
+    begin = F.greatest(F.lit(float(first)), F.greatest("_from", left("_low_before"), left("_high_before")) - 1)
+    end = F.least(F.lit(float(last)), F.least("_to", right("_low_after"), right("_high_after")) + 1)
+    sent = kept.select(line, along, value, begin.alias("_begin"), end.alias("_end")).where("_begin <= _end")
+    number = (F.floor((F.col(c) - first) / F.lit(float(block))) for c in ("_begin", "_end"))
+    return sent.select(line, along, value, F.explode(F.sequence(*number)).alias("_block")).groupBy(line, "_block").applyInPandas(of, out)
 
 
 def combine_part(root: DataFrame, part: DataFrame, offset: tuple[int, int], bias: float) -> DataFrame:

@@ -141,17 +141,15 @@ def distance_transform_1d(spark, d):
     return score.distance_transform(grid(spark, d), "y", "x", "v", 1, 31, **DT).select("y", "x", _r("v").alias("v"))
 
 
-def _small_grid(spark, d):
-    return grid(spark, d).groupBy((F.col("y") % 50).alias("y"), "x").agg(_r(F.sum("v")).alias("v"))
-
-
 def distance_transform_2d(spark, d):
-    rows = score.distance_transform(_small_grid(spark, d), "y", "x", "v", 1, 31, **DT)
-    return score.distance_transform(rows, "x", "y", "v", 0, 49, **DT).where("x % 2 = 0").select("y", "x", _r("v").alias("v"))
+    g = grid(spark, d)
+    last = g.agg(F.max("y")).first()[0] or 0
+    rows = score.distance_transform(g, "y", "x", "v", 1, 31, **DT)
+    return score.distance_transform(rows, "x", "y", "v", 0, last, **DT).select("y", "x", _r("v").alias("v"))
 
 
 def part_root_combine(spark, d):
-    g = _small_grid(spark, d)
+    g = grid(spark, d)
     parts = score.distance_transform(g, "y", "x", "v", 1, 31, **DT)
     return score.combine_part(g, parts, (1, 0), -0.25).select("y", "x", _r("score").alias("score"))
 
