@@ -26,7 +26,7 @@ def match(detections: DataFrame, truth: DataFrame, image: str, key: str, overlap
     return detections.select(key, "score").join(hits, key, "left").select(key, "score", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
-def sweep(scored: DataFrame, positives: Column | int, granularity: int = 1) -> DataFrame:
+def sweep(scored: DataFrame, positives: Column | int, granularity: int = 100) -> DataFrame:
     """threshold, tp, fp, np for each grid value that occurs among the scores.
 
     Scores are counted by grid value first, so the running sums go over at most as many

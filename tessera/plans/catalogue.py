@@ -14,7 +14,7 @@ from tessera.streaming import frames
 PHRASE = "red widget bolt small widget"
 FILTER = {(dy, dx): w for (dy, dx), w in zip([(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)], (0.1, -0.2, 0.3, -0.4, 1.0, 0.4, -0.3, 0.2, -0.1), strict=True)}
 DT = {"a": -0.5, "b": 0.0}
-GRANULARITY = 1
+GRANULARITY = 100
 VALUE_STEP = 25
 
 

@@ -4,9 +4,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.operators import score
+from tessera.operators import evaluate, score
 from tessera.plans import catalogue
-from tessera.plans.fixtures import GRID
+from tessera.plans.fixtures import BOXES, GRID
 from tests.conftest import plain
 
 DATA = "/root/testdata/sf0.01"
@@ -15,9 +15,20 @@ LINE = "SELECT {line}, t.i AS {along}, max(v + -0.5 * (t.i - {along}) * (t.i - {
 ROWS = f"r AS ({LINE.format(line='y', along='x', src='grid', a=1, b=32)})"
 COLUMNS = "SELECT x, CAST(t.i AS BIGINT) AS y, max(v + -0.5 * (t.i - y) * (t.i - y)) AS v FROM r, (SELECT unnest(range((SELECT max(y) + 1 FROM grid))) AS i) t GROUP BY ALL"
 
+RESULTS = "counts AS (SELECT floor(score * 100) / 100 AS threshold, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS t, sum(CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END) AS f FROM boxes GROUP BY ALL), results AS (SELECT threshold, CAST(sum(t) OVER w AS BIGINT) AS tp, CAST(sum(f) OVER w AS BIGINT) AS fp, (SELECT count(*) FROM boxes WHERE event_type = 'purchase') AS np FROM counts WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)), pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS p, CASE WHEN np > 0 THEN tp / np END AS r FROM results)"
+F_MEASURE = "CASE WHEN {b} * {b} * p + r > 0 THEN (1 + {b} * {b}) * p * r / ({b} * {b} * p + r) WHEN {b} * {b} * p + r = 0 THEN 0 END"
+CURVE = "points AS (SELECT round(r, 9) AS recall, max(p) AS p FROM pr GROUP BY ALL), curve AS (SELECT recall, max(p) OVER (ORDER BY recall DESC ROWS UNBOUNDED PRECEDING) AS precision FROM points)"
+
 WHOLE = {
     "distance_transform_2d": f"WITH {GRID}, {ROWS} SELECT y, x, round(v, 6) AS v FROM ({COLUMNS})",
     "part_root_combine": f"WITH {GRID}, {ROWS} SELECT g.y, g.x, round(g.v + r.v - 0.25, 6) AS score FROM grid g JOIN r ON r.y = 2 * g.y + 1 AND r.x = 2 * g.x",
+    "threshold_sweep": f"WITH {BOXES}, {RESULTS} SELECT threshold, tp, fp, np, round(p, 6) AS precision, round(r, 6) AS recall FROM pr",
+    "fmeasure_curve": f"WITH {BOXES}, {RESULTS} SELECT threshold, round({F_MEASURE.format(b=1)}, 6) AS f1, round({F_MEASURE.format(b=2)}, 6) AS f2 FROM pr",
+    "max_fmeasure": f"WITH {BOXES}, {RESULTS} SELECT threshold, round(v, 6) AS f_measure FROM (SELECT threshold, round({F_MEASURE.format(b=1)}, 9) AS v FROM pr) ORDER BY v DESC, threshold LIMIT 1",
+    "fmeasure_at": f"WITH {BOXES}, {RESULTS} SELECT threshold, round({F_MEASURE.format(b=1)}, 6) AS f_measure FROM pr WHERE threshold >= 50 ORDER BY threshold LIMIT 1",
+    "pr_interpolated": f"WITH {BOXES}, {RESULTS}, {CURVE} SELECT round(recall, 6) AS recall, round(precision, 6) AS precision FROM curve",
+    "average_precision": f"WITH {BOXES}, {RESULTS}, {CURVE} SELECT round(sum(s), 6) AS average_precision FROM (SELECT (recall - coalesce(lag(recall) OVER (ORDER BY recall), 0)) * precision AS s FROM curve)",
+    "average_precision_shown": f"WITH {BOXES}, {RESULTS}, {CURVE} SELECT round(sum(s), 6) AS average_precision FROM (SELECT (recall - coalesce(lag(recall) OVER w, 0)) * coalesce(lag(precision) OVER w, precision) AS s FROM curve WINDOW w AS (ORDER BY recall))",
 }
 
 
@@ -43,3 +54,8 @@ def test_distance_transform_in_blocks(spark, a, b, top):
     got = {(r.x, r.y): r.v for r in score.distance_transform(df, "x", "y", "v", 2, 210, a, b, block=8).collect()}
     want = {(x, i): max(v + a * (i - y) ** 2 + b * (i - y) for k, y, v in rows if k == x) for x in {r[0] for r in rows} for i in range(2, 211)}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
+def test_scores_within_one_unit_have_thresholds_of_their_own(spark):
+    scored = spark.createDataFrame([(1.5, True), (1.25, False), (1.0, True)], "score double, hit boolean")
+    assert sorted(tuple(r) for r in evaluate.sweep(scored, 2).collect()) == [(1.0, 2, 1, 2), (1.25, 1, 1, 2), (1.5, 1, 0, 2)]
