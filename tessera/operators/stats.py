@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows and columns of a tile of a grid.
+TILE = 64
+
 
 def cells(df: DataFrame, key: str, array: str, *others: str) -> DataFrame:
     """A row per channel: key, others, ch, x."""
@@ -21,14 +28,36 @@ def channel_absmax(c: DataFrame) -> DataFrame:
     return c.groupBy("ch").agg(F.max(F.abs("x")).alias("absmax"))
 
 
-def channel_cov(df: DataFrame, array: str, channels: int) -> DataFrame:
-    """Population covariance of the first channels, i <= j: one pass, without a self-join.
+def channel_cov(df: DataFrame, array: str) -> DataFrame:
+    """Population covariance of all pairs of channels, i <= j, each over the cells that have both.
 
-    The pairs of a cell are made in the row, so nothing but partial sums is shuffled.
+    Only sums leave a task, a row a pair; they are taken around the channels' means.
     """
-    first = F.transform(F.slice(array, 1, channels), lambda x: x.cast("double"))
-    pairs = F.flatten(F.transform(first, lambda a, i: F.transform(F.slice(first, i + 1, F.lit(channels)), lambda b, j: F.struct(i.alias("i"), (i + j).alias("j"), a.alias("a"), b.alias("b")))))
-    return df.select(F.explode(pairs).alias("p")).groupBy(F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(F.covar_pop("p.a", "p.b").alias("cov"))
+    told = df.select(F.posexplode(array).alias("ch", "x")).groupBy("ch").agg(F.avg(F.col("x").cast("double")).alias("mean")).orderBy("ch").collect()
+    mean = np.nan_to_num(np.array([r["mean"] or 0.0 for r in told], float))
+    k = len(mean)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, left, both = np.zeros((k, k)), np.zeros((k, k)), np.zeros((k, k))
+        for batch in batches:
+            lists = batch.column(0)
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            row = np.repeat(np.arange(len(size)), size)
+            ch = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            known = flat.is_valid().to_numpy(zero_copy_only=False)
+            x, has = np.zeros((len(size), k)), np.zeros((len(size), k))
+            x[row, ch] = np.where(known, flat.fill_null(0.0).to_numpy(zero_copy_only=False) - mean[ch], 0.0)
+            has[row, ch] = known
+            n += has.T @ has
+            left += x.T @ has
+            both += x.T @ x
+        i, j = np.triu_indices(k)
+        yield pa.record_batch([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(n[i, j]), pa.array(left[i, j]), pa.array(left[j, i]), pa.array(both[i, j])], ["i", "j", "n", "a", "b", "ab"])
+
+    parts = df.select(F.col(array).cast("array<double>").alias("x")).mapInArrow(sums, "i int, j int, n double, a double, b double, ab double")
+    total = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "a", "b", "ab")))
+    return total.select("i", "j", F.when(F.col("n") > 0, F.col("ab") / F.col("n") - F.col("a") / F.col("n") * F.col("b") / F.col("n")).alias("cov"))
 
 
 def offsets(spark, m: int) -> DataFrame:
@@ -36,24 +65,49 @@ def offsets(spark, m: int) -> DataFrame:
     return spark.range(m + 1).select(F.col("id").alias("dx"), F.explode(F.sequence(F.lit(-m).cast("long"), F.lit(m).cast("long"))).alias("dy")).where("dx > 0 OR dy >= 0")
 
 
-def _half_plane(m: int):
-    return F.array(*(F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy")) for dx in range(m + 1) for dy in range(-m, m + 1) if dx or dy >= 0))
-
-
 def autocorrelation(grid: DataFrame, m: int, mean: float, size: tuple[int, int] | None = None) -> DataFrame:
     """Mean product of centred values at each offset; columns y, x, v.
 
     size: rows and columns of a grid that wraps around, in which missing cells are 0
-    before centring; without it, only pairs of cells that exist count. A cell is sent
-    to each of its offsets, so neighbours meet in a hash join.
+    before centring; without it, only pairs of cells that exist count. The grid is cut
+    into tiles; a cell goes to its own and, as a neighbour, to all that are within
+    reach, so a group is a tile with its margin, and only sums by offset leave it.
     """
-    centred = grid.select("y", "x", (F.col("v") - F.lit(mean)).alias("v"))
-    sent = centred.select("y", "x", "v", F.explode(_half_plane(m)).alias("o")).select("v", F.col("o.dx").alias("dx"), F.col("o.dy").alias("dy"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    if size:
-        sent = sent.withColumn("y", F.pmod("y", F.lit(size[0]))).withColumn("x", F.pmod("x", F.lit(size[1])))
-    pairs = sent.join(centred.withColumnRenamed("v", "u"), ["y", "x"])
-    total = F.sum(F.col("v") * F.col("u"))
-    return pairs.groupBy("dx", "dy").agg((total / F.lit(float(size[0] * size[1])) if size else total / F.count(F.lit(1))).alias("cov"), F.count(F.lit(1)).alias("n"))
+    cell = grid.select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), (F.col("v") - F.lit(mean)).cast("double").alias("v"))
+    own, near = cell, cell
+    if size:  # a neighbour has an image at each turn that is within reach
+        rows, columns = size
+        own = cell.withColumn("y", F.pmod("y", F.lit(rows))).withColumn("x", F.pmod("x", F.lit(columns)))
+        near = cell.where((F.col("y") >= 0) & (F.col("y") < rows) & (F.col("x") >= 0) & (F.col("x") < columns))
+        near = near.withColumn("y", F.explode(F.transform(F.sequence(F.lit(-(m // rows) - 1), F.lit(m // rows + 1)), lambda k: F.col("y") + k * rows))).where((F.col("y") >= -m) & (F.col("y") < rows + m))
+        near = near.withColumn("x", F.explode(F.transform(F.sequence(F.lit(0), F.lit(m // columns + 1)), lambda k: F.col("x") + k * columns))).where(F.col("x") < columns + m)
+
+    def tile(c):
+        return F.floor(c / F.lit(float(TILE)))
+
+    own = own.select("y", "x", "v", tile(F.col("y")).alias("ty"), tile(F.col("x")).alias("tx"), F.lit(True).alias("own"))
+    near = near.withColumn("ty", F.explode(F.sequence(tile(F.col("y") - m), tile(F.col("y") + m)))).withColumn("tx", F.explode(F.sequence(tile(F.col("x") - m), tile(F.col("x"))))).select("y", "x", "v", "ty", "tx", F.lit(False).alias("own"))
+
+    def products(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[(pdf.y >= key[0] * TILE - m) & (pdf.y < (key[0] + 1) * TILE + m) & (pdf.x < (key[1] + 1) * TILE + m)]
+        mine, other = pdf[pdf.own], pdf[~pdf.own]
+        v, u = np.zeros((2, TILE, TILE)), np.zeros((2, TILE + 2 * m, TILE + m))
+        for to, of, edge in ((v, mine, 0), (u, other, m)):
+            at = (of.y.to_numpy() - key[0] * TILE + edge, of.x.to_numpy() - key[1] * TILE)
+            np.add.at(to[0], at, of.v.to_numpy())
+            np.add.at(to[1], at, 1.0)
+        out = []
+        for dx in range(m + 1):
+            for dy in range(-m, m + 1):
+                if dx or dy >= 0:
+                    part = u[:, m + dy : m + dy + TILE, dx : dx + TILE]
+                    if n := int((v[1] * part[1]).sum()):
+                        out.append((dx, dy, float((v[0] * part[0]).sum()), n))
+        return pd.DataFrame(out, columns=["dx", "dy", "s", "n"])
+
+    pairs = own.unionByName(near).groupBy("ty", "tx").applyInPandas(products, "dx long, dy long, s double, n long")
+    total = F.sum("s")
+    return pairs.groupBy("dx", "dy").agg((total / F.lit(float(size[0] * size[1])) if size else total / F.sum("n")).alias("cov"), F.sum("n").alias("n"))
 
 
 def normalized_cells(df: DataFrame, key: str, array: str, label: str) -> DataFrame:

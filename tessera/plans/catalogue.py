@@ -15,6 +15,7 @@ PHRASE = "red widget bolt small widget"
 FILTER = {(dy, dx): w for (dy, dx), w in zip([(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)], (0.1, -0.2, 0.3, -0.4, 1.0, 0.4, -0.3, 0.2, -0.1), strict=True)}
 DT = {"a": -0.5, "b": 0.0}
 GRANULARITY = 100
+MAX_OFFSET = 19
 VALUE_STEP = 25
 
 
@@ -74,19 +75,19 @@ def channel_absmax(spark, d):
 
 
 def channel_cov(spark, d):
-    return stats.channel_cov(table(spark, d, "embeddings"), "embedding", 8).select("i", "j", _r("cov").alias("cov"))
+    return stats.channel_cov(table(spark, d, "embeddings"), "embedding").select("i", "j", _r("cov").alias("cov"))
 
 
 def autocorr_exact(spark, d):
     g = grid(spark, d)
     mean = g.agg(F.avg("v")).first()[0] or 0.0
-    return stats.autocorrelation(g, 2, mean).select("dx", "dy", _r("cov", 3).alias("cov"), "n")
+    return stats.autocorrelation(g, MAX_OFFSET, mean).select("dx", "dy", _r("cov", 3).alias("cov"), "n")
 
 
 def autocorr_cyclic(spark, d):
     g = grid(spark, d).withColumn("x", F.col("x") - 1)
     rows = (g.agg(F.max("y")).first()[0] or 0) + 1
-    return stats.autocorrelation(g, 2, 0.0, (rows, 31)).select("dx", "dy", _r("cov", 3).alias("cov"))
+    return stats.autocorrelation(g, MAX_OFFSET, 0.0, (rows, 31)).select("dx", "dy", _r("cov", 3).alias("cov"))
 
 
 def offset_set(spark, d):

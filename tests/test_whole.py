@@ -4,9 +4,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.operators import evaluate, score
+from tessera.operators import evaluate, score, stats
 from tessera.plans import catalogue
-from tessera.plans.fixtures import BOXES, GRID
+from tessera.plans.fixtures import BOXES, CELLS, GRID
 from tests.conftest import plain
 
 DATA = "/root/testdata/sf0.01"
@@ -17,11 +17,15 @@ COLUMNS = "SELECT x, CAST(t.i AS BIGINT) AS y, max(v + -0.5 * (t.i - y) * (t.i -
 
 RESULTS = "counts AS (SELECT floor(score * 100) / 100 AS threshold, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS t, sum(CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END) AS f FROM boxes GROUP BY ALL), results AS (SELECT threshold, CAST(sum(t) OVER w AS BIGINT) AS tp, CAST(sum(f) OVER w AS BIGINT) AS fp, (SELECT count(*) FROM boxes WHERE event_type = 'purchase') AS np FROM counts WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)), pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS p, CASE WHEN np > 0 THEN tp / np END AS r FROM results)"
 F_MEASURE = "CASE WHEN {b} * {b} * p + r > 0 THEN (1 + {b} * {b}) * p * r / ({b} * {b} * p + r) WHEN {b} * {b} * p + r = 0 THEN 0 END"
+HALF = "half AS (SELECT dx, dy FROM range(20) a(dx), range(-19, 20) b(dy) WHERE dx > 0 OR dy >= 0)"
 CURVE = "points AS (SELECT round(r, 9) AS recall, max(p) AS p FROM pr GROUP BY ALL), curve AS (SELECT recall, max(p) OVER (ORDER BY recall DESC ROWS UNBOUNDED PRECEDING) AS precision FROM points)"
 
 WHOLE = {
     "distance_transform_2d": f"WITH {GRID}, {ROWS} SELECT y, x, round(v, 6) AS v FROM ({COLUMNS})",
     "part_root_combine": f"WITH {GRID}, {ROWS} SELECT g.y, g.x, round(g.v + r.v - 0.25, 6) AS score FROM grid g JOIN r ON r.y = 2 * g.y + 1 AND r.x = 2 * g.x",
+    "channel_cov": f"WITH {CELLS} SELECT a.ch AS i, b.ch AS j, round(covar_pop(a.x, b.x), 6) AS cov FROM cells a JOIN cells b ON a.vec_id = b.vec_id AND a.ch <= b.ch GROUP BY ALL",
+    "autocorr_exact": f"WITH {GRID}, {HALF}, c AS (SELECT y, x, v - (SELECT avg(v) FROM grid) AS v FROM grid), sent AS (SELECT y + dy AS y, x + dx AS x, v, dx, dy FROM c, half) SELECT dx, dy, round(avg(a.v * b.v), 3) AS cov, count(*) AS n FROM sent a JOIN c b ON a.y = b.y AND a.x = b.x GROUP BY ALL",
+    "autocorr_cyclic": f"WITH {GRID}, {HALF}, c AS (SELECT y, x - 1 AS x, v FROM grid), s AS (SELECT max(y) + 1 AS rows FROM c), sent AS (SELECT (y + dy + rows) % rows AS y, (x + dx) % 31 AS x, v, dx, dy, rows FROM c, s, half) SELECT dx, dy, round(sum(a.v * b.v) / (any_value(rows) * 31), 3) AS cov FROM sent a JOIN c b ON a.y = b.y AND a.x = b.x GROUP BY ALL",
     "threshold_sweep": f"WITH {BOXES}, {RESULTS} SELECT threshold, tp, fp, np, round(p, 6) AS precision, round(r, 6) AS recall FROM pr",
     "fmeasure_curve": f"WITH {BOXES}, {RESULTS} SELECT threshold, round({F_MEASURE.format(b=1)}, 6) AS f1, round({F_MEASURE.format(b=2)}, 6) AS f2 FROM pr",
     "max_fmeasure": f"WITH {BOXES}, {RESULTS} SELECT threshold, round(v, 6) AS f_measure FROM (SELECT threshold, round({F_MEASURE.format(b=1)}, 9) AS v FROM pr) ORDER BY v DESC, threshold LIMIT 1",
@@ -59,3 +63,29 @@ def test_distance_transform_in_blocks(spark, a, b, top):
 def test_scores_within_one_unit_have_thresholds_of_their_own(spark):
     scored = spark.createDataFrame([(1.5, True), (1.25, False), (1.0, True)], "score double, hit boolean")
     assert sorted(tuple(r) for r in evaluate.sweep(scored, 2).collect()) == [(1.0, 2, 1, 2), (1.25, 1, 1, 2), (1.5, 1, 0, 2)]
+
+
+def test_covariance_of_all_channels_with_gaps(spark):
+    rows = [([1.0, 2.0, 4.0],), ([2.0, None, 1.0],), ([4.0, 1.0],), (None,), ([3.0, 5.0, 2.0],)]
+    got = {(r.i, r.j): r.cov for r in stats.channel_cov(spark.createDataFrame(rows, "v array<float>"), "v").collect()}
+    whole = [v + [None] * (3 - len(v)) for (v,) in rows if v]
+    for i in range(3):
+        for j in range(i, 3):
+            p = np.array([(v[i], v[j]) for v in whole if v[i] is not None and v[j] is not None])
+            assert got.pop((i, j)) == pytest.approx(np.mean(p[:, 0] * p[:, 1]) - p[:, 0].mean() * p[:, 1].mean())
+    assert not got
+
+
+@pytest.mark.parametrize("size", [None, (70, 5), (3, 140)])
+def test_autocorrelation_across_tiles(spark, size):
+    """More offsets than the grid has rows or columns, and several tiles."""
+    rng = np.random.default_rng(2)
+    high, wide = size or (70, 70)
+    cells = {(y, x): float(rng.integers(-5, 6)) for y in range(high) for x in range(wide) if rng.random() < 0.3}
+    got = {(r.dx, r.dy): (r.cov, r.n) for r in stats.autocorrelation(spark.createDataFrame([(*k, v) for k, v in cells.items()], "y long, x long, v double"), 7, 0.0, size).collect()}
+    for dx in range(8):
+        for dy in range(-7, 8):
+            if dx or dy >= 0:
+                p = [v * cells[k] for (y, x), v in cells.items() if (k := ((y + dy) % high, (x + dx) % wide) if size else (y + dy, x + dx)) in cells]
+                assert got.pop((dx, dy), (None, 0)) == ((pytest.approx(sum(p) / (high * wide if size else len(p))), len(p)) if p else (None, 0))
+    assert not got
