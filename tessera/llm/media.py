@@ -16,6 +16,7 @@ any name. Rows never meet each other: one pass, no shuffle.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -110,30 +111,60 @@ def _riff(b: bytes, at: int) -> tuple[str, int] | None:
     return (kind, size) if i == at + size else None
 
 
+def members(b: bytes, at: int) -> list[int]:
+    """Where each of the adjacent gzip members from `at` ends; those behind the first that is cut or damaged don't count."""
+    ends, step = [], 1 << 16
+    while b.startswith(b"\x1f\x8b\x08", at):
+        member, rest = zlib.decompressobj(31), at
+        try:
+            while not member.eof and rest < len(b):
+                member.decompress(b[rest : rest + step])
+                rest += step
+        except zlib.error:
+            break
+        if not member.eof:
+            break
+        at = min(rest, len(b)) - len(member.unused_data)
+        ends.append(at)
+    return ends
+
+
 def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
-    member, rest, step = zlib.decompressobj(31), at, 1 << 16
-    try:
-        while not member.eof and rest < len(b):
-            member.decompress(b[rest : rest + step])
-            rest += step
-    except zlib.error:
-        return None
-    return ("application/gzip", min(rest, len(b)) - len(member.unused_data) - at) if member.eof else None
+    ends = members(b, at)
+    return ("application/gzip", ends[-1] - at) if ends else None
 
 
 def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
-    end = b.find(b"%%EOF", at)
-    if end < 0 or b.find(b"startxref", at, end) < 0:
+    """Up to the last end mark of this file: each update has its own, with a cross-reference offset before it.
+
+    Behind the next header, only marks count whose offset, from this file's start, leads to a
+    cross-reference behind that header: that is a file within this one, not a file after it.
+    """
+    header = b.find(b"%PDF-", at + 5)
+    last, since, end = 0, at, b.find(b"%%EOF", at)
+    while end >= 0:
+        if (ref := b.rfind(b"startxref", since, end)) >= 0:
+            beyond = 0 <= header < end
+            to = re.fullmatch(rb"\s*(\d{1,15})\s*", b[ref + 9 : min(end, ref + 64)]) if beyond else None
+            if not beyond or not last and since == at or to and header < at + int(to[1]) < ref and re.compile(rb"xref|\d+\s+\d+\s+obj").match(b, at + int(to[1])):
+                last = end + 5
+        since = end + 5
+        end = b.find(b"%%EOF", since)
+    if not last:
         return None
-    return "application/pdf", end + 5 - at
+    last += 2 if b.startswith(b"\r\n", last) else b[last : last + 1] in (b"\n", b"\r")
+    return "application/pdf", last - at
 
 
 def _zip(b: bytes, at: int) -> tuple[str, int] | None:
+    """The first end of a directory whose offsets fit this start: those of archives stored within don't."""
     end = b.find(b"PK\x05\x06", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    size, begin, note = struct.unpack_from("<IIH", b, end + 12)
-    return ("application/zip", end + 22 + note - at) if at + begin + size == end and end + 22 + note <= len(b) else None
+    while 0 <= end <= len(b) - 22:
+        size, begin, note = struct.unpack_from("<IIH", b, end + 12)
+        if at + begin + size == end and end + 22 + note <= len(b):
+            return "application/zip", end + 22 + note - at
+        end = b.find(b"PK\x05\x06", end + 1)
+    return None
 
 
 #: Magic bytes and who confirms them.
@@ -215,8 +246,9 @@ def sniff(df: DataFrame, key: str, content: str, declared: str) -> DataFrame:
                 found = media_in(blob, magic) if blob else []
                 whole = found and found[0][:2] == (0, len(blob))
                 types.append(None if blob is None else found[0][2] if whole else UNKNOWN)
-                if whole:  # look within it, behind its own magic bytes
-                    found = [(at + 4, n, t) for at, n, t in media_in(blob[4:], magic)]
+                if whole:  # look within it (of gzip, each member), behind its own magic bytes
+                    ends = members(blob, 0) if types[-1] == "application/gzip" else [len(blob)]
+                    found = [(start + 4 + at, n, t) for start, end in zip([0, *ends], ends) for at, n, t in media_in(blob[start + 4 : end], magic)]
                 inner.append([{"offset": at, "length": n, "type": t, "content": blob[at : at + n]} for at, n, t in found])
             said = batch.column(1)
             changed = [t is not None and t != d for t, d in zip(types, said.to_pylist(), strict=True)]

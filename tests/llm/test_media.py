@@ -79,3 +79,26 @@ def test_odd_texts(odd, odd_texts, empty):
     got = media.read_stored(media.store_texts(odd)).collect()
     assert sorted(r.n_bytes for r in got) == sorted(len((t or "").encode()) for _, t in odd_texts)
     assert media.read_stored(media.store_texts(empty)).count() == 0
+
+
+def test_files_of_several_parts_are_whole(spark):
+    pdf = b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF\n"
+    updated = pdf + b"2 0 obj\nendobj\nstartxref\n%d\n%%%%EOF\r\n" % len(pdf)
+    outer = b"%PDF-1.4\n1 0 obj\nstream\n" + pdf + b"endstream\n"
+    holder = outer + b"xref\n0 1\nstartxref\n%d\n%%%%EOF\n" % len(outer)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("in.zip", packed())
+        z.writestr("b.txt", "there")
+    several = gzip.compress(b"one" * 30) + gzip.compress(b"two" * 30) + gzip.compress(png(), 0)
+    files = [("application/pdf", pdf), ("application/pdf", updated), ("application/pdf", holder), ("application/zip", out.getvalue()), ("application/gzip", several)]
+    for kind, blob in files:
+        assert media.media_in(blob, MAGIC) == [(0, len(blob), kind)]
+        assert media.media_in(b"text " + blob + FILES["image/png"], MAGIC) == [(5, len(blob), kind), (5 + len(blob), len(png()), "image/png")]
+    assert [n for _, n, _ in media.media_in(pdf + pdf + updated + pdf, MAGIC)] == [len(pdf), len(pdf), len(updated), len(pdf)]
+    assert media.media_in(several + b"\x1f\x8b\x08 cut", MAGIC)[0] == (0, len(several), "application/gzip")
+    df = spark.createDataFrame([(i, blob, kind) for i, (kind, blob) in enumerate(files)], "id long, blob binary, kind string")
+    got = {r.key: r for r in media.sniff(df, "id", "blob", "kind").collect()}
+    assert not any(r.corrected for r in got.values())
+    assert [[e.type for e in got[i].embedded] for i in range(5)] == [[], [], ["application/pdf"], ["application/zip"], ["image/png"]]
+    assert got[4].embedded[0].content == png()
