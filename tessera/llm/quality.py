@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import read, stash
+from tessera.llm.shared import drop, read, stash
 from tessera.llm.words import ALNUM, U64, Words, runs
 
 #: Labelled rows that the models are fitted on, those of the smallest hash of doc_id.
@@ -144,9 +144,24 @@ def fit(texts: list[str], labels: np.ndarray) -> Model | None:
 
 
 def fitted(documents: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> dict[str, Model | None]:
-    """A model per label, from at most `limit` labelled documents, which reach the driver."""
-    chosen = labels.where("doc_id IS NOT NULL").select("doc_id", (F.coalesce("quality", F.lit(1)) == 0).alias("low"), (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "low", "toxic").limit(limit)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toArrow().sort_by([(c, "ascending") for c in ("doc_id", "low", "toxic", "text")])
+    """A model per label, from at most `limit` of the labelled documents that are there, which reach the driver.
+
+    Those of the least hash, but of each value of a label a twentieth of `limit` at least,
+    if there are so many. Of documents with the same id, one counts.
+    """
+    told = labels.where("doc_id IS NOT NULL").select("doc_id", (F.coalesce("quality", F.lit(1)) == 0).alias("low"), (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic"))
+    told, path = stash(told.withColumn("hash", F.xxhash64("doc_id")).join(documents.select("doc_id").hint("merge"), "doc_id", "left_semi").distinct())
+    order = ("hash", "doc_id", "low", "toxic")
+    parts = [told.where(F.col(k) == v).orderBy(*order).limit(max(limit // 20, 1)).withColumn("last", F.lit(False)) for k in LABELS for v in (False, True)]
+    parts.append(told.orderBy(*order).limit(limit).withColumn("last", F.lit(True)))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    chosen = every.groupBy(*order).agg(F.min("last").alias("last")).orderBy("last", *order).limit(limit).select("doc_id", "low", "toxic")
+    # One text of each id, by partial aggregates: an id that repeats is bounded too.
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "low", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = found.toArrow().sort_by([(c, "ascending") for c in ("doc_id", "low", "toxic", "text")])
+    drop(documents.sparkSession, path)
     texts = rows["text"].fill_null("").to_pylist()
     return {k: fit(texts, rows[k].to_numpy().astype(bool)) if texts else None for k in LABELS}
 

@@ -45,3 +45,12 @@ def test_sparse_sites_are_drawn_to_the_rate_of_all(spark):
     overall = np.mean([r.low for r in got.values()])
     assert abs(got[610].low_site - overall) < 0.2
     assert not got[1].kept and got[0].kept and got[610].kept
+
+
+def test_sample_is_of_labelled_documents_that_are_there_and_has_both_values(spark):
+    """Labels of 2,000 ids without documents, one toxic document in 300, and an id that repeats."""
+    rows = [(i, "vile words here " * 9 if i == 299 else "BAD!! " * 20 if i % 2 else "plain words are here " * 9) for i in range(300)]
+    docs = spark.createDataFrame([*rows, *[(0, f"again {i}") for i in range(50)]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0 if i % 2 and i != 299 else 1, int(i == 299)) for i in range(2300)], "doc_id long, quality int, toxic int")
+    models = quality.fitted(docs, labels.where("doc_id < 300 OR doc_id % 2 = 0"), 40)
+    assert models["low"] is not None and models["toxic"] is not None
