@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Odd multipliers; any odd number would do.
-BASE, STEP = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
+STEP, LONG = U64(0xD6E8FEB86659FD93), U64(0x9E3779B97F4A7C15)
 #: Texts are worked on in runs of about so many bytes, which bounds the arrays.
 RUN_BYTES = 1 << 20
 
@@ -40,7 +40,9 @@ class _Powers:
         return self.up, self.down
 
 
-_BYTES, _WORDS = _Powers(BASE), _Powers(STEP)
+_WORDS = _Powers(STEP)
+#: What a word's last block of n bytes keeps of eight.
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -86,18 +88,7 @@ class Words:
         ends = inside[:-1] & (~inside[1:] | head[1:])
         self.begin, self.end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         self.rows = np.searchsorted(self.begin, at)
-        up, down = _BYTES.get(n + 1)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * up[:n], out=sums[1:])
-        self._sums, self._down = sums, down
-        self.hashes = self._hash(self.end)
-
-    def _hash(self, end: np.ndarray) -> np.ndarray:
-        return mix((self._sums[end] - self._sums[self.begin]) * self._down[self.begin])
-
-    def prefixes(self, n: int) -> np.ndarray:
-        """A hash of the first n bytes of each word; words of fewer bytes count whole."""
-        return self._hash(np.minimum(self.begin + n, self.end))
+        self.hashes = hashes(data, self.begin, self.end)
 
     def __len__(self) -> int:
         return len(self.rows) - 1
@@ -112,7 +103,29 @@ class Words:
         return np.repeat(self.rows[1:], sizes) - np.arange(self.rows[-1])
 
 
+def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of bytes: of its blocks of eight bytes, each mixed with its number, and of its length.
+
+    Different words of one length, up to eight bytes, never share a hash.
+    """
+    size = end - begin
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    out = mix(eight[begin] & _KEPT[np.minimum(size, 8)])
+    more = np.flatnonzero(size > 8)
+    if len(more):
+        blocks = (size[more] - 1) // 8  # those behind the first
+        number = np.arange(1, blocks.sum() + 1) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        at = np.repeat(begin[more], blocks) + 8 * number
+        left = np.repeat(end[more], blocks) - at
+        mixed = mix((eight[at] & _KEPT[np.minimum(left, 8)]) + mix(number.astype(U64) * LONG))
+        out[more] += np.add.reduceat(mixed, np.cumsum(blocks) - blocks)
+    return mix(out + size.astype(U64) * LONG)
+
+
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n hashes from each on; n is small, as the sum is one of powers modulo 2**64."""
     total = len(hashes) - n + 1
     if total <= 0:
         return np.empty(0, U64)

@@ -44,8 +44,31 @@ def test_random_words_and_characters(library):
 
 
 def test_generations_of_known_words(monkeypatch, library):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 500)
     encoder = bpe.Encoder(bpe.vocabulary(bpe.default_path()))
-    for text in ("red blue green", "red one two three", "red blue four five six", ""):
+    for text in ("red blue green", "red one two three", "red blue four five six " + " ".join(f"w{i}" for i in range(40)), "red w1 blue,", ""):
         (ids,) = encoder.run([text])
         assert ids == " ".join(map(str, library.encode(text, add_special_tokens=False).ids))
+
+
+def test_long_texts_come_in_segments(monkeypatch, spark, library):
+    monkeypatch.setattr(bpe, "RUN_CHARS", 50)
+    texts = ["one two  three " * 40, "x" * 300, "", " ", "<|endoftext|> a" * 30, "Σα é\u0301 " * 20, "a" * 60 + " " + "b" * 60]
+    parts: dict = {}
+    for rows, cut in bpe.segments(texts):
+        for row, part in zip(rows, cut, strict=True):
+            parts.setdefault(row, []).append(part)
+    assert ["".join(parts[i]) for i in range(len(texts))] == texts
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encoded(df, bpe.default_path()).collect():
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.ids, r.decoded) == (ids, library.decode(ids, skip_special_tokens=False))
+        assert tuple(r)[1:4] == wanted(library, texts[r.doc_id])
+
+
+def test_fits_are_bounded(monkeypatch, library):
+    monkeypatch.setattr(bpe, "FITS", 3)
+    v = bpe.Vocabulary(bpe.default_path())
+    text = "unbelievable antidisestablishmentarianism xqzvk"
+    assert bpe.Encoder(v).run([text]) == [" ".join(map(str, library.encode(text, add_special_tokens=False).ids))]
+    assert len(v.fits) <= 3
