@@ -36,7 +36,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, the ids and digests of ids and decoded text."""
-    return bpe.encoded(docs, bpe.default_path()).select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+    return bpe.encoded(docs, bpe.default_path(), extra=("ids",))
 
 
 STAGES = [
