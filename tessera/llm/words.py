@@ -136,10 +136,10 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def spans(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a string column, nulls as empty texts, and where each text begins, with the end of the last."""
+    """The bytes of a column of strings or binary values, nulls as empty ones, and where each text begins, with the end of the last."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = column.buffers()[2] if len(column) else None
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
