@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import drop, stash
+from tessera.llm.shared import drop, scratch, stash
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,6 +18,14 @@ def components(links: DataFrame) -> DataFrame:
     with very many links is a group of a partial minimum, and one side of a join that
     Spark may split.
     """
+    spark = links.sparkSession
+    with scratch(spark) as kept:
+        out, at = stash(_contracted(links))
+        kept.append(at)
+    return out
+
+
+def _contracted(links: DataFrame) -> DataFrame:
     spark = links.sparkSession
     edges, edges_at = stash(links.select("a", "b").where("a <> b").distinct())
     whole, whole_at, turn = None, None, 0

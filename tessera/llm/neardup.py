@@ -10,17 +10,19 @@ verified on the full sets of shingles.
 
 Copies of one set are a class of their own from the start, and its least doc_id stands
 for it. Within a bucket every document is compared with the bucket's least one first.
-Only buckets that still hold more than one component after that are looked at pair by
-pair, in blocks of bounded size, and of those pairs only the ones across components.
-So links are found among all candidates, and no step emits all pairs of a group.
+Only buckets that still hold more than one component after that are looked at further,
+in units of bounded size, and only members of different components meet: those of a
+large component meet the others, never each other. So links are found among all
+candidates, and no step emits all pairs of a group.
 
 Misses: a pair at the threshold shares a band but for (1 - t**ROWS)**BANDS, 6e-9 at
 0.85, and is dropped by likelihood beyond Z standard deviations, 7e-5 at the threshold
 itself and less above.
 
 Defined results: null and empty texts have no shingles and no links; a null doc_id is
-not linked and has a null component; rows of equal doc_id are one node. Texts are used
-whole.
+not linked and has a null component; rows of equal doc_id are one node; an empty table
+gives an empty one. Texts are used whole; a task holds one run of about 1 MB or one longer
+text at a time.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.shared import drop, read, stash, text_of
+from tessera.llm.shared import drop, read, scratch, stash, text_of
 from tessera.llm.words import NOT_SPACE, U64, Words, grams, mix, runs
 
 SHINGLE, BANDS, ROWS = 5, 40, 6
@@ -194,21 +196,48 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def across(members: DataFrame, sketches: DataFrame, wanted: float) -> DataFrame:
-    """Likely pairs of different components in one bucket. members: bucket, doc_id, component, and n, the bucket's size.
+def dealt(members: DataFrame) -> DataFrame:
+    """Groups in which every two members of one bucket and of different components meet. members: bucket, doc_id, component.
 
-    A bucket is cut into blocks of about BLOCK documents, and each two blocks form a
-    group; a document goes to as many groups as there are blocks. A pair that shares an
-    earlier band is left to that one.
+    A bucket's large components are cut into units of about BLOCK members each; members
+    of small ones are dealt into units together. Two units form a group unless they are
+    of one large component: its members are linked already. So a bucket of one large
+    component and few others grows in proportion. (ic, ib) and (jc, jb) name the units,
+    with negative numbers for those of small components; mine: whether a member is of
+    the first.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (
-        members.join(sketches.select("doc_id", "n_shingles", "sketch").hint("merge"), "doc_id")
-        .withColumn("mine", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "component", "n_shingles", "sketch")
+    sizes, _ = stash(members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m")))
+    small = sizes.where(F.col("m") <= BLOCK).groupBy("bucket").agg(F.sum("m").alias("m")).select("bucket", F.lit(0).cast("long").alias("c"), F.ceil(F.col("m") / BLOCK).cast("int").alias("units"))
+    large = sizes.where(F.col("m") > BLOCK).select("bucket", F.col("component").alias("c"), F.ceil(F.col("m") / BLOCK).cast("int").alias("units"))
+    units = small.select("bucket", "c", F.explode(F.sequence(-F.col("units"), F.lit(-1))).alias("b")).union(large.select("bucket", "c", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("b")))
+    units, _ = stash(units)
+    one, two = (units.select("bucket", F.col("c").alias(f"{x}c"), F.col("b").alias(f"{x}b")) for x in "ij")
+    ordered = (F.col("ib") < F.col("jb")) | ((F.col("ib") == F.col("jb")) & (F.col("ic") < F.col("jc")))
+    within = (F.col("ib") == F.col("jb")) & (F.col("ic") == F.col("jc")) & (F.col("ib") < 0)
+    apart = (F.col("ib") < 0) | (F.col("jb") < 0) | (F.col("ic") != F.col("jc"))
+    groups, _ = stash(one.hint("merge").join(two.hint("merge"), "bucket").where(within | (ordered & apart)))
+    placed = (
+        members.join(sizes.hint("merge"), ["bucket", "component"])
+        .join(small.select("bucket", F.col("units").alias("small")).hint("merge"), "bucket", "left")
+        .withColumn("c", F.when(F.col("m") > BLOCK, F.col("component")).otherwise(F.lit(0).cast("long")))
+        .withColumn("b", F.when(F.col("m") > BLOCK, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("m") / BLOCK))).otherwise(-1 - F.pmod(F.xxhash64("doc_id"), F.col("small"))).cast("int"))
+        .select("bucket", "c", "b", "doc_id", "component")
     )
-    groups = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    first = placed.join(groups.withColumn("c", F.col("ic")).withColumn("b", F.col("ib")).hint("merge"), ["bucket", "c", "b"]).withColumn("mine", F.lit(True))
+    second = placed.join(groups.where("ic <> jc OR ib <> jb").withColumn("c", F.col("jc")).withColumn("b", F.col("jb")).hint("merge"), ["bucket", "c", "b"]).withColumn("mine", F.lit(False))
+    return first.union(second).select(*_GROUP, "mine", "doc_id", "component")
+
+
+_GROUP = ["bucket", "ic", "ib", "jc", "jb"]
+
+
+def across(members: DataFrame, sketches: DataFrame, wanted: float) -> DataFrame:
+    """Likely pairs of different components in one bucket. members: bucket, doc_id and component.
+
+    A pair that shares an earlier band is left to that one.
+    """
+    lean = sketches.select("doc_id", "n_shingles", "sketch")
+    groups = dealt(members).join(lean.hint("merge"), "doc_id").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -226,7 +255,7 @@ def across(members: DataFrame, sketches: DataFrame, wanted: float) -> DataFrame:
 
 def _cuts(table: pa.Table) -> list[int]:
     """Where groups begin, and the end."""
-    keys = [table.column(c).to_numpy() for c in ("bucket", "i", "j")]
+    keys = [table.column(c).to_numpy() for c in _GROUP]
     new = np.zeros(max(0, table.num_rows - 1), bool)
     for k in keys:
         new |= k[1:] != k[:-1]
@@ -236,7 +265,7 @@ def _cuts(table: pa.Table) -> list[int]:
 def _pairs(table: pa.Table, cuts: list[int], wanted: float) -> Iterator[pa.RecordBatch]:
     if len(cuts) < 2:
         return
-    doc, component, size, mine, i, j = (table.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "mine", "i", "j"))
+    doc, component, size, mine, ic, ib, jc, jb = (table.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "mine", "ic", "ib", "jc", "jb"))
     bucket = table.column("bucket").to_numpy()
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
     numbers = bands(sketch).view(np.int64)
@@ -247,7 +276,7 @@ def _pairs(table: pa.Table, cuts: list[int], wanted: float) -> Iterator[pa.Recor
         one, two = np.triu_indices(b - a, 1)
         one, two = one + a, two + a
         apart = component[one] != component[two]
-        if i[a] != j[a]:  # pairs within a block belong to that block's own group
+        if ic[a] != jc[a] or ib[a] != jb[a]:  # pairs within a unit belong to that unit's own group
             apart &= mine[one] != mine[two]
         one, two = one[apart], two[apart]
         for at in range(0, len(one), 8192):
@@ -271,15 +300,22 @@ def _pairs(table: pa.Table, cuts: list[int], wanted: float) -> Iterator[pa.Recor
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row per row of df: documents whose sets of 5-word shingles have `percent` of their union in common are linked."""
-    spark, wanted = df.sparkSession, percent / 100
-    docs = text_of(df, key, text)
-    sketches, sketches_at = stash(sketched(docs))
+    spark = df.sparkSession
+    with scratch(spark) as kept:
+        out, at = stash(_near_duplicates(text_of(df, key, text), percent))
+        kept.append(at)
+    return out
+
+
+def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
+    spark, wanted = docs.sparkSession, percent / 100
+    sketches, _ = stash(sketched(docs))
     same = ["set_a", "set_b", "n_shingles"]
     # A table of its own: Spark splits a hot class only where both sides of the join come from a plain exchange.
     classes, _ = stash(sketches.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")))
     lone = sketches.join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     entries = banded(lone)
-    shared = entries.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").drop("most")
+    shared = entries.groupBy("bucket").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     shared, shared_at = stash(shared)
     members, members_at = stash(entries.join(shared.hint("merge"), "bucket"))
     drop(spark, shared_at)
@@ -287,32 +323,42 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     stars = members.where("least < doc_id").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
     first, first_at = stash(estimated(stars, sketches, wanted))
     links = verified(first, docs, percent)
-    joined, joined_at = stash(components(links))
+    joined = components(links)
     # Then buckets that still hold several components.
-    of = members.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "least", "n", F.coalesce("component", "doc_id").alias("component"))
+    of = members.join(joined.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    second, second_at = stash(across(of.join(mixed, "bucket", "left_semi"), sketches, wanted).join(first, ["a", "b"], "left_anti"))
-    drop(spark, first_at, members_at)
+    mixed, _ = stash(of.join(mixed.hint("merge"), "bucket", "left_semi"))
+    drop(spark, members_at)
+    second, _ = stash(across(mixed, sketches, wanted).join(first.hint("merge"), ["a", "b"], "left_anti"))
+    drop(spark, first_at)
     if not second.isEmpty():
         more = verified(second, docs, percent)
         if not more.isEmpty():
-            joined, joined_at = stash(components(links.union(more)))
-    drop(spark, second_at)
+            joined = components(links.union(more))
     least = sketches.select("doc_id", *same).join(classes.hint("merge"), same, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    out = least.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    out = least.join(joined.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def distinct_documents(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """The rows of df, with all their columns, whose document stands for its group. Of rows with equal id and text one stays."""
-    gone, _ = stash(near_duplicates(df, key, text, percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    rest = df.join(gone, df[key].cast("long") == F.col("_gone"), "left_anti")
-    many, _ = stash(df.groupBy(F.col(key).alias("_many")).count().where("count > 1").select("_many"))
-    if many.isEmpty():
-        return rest
-    same = df[key].eqNullSafe(F.col("_many"))
-    return rest.join(many, same, "left_anti").union(rest.join(many, same, "left_semi").dropDuplicates([key, text]))
+    """The rows of df, with all their columns, whose document stands for its group. Of rows with equal id and text one stays.
+
+    Rows with a null id or without words stay, one of equal ones. Columns go by place,
+    so they may have any name.
+    """
+    spark, names = df.sparkSession, df.columns
+    own = [f"c{i}" for i in range(len(names))]
+    rows, k, t = df.toDF(*own), own[names.index(key)], own[names.index(text)]
+    with scratch(spark) as kept:
+        gone, gone_at = stash(near_duplicates(df, key, text, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct())
+        many, many_at = stash(df.toDF(*own).groupBy(F.col(k).alias("many")).count().where("count > 1").select("many"))
+        kept += [gone_at, many_at]
+    rest = rows.join(gone.hint("merge"), F.col(k).cast("long") == F.col("gone"), "left_anti")
+    if not many.isEmpty():
+        same = F.col(k).eqNullSafe(F.col("many"))
+        rest = rest.join(many, same, "left_anti").union(rest.join(many, same, "left_semi").dropDuplicates([k, t]))
+    return rest.toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -17,12 +18,19 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, so that rows of long texts come in smaller batches.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def on_path(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver did, whatever their working folder is."""
+    """Lets Python workers import this package from where the driver did, whatever their working folder is; bounds their batches, unless the session says how."""
     env = spark.sparkContext.environment
     known = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
     if _ROOT not in known:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *known])
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,17 +39,39 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one in local mode, as in tests; an error on a cluster, whose machines would not share it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
             found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+class _Made(threading.local):
+    """Paths of tables that stash() wrote and nobody deleted yet."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_made = _Made()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes at its end the tables that were stashed within, but for the paths put into the list that it gives."""
+    before, kept = set(_made.paths), []
+    try:
+        yield kept
+    finally:
+        drop(spark, *[x for x in _made.paths if x not in before and x not in kept])
+
+
 @contextmanager
 def eager_cleanup(spark: SparkSession):
     """Within, finished queries leave no shuffle files behind."""
@@ -66,6 +96,7 @@ def stash(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     with eager_cleanup(spark):
         df.write.parquet(path)
+    _made.paths.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -75,6 +106,8 @@ def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(conf).delete(place, True)
+        if path in _made.paths:
+            _made.paths.remove(path)
 
 
 def text_of(df: DataFrame, key: str, text: str) -> DataFrame:

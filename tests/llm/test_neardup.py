@@ -86,3 +86,33 @@ def test_blocks_cover_all_pairs_across(spark, monkeypatch):
         rows.append((i, " ".join(text)))
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))
     assert rows_of(neardup.near_duplicates(df, percent=85)) == brute.near_duplicates(rows, 85)
+
+
+def test_dealt_rows_of_a_mixed_bucket(spark):
+    """5,000 members: one component of 4,990 and ten of one each. Members of the large one go to one group only."""
+    rows = [(7, i, 1 if i < 4990 else i) for i in range(1, 5001)]
+    got = neardup.dealt(spark.createDataFrame(rows, "bucket long, doc_id long, component long")).collect()
+    units = -(-4989 // neardup.BLOCK)
+    small = 11
+    assert sum(r.component == 1 for r in got) == 4989
+    assert sum(r.component != 1 for r in got) == small * (units + 1)
+    met = {}
+    for r in got:
+        met.setdefault((r.ic, r.ib, r.jc, r.jb), []).append(r)
+    pairs = {(a.doc_id, b.doc_id) for g in met.values() for a in g for b in g if a.component != b.component and (a.ic == a.jc and a.ib == a.jb or a.mine != b.mine)}
+    assert len(pairs) == 2 * 4989 * small + small * (small - 1)
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_that_weak_hashes_take_for_equal(spark, n):
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    one, two = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rows = [(1, f"{one} x y z u"), (2, f"{two} x y z u"), (3, f"{two} x y z u"), (4, one), (5, two)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(neardup.near_duplicates(df, percent=80)) == brute.near_duplicates(rows, 80)
+
+
+def test_users_columns_of_any_name_stay(odd):
+    df = odd.withColumnsRenamed({"n_words": "_gone", "component_id": "_many"}).withColumn("gone", F.lit(1)).withColumn("many", F.lit(2)).withColumn("count", F.lit(3))
+    out = neardup.distinct_documents(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == [-4, 1, 3, 4, 5, 6, 9, 11, 12, 13]
