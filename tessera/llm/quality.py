@@ -4,14 +4,17 @@ Evidence of a document comes from two logistic models over marker words, found b
 their association with a label, and the shape of the text. They are fitted on a
 bounded sample of labelled rows; everything else covers all rows. The documents'
 posteriors are summed up by host and by path. A host's rate is drawn to the rate of
-all documents and a path's to its host's, by weights that the spread between hosts
-gives (method of moments), so a site with few documents says little. The path's
-log-odds against the overall ones are added to those of the document.
+all documents and a path's to its host's, each by a weight that the spread at its own
+level gives (method of moments), so a site with few documents says little. A document
+is taken out of its own site's sums before they speak about it. The path's log-odds
+against the overall ones are added to those of the document.
 
 Defined results: a null or empty text has no evidence and gets the prior of its site;
 null host or path count as a site of their own. Without labelled rows, or if a label
 has one value only, that label rejects nothing. Rows are kept one by one, repeats too;
-equal rows get equal results.
+equal rows get equal results. An empty table gives an empty one. Texts are used whole; a
+task holds one run of about 1 MB or one longer text at a time. Columns go by place in
+good(), so those of its table may have any name.
 """
 
 from __future__ import annotations
@@ -25,18 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import drop, read, stash
+from tessera.llm.shared import read, scratch, stash
 from tessera.llm.words import ALNUM, U64, Words, runs
 
-#: Labelled rows that the models are fitted on, those of the smallest hash of doc_id.
-FIT_ROWS = 6000
-#: Marker words of a label at most.
-MARKERS = 512
+#: Labelled rows that the models are fitted on, those of the smallest hash of doc_id, and bytes of their texts, at most. Rows that do not fit into the bytes left are passed over.
+FIT_ROWS, FIT_BYTES = 6000, 24 << 20
 #: Weight of the site against the document, and bounds of the weight of a prior in documents.
 SITE_WEIGHT, LEAST, MOST = 0.5, 50.0, 1e6
 THRESHOLD = 0.4
 LABELS = ("low", "toxic")
-_PREFIX = 5
 _BITS = 20
 _SYMBOLS = b"!|%#$&*@<>{}[]=_~^+\\"
 
@@ -77,15 +77,9 @@ def shape(words: Words) -> np.ndarray:
     return np.stack([share(upper), share(np.isin(data, np.frombuffer(_SYMBOLS, np.uint8))), share((data >= 48) & (data <= 57)), share(data == 10), *marks, np.bincount(row_of, length, minlength=n) / word_n / 10, distinct / word_n, np.log1p(np.diff(words.rows)) / 10], axis=1)
 
 
-def _tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of words and of their first bytes, and the text of each."""
-    row_of = np.repeat(np.arange(len(words)), np.diff(words.rows))
-    return np.concatenate([words.hashes, words.prefixes(_PREFIX) ^ U64(1)]), np.concatenate([row_of, row_of])
-
-
 def _features(words: Words, model: Model) -> np.ndarray:
     out = np.zeros((len(words), len(model.weights)))
-    tokens, row_of = _tokens(words)
+    tokens, row_of = words.hashes, np.repeat(np.arange(len(words)), np.diff(words.rows))
     maybe = model.table[tokens >> U64(64 - _BITS)]
     tokens, row_of = tokens[maybe], row_of[maybe]
     at = np.searchsorted(model.markers, tokens)
@@ -105,7 +99,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model | None:
     rows, tokens, shapes, first = [], [], [], 0
     column = pa.array(texts, pa.large_string())
     for words in runs(column, ALNUM, lower=True):  # twice over the texts, so that no run stays in memory
-        t, r = _tokens(words)
+        t, r = words.hashes, np.repeat(np.arange(len(words)), np.diff(words.rows))
         order = np.lexsort((t, r))
         t, r = t[order], r[order]
         keep = np.ones(len(t), bool)
@@ -121,7 +115,6 @@ def fit(texts: list[str], labels: np.ndarray) -> Model | None:
     rate = total / len(y)
     z = (inside - y.sum() * rate) / np.sqrt(y.sum() * rate * (1 - rate) + 1e-9)
     good = np.flatnonzero((inside >= 3) & (z > 5))
-    good = np.sort(good[np.argsort(-z[good], kind="stable")][:MARKERS])
     markers = seen[good]
     table = np.zeros(1 << _BITS, bool)
     table[markers >> U64(64 - _BITS)] = True
@@ -143,25 +136,33 @@ def fit(texts: list[str], labels: np.ndarray) -> Model | None:
     return model
 
 
-def fitted(documents: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> dict[str, Model | None]:
-    """A model per label, from at most `limit` of the labelled documents that are there, which reach the driver.
+def fitted(documents: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, limit_bytes: int = FIT_BYTES) -> dict[str, Model | None]:
+    """A model per label, from labelled documents that are there: `limit` rows and `limit_bytes` of text at most, which reach the driver.
 
     Those of the least hash, but of each value of a label a twentieth of `limit` at least,
-    if there are so many. Of documents with the same id, one counts.
+    if there are so many. Of documents with the same id, the text of the least hash counts.
     """
-    told = labels.where("doc_id IS NOT NULL").select("doc_id", (F.coalesce("quality", F.lit(1)) == 0).alias("low"), (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic"))
-    told, path = stash(told.withColumn("hash", F.xxhash64("doc_id")).join(documents.select("doc_id").hint("merge"), "doc_id", "left_semi").distinct())
-    order = ("hash", "doc_id", "low", "toxic")
-    parts = [told.where(F.col(k) == v).orderBy(*order).limit(max(limit // 20, 1)).withColumn("last", F.lit(False)) for k in LABELS for v in (False, True)]
-    parts.append(told.orderBy(*order).limit(limit).withColumn("last", F.lit(True)))
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    chosen = every.groupBy(*order).agg(F.min("last").alias("last")).orderBy("last", *order).limit(limit).select("doc_id", "low", "toxic")
+    told = labels.where("doc_id IS NOT NULL").select("doc_id", (F.coalesce("quality", F.lit(1)) == 0).alias("low"), (F.coalesce("toxic", F.lit(0)) == 1).alias("toxic")).distinct()
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    there = documents.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(size, F.xxhash64("text")).alias("bytes"))
+    with scratch(documents.sparkSession):
+        told, _ = stash(told.withColumn("hash", F.xxhash64("doc_id")).join(there.hint("merge"), "doc_id"))
+        order = ("hash", "doc_id", "low", "toxic", "bytes")
+        parts = [told.where(F.col(k) == v).orderBy(*order).limit(max(limit // 20, 1)).withColumn("last", F.lit(False)) for k in LABELS for v in (False, True)]
+        parts.append(told.orderBy(*order).limit(limit).withColumn("last", F.lit(True)))
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        rows = every.groupBy(*order).agg(F.min("last").alias("last")).orderBy("last", *order).limit(limit).collect()
+    chosen, used = [], 0
+    for r in rows:
+        if used + r.bytes <= limit_bytes:
+            used += r.bytes
+            chosen.append((r.doc_id, r.low, r.toxic))
     # One text of each id, by partial aggregates: an id that repeats is bounded too.
-    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "low", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    ids = documents.sparkSession.createDataFrame(chosen, "doc_id long, low boolean, toxic boolean")
+    found = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "low", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = found.toArrow().sort_by([(c, "ascending") for c in ("doc_id", "low", "toxic", "text")])
-    drop(documents.sparkSession, path)
     texts = rows["text"].fill_null("").to_pylist()
     return {k: fit(texts, rows[k].to_numpy().astype(bool)) if texts else None for k in LABELS}
 
@@ -192,42 +193,69 @@ def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     """doc_id, text_hash, the posterior of each label, those of the site, and kept. df is read twice: for the sample, and for all rows."""
     docs = df.select(F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text_hash"), F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("")).alias("path"))
     models = fitted(docs, labels, fit_rows)
-    judged, _ = stash(evidence(docs, models))
+    with scratch(df.sparkSession) as kept:
+        judged, _ = stash(evidence(docs, models))
+        out, at = stash(fused(judged, {k: m is not None for k, m in models.items()}, threshold))
+        kept.append(at)
+    return out
+
+
+def _weight(q: float | None, groups: int | None, above: float, n: float) -> float:
+    """The weight in documents of the level above: what its rates' variance is to the spread q of the groups below, beyond what sampling gives."""
+    var = above / n if n else 0.0
+    extra = ((q or 0) - (groups or 0) * var) / n if n else 0.0
+    return min(max(var / extra - 1, LEAST), MOST) if extra > 0 else MOST
+
+
+def fused(judged: DataFrame, known: dict[str, bool], threshold: float = THRESHOLD) -> DataFrame:
+    """Puts the evidence of documents and of their sites together. judged: doc_id, text_hash, host, path and the odds of each label."""
     for k in LABELS:
         judged = judged.withColumn(f"{k}_p", 1 / (1 + F.exp(-F.col(f"{k}_odds"))))
     sums = [f(F.col(f"{k}_p")).alias(f"{k}_{n}") for k in LABELS for n, f in (("sum", F.sum), ("n", F.count))]
-    paths = judged.groupBy("host", "path").agg(*sums)
+    paths = judged.groupBy("host", "path").agg(*sums).fillna(0.0)
     hosts = paths.groupBy("host").agg(*(F.sum(f"{k}_{n}").alias(f"{k}_host_{n}") for k in LABELS for n in ("sum", "n")))
-    # One row: rates of all documents, and the spread of hosts around them beyond what sampling gives.
+    # One row: rates of all documents, then the spread of hosts around them, and of paths around their hosts.
     totals = hosts.agg(*(F.sum(f"{k}_host_{n}").alias(f"{k}_{n}") for k in LABELS for n in ("sum", "n"))).first()
     rate = {k: min(max((totals[f"{k}_sum"] or 0) / max(totals[f"{k}_n"] or 0, 1), 1e-4), 1 - 1e-4) for k in LABELS}
-    spread = hosts.agg(*(f for k in LABELS for f in (F.sum((F.col(f"{k}_host_sum") - rate[k] * F.col(f"{k}_host_n")) ** 2 / F.col(f"{k}_host_n")).alias(f"{k}_q"), F.sum(F.when(F.col(f"{k}_host_n") > 0, 1)).alias(f"{k}_hosts")))).first()
-    weight = {}
-    for k in LABELS:
-        var = rate[k] * (1 - rate[k])
-        extra = ((spread[f"{k}_q"] or 0) - (spread[f"{k}_hosts"] or 0) * var) / max(totals[f"{k}_n"] or 0, 1)
-        weight[k] = min(max(var / extra - 1, LEAST), MOST) if extra > 0 else MOST
-    sites = paths.join(hosts, "host")
-    for k in LABELS:
-        by_host = (F.col(f"{k}_host_sum") + weight[k] * rate[k]) / (F.col(f"{k}_host_n") + weight[k])
-        sites = sites.withColumn(f"{k}_site", (F.col(f"{k}_sum") + weight[k] * by_host) / (F.col(f"{k}_n") + weight[k]))
-    sites, _ = stash(sites.select("host", "path", *(f"{k}_site" for k in LABELS)))  # a table of its own, so that Spark may split a hot site
-    out = judged.join(sites, ["host", "path"])
+    # A table of its own, so that Spark may split a hot site.
+    sites, _ = stash(paths.join(hosts.hint("merge"), "host"))
+
+    def off(own: str, mean, name: str) -> list:
+        """Squared deviations of a level's sums from what the level above says, and the number of groups."""
+        s, n = F.col(f"{own}_sum"), F.col(f"{own}_n")
+        return [F.sum(F.when(n > 0, (s - mean * n) ** 2 / n)).alias(f"{name}_q"), F.sum(F.when(n > 0, 1)).alias(f"{name}_groups")]
+
+    by_host = hosts.agg(*(c for k in LABELS for c in off(f"{k}_host", F.lit(rate[k]), k))).first()
+    mean = {k: F.col(f"{k}_host_sum") / F.col(f"{k}_host_n") for k in LABELS}
+    by_path = sites.agg(*(c for k in LABELS for c in (*off(k, mean[k], k), F.sum(F.when(F.col(f"{k}_n") > 0, F.col(f"{k}_n") * mean[k] * (1 - mean[k]))).alias(f"{k}_var")))).first()
+    out = judged.join(sites.hint("merge"), ["host", "path"])
     for k in LABELS:
+        n = totals[f"{k}_n"] or 0
+        host_weight = _weight(by_host[f"{k}_q"], by_host[f"{k}_groups"], n * rate[k] * (1 - rate[k]), n)
+        path_weight = _weight(by_path[f"{k}_q"], by_path[f"{k}_groups"], by_path[f"{k}_var"] or 0.0, n)
+        own, one = F.coalesce(f"{k}_p", F.lit(0.0)), F.when(F.col(f"{k}_p").isNull(), 0).otherwise(1)
+        above = (F.col(f"{k}_host_sum") - own + host_weight * rate[k]) / (F.col(f"{k}_host_n") - one + host_weight)
+        site = (F.col(f"{k}_sum") - own + path_weight * above) / (F.col(f"{k}_n") - one + path_weight)
+        out = out.withColumn(f"{k}_site", F.least(F.greatest(site, F.lit(1e-6)), F.lit(1 - 1e-6)))
         prior = _logit(F.lit(rate[k]))
         odds = F.coalesce(F.col(f"{k}_odds"), prior) + SITE_WEIGHT * (_logit(F.col(f"{k}_site")) - prior)
         out = out.withColumn(k, F.round(1 / (1 + F.exp(-odds)), 6)).withColumn(f"{k}_site", F.round(f"{k}_site", 6))
     rejected = F.lit(False)
     for k in LABELS:
-        rejected = rejected | ((F.col(k) >= threshold) & F.lit(models[k] is not None))
+        rejected = rejected | ((F.col(k) >= threshold) & F.lit(known[k]))
     return out.select("doc_id", "text_hash", *LABELS, *(f"{k}_site" for k in LABELS), (~rejected).alias("kept"))
 
 
 def good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """The rows of df, with all their columns, that classify() keeps."""
-    bad = classify(df, labels, key, text, **more).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    same = df[key].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(df[text].cast("string")) == F.col("_hash"))
-    return df.join(bad, same, "left_anti")
+    names = df.columns
+    own = [f"c{i}" for i in range(len(names))]
+    rows, k, t = df.toDF(*own), own[names.index(key)], own[names.index(text)]
+    with scratch(df.sparkSession) as kept:
+        bad, at = stash(classify(df, labels, key, text, **more).where("NOT kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct())
+        kept.append(at)
+    same = F.col(k).cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(F.col(t).cast("string")) == F.col("hash"))
+    return rows.join(bad.hint("merge"), same, "left_anti").toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
