@@ -11,7 +11,9 @@ aggregations, and go back to the pages by joins on lean rows.
 Defined results: a null or empty page has no text evidence; a null url has empty host,
 domain and suffix, which form a site of their own; where nothing is declared, markup
 says nothing; equal posteriors go to the language that comes first by name; rows are
-kept one by one. Without labelled documents all languages are null.
+kept one by one, and equal rows get equal results. Without labelled documents all
+languages are null; an empty table gives an empty one. Pages are used whole, STEP
+trigrams at a time, so memory is bounded by the longest page's bytes.
 """
 
 from __future__ import annotations
@@ -24,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import read, stash
-from tessera.llm.words import RUN_BYTES, spans
+from tessera.llm.shared import read, scratch, stash
+from tessera.llm.words import spans
 
-#: Labelled documents that the text model is fitted on, those of the smallest hash of doc_id.
-FIT_ROWS = 2000
+#: Labelled documents that the text model is fitted on, those of the smallest hash of doc_id, and bytes of their texts, at most. Rows that do not fit into the bytes left are passed over.
+FIT_ROWS, FIT_BYTES = 2000, 24 << 20
+#: Trigrams of a page are weighed so many at a time.
+STEP = 1 << 17
 BITS = 15
-#: Trigrams overlap, so each counts for less; and no page's text for more than so many of them.
-TEMPER, TEXT_MOST = 0.2, 400.0
+#: Trigrams overlap, so each counts for less.
+TEMPER = 0.2
 #: Weight of the level above, and of the guess that what is declared is so, in pages.
 PRIOR, DECLARED = 20.0, 5.0
 
@@ -62,14 +66,30 @@ def fit(texts: list[str], langs: list[str]) -> TextModel:
     return TextModel(names, logs - logs.mean(1, keepdims=True) if names else logs)
 
 
-def fitted(documents: DataFrame, limit: int = FIT_ROWS) -> TextModel:
-    """From at most `limit` labelled documents, which reach the driver."""
+def fitted(documents: DataFrame, limit: int = FIT_ROWS, limit_bytes: int = FIT_BYTES) -> TextModel:
+    """From labelled documents, `limit` rows and `limit_bytes` of text at most, which reach the driver. Of rows with the same id, that of the least hash counts."""
     labelled = documents.where("lang IS NOT NULL AND doc_id IS NOT NULL")
-    chosen = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen.distinct()), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    one = F.struct(F.xxhash64("text", "lang").alias("hash"), "lang", F.octet_length(F.coalesce("text", F.lit(""))).alias("bytes"))
+    rows = labelled.groupBy("doc_id").agg(F.min(one).alias("one")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
+    chosen, used = [], 0
+    for r in rows:
+        if used + r.one.bytes <= limit_bytes:
+            used += r.one.bytes
+            chosen.append((r.doc_id, r.one.hash))
+    ids = documents.sparkSession.createDataFrame(chosen, "doc_id long, hash long")
+    found = labelled.select("doc_id", F.xxhash64("text", "lang").alias("hash"), "text", "lang").join(F.broadcast(ids), ["doc_id", "hash"]).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
+    rows = found.toArrow().sort_by([("doc_id", "ascending")])
     return fit([x or "" for x in rows["text"].to_pylist()], rows["lang"].to_pylist())
 
 
+def likelihood(page: np.ndarray, model: TextModel) -> np.ndarray:
+    """The tempered log-likelihood of a page's bytes by language."""
+    told = np.zeros(len(model.langs))
+    for i in range(0, max(len(page) - 2, 0), STEP):
+        told += model.weights[trigrams(page[i : i + STEP + 2])].sum(0)
+    return TEMPER * told
+
+
 def _text(html: Column) -> Column:
     return F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
 
@@ -90,21 +110,9 @@ def evidence(pages: DataFrame, model: TextModel, key: str, url: str, html: str)
         width = len(known.langs)
         for batch in batches:
             data, at = spans(batch.column(0))
-            i = 0
-            while i < batch.num_rows:
-                j = min(batch.num_rows, max(i + 1, int(np.searchsorted(at, at[i] + RUN_BYTES, "right")) - 1))
-                part, places = data[at[i] : at[j]], at[i : j + 1] - at[i]
-                sums = np.zeros((len(part) + 1, width))
-                found = trigrams(part)
-                np.cumsum(known.weights[found], axis=0, out=sums[1 : len(found) + 1])
-                last = np.clip(places[1:] - 2, places[:-1], len(found))  # trigrams that lie within the page
-                told = sums[last] - sums[np.minimum(places[:-1], len(found))]
-                n = np.maximum(last - places[:-1], 1)[:, None]
-                told *= TEMPER * np.minimum(1, TEXT_MOST / n)
-                lists = pa.ListArray.from_arrays(np.arange(0, told.size + 1, max(width, 1), dtype=np.int32) if width else np.zeros(len(told) + 1, np.int32), pa.array(told.ravel()))
-                rows = batch.slice(i, j - i)
-                yield pa.record_batch([*rows.columns[1:], lists], ["page_id", "host", "declared", "text"])
-                i = j
+            told = np.array([likelihood(data[a:b], known) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]).reshape(batch.num_rows, width)
+            lists = pa.ListArray.from_arrays(np.arange(len(told) + 1, dtype=np.int32) * width, pa.array(told.ravel()))
+            yield pa.record_batch([*batch.columns[1:], lists], ["page_id", "host", "declared", "text"])
 
     told = lean.mapInArrow(judge, "page_id long, host string, declared string, text array<double>")
     return told.withColumn("suffix", F.element_at(F.split("host", r"\."), -1)).withColumn("domain", F.substring_index("host", ".", -2))
@@ -121,7 +129,17 @@ def identify(pages: DataFrame, model: TextModel, key: str = "page_id", url: str
     k = len(model.langs)
     if not k:
         return evidence(pages, model, key, url, html).select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("text_lang"), "declared", "host", F.lit(None).cast("string").alias("host_lang"))
-    lean, _ = stash(evidence(pages, model, key, url, html).withColumn("soft", _softmax(F.col("text"))))
+    with scratch(pages.sparkSession) as kept:
+        lean, _ = stash(evidence(pages, model, key, url, html))
+        out, at = stash(fused(lean, model.langs))
+        kept.append(at)
+    return out
+
+
+def fused(lean: DataFrame, langs: list[str]) -> DataFrame:
+    """Puts the evidence of text, markup and address together. lean: page_id, suffix, domain, host, declared and text, the log-likelihoods by language."""
+    k = len(langs)
+    lean = lean.withColumn("soft", _softmax(F.col("text")))
 
     def sums(column: str, name: str) -> list[Column]:
         return [F.array(*(F.sum(F.col(column)[i]) for i in range(k))).alias(name)]
@@ -136,8 +154,8 @@ def identify(pages: DataFrame, model: TextModel, key: str = "page_id", url: str
     n = (total["n"] or 0) + k
     overall = F.array(*(F.lit((x + 1.0) / n) for x in total["s"] if x is not None)) if total["n"] else F.array(*(F.lit(1.0 / k) for _ in range(k)))
     sites = (
-        hosts.join(domains, ["suffix", "domain"])
-        .join(suffixes, "suffix")
+        hosts.join(domains.hint("merge"), ["suffix", "domain"])
+        .join(suffixes.hint("merge"), "suffix")
         .withColumn("by_suffix", drawn("suffix_sum", "suffix_n", overall))
         .withColumn("by_domain", drawn("domain_sum", "domain_n", F.col("by_suffix")))
         .select("suffix", "domain", "host", "host_sum", "host_n", "by_domain")
@@ -146,12 +164,12 @@ def identify(pages: DataFrame, model: TextModel, key: str = "page_id", url: str
     # How likely each language's pages declare what this one does.
     said = lean.where("declared <> ''").groupBy("declared").agg(*sums("soft", "said_sum"))
     all_said = [float(x or 0) for x in (total["s"] or [0.0] * k)]
-    likely = F.array(*(F.log((F.col("said_sum")[i] + F.when(F.col("declared") == lang, DECLARED).otherwise(DECLARED / 100)) / (all_said[i] + DECLARED)) for i, lang in enumerate(model.langs)))
+    likely = F.array(*(F.log((F.col("said_sum")[i] + F.when(F.col("declared") == lang, DECLARED).otherwise(DECLARED / 100)) / (all_said[i] + DECLARED)) for i, lang in enumerate(langs)))
     said, _ = stash(said.select("declared", likely.alias("markup")))
-    joined = lean.join(sites, ["suffix", "domain", "host"]).join(said, "declared", "left")
+    joined = lean.join(sites.hint("merge"), ["suffix", "domain", "host"]).join(said.hint("merge"), "declared", "left")
     rest = F.transform(F.arrays_zip(F.col("host_sum").alias("s"), F.col("soft").alias("o"), F.col("by_domain").alias("d")), lambda z: (z["s"] - z["o"] + PRIOR * z["d"]) / (F.col("host_n") - 1 + PRIOR))
     logs = F.transform(F.arrays_zip(F.col("text").alias("t"), rest.alias("p"), F.coalesce("markup", F.array_repeat(F.lit(0.0), k)).alias("m")), lambda z: z["t"] + F.log(F.greatest(z["p"], F.lit(1e-12))) + z["m"])
-    names = F.array(*(F.lit(x) for x in model.langs))
+    names = F.array(*(F.lit(x) for x in langs))
 
     def best(values: Column) -> Column:
         return F.element_at(names, F.array_position(values, F.array_max(values)).cast("int"))
