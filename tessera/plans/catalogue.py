@@ -122,7 +122,7 @@ def pyramid_scales(spark, d):
 def linear_score(spark, d):
     ramp = F.array(*(F.lit((i - 31.5) / 64) for i in range(64)))
     scored = table(spark, d, "embeddings").select("vec_id", _r(score.dot(F.col("embedding"), ramp)).alias("score"))
-    return detect.candidates(scored, 0.0).orderBy(F.desc("score"), "vec_id").limit(10)
+    return detect.candidates(scored, 0.0)
 
 
 def _label_means(spark, d):
@@ -212,7 +212,7 @@ def kmeans_fit(spark, d):
 
 def merge_clusters(spark, d):
     ratio = F.round(50 * F.log(F.col("h") / F.col("w"))) / 50
-    bins = sizes(spark, d).groupBy(F.floor(ratio * 4).alias("bin")).agg(F.avg(ratio).alias("center"), F.count(F.lit(1)).alias("n")).orderBy("bin").limit(1000).collect()
+    bins = sizes(spark, d).groupBy(F.floor(ratio * 4).alias("bin")).agg(F.avg(ratio).alias("center"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()  # some thousands at most: logarithms of doubles are within 750
     into = cluster.merge_near([r["center"] for r in bins], [r["n"] for r in bins], 0.2)
     return spark.createDataFrame([(r["bin"], r["n"], i) for r, i in zip(bins, into, strict=True)], "bin long, n long, cluster int")
 
@@ -280,6 +280,27 @@ def average_precision_shown(spark, d):
     return evaluate.average_precision(_results(spark, d), as_shown=True).select(_r("average_precision").alias("average_precision"))
 
 
+def _run(spark, d):
+    """Detections against objects: matched, then counted by threshold."""
+    found, objects = _split(spark, d)
+    return evaluate.sweep(evaluate.match(found, objects, "image", "event_id", 0.3), objects.count(), GRANULARITY)
+
+
+def evaluate_run(spark, d):
+    return _run(spark, d).select("threshold", "tp", "fp", "np", _r(evaluate.precision()).alias("precision"), _r(evaluate.recall()).alias("recall"), _r(evaluate.f_measure(1.0)).alias("f1"))
+
+
+def average_precision_detected(spark, d):
+    return evaluate.average_precision(_run(spark, d)).select(_r("average_precision").alias("average_precision"))
+
+
+def models_replaced(spark, d):
+    """Models by class, of which those of small items are learned anew."""
+    old = table(spark, d, "part").groupBy(F.col("p_brand").alias("class")).agg(F.max("p_size").alias("size"))
+    new = table(spark, d, "part").where("p_size < 3").groupBy(F.col("p_brand").alias("class")).agg(F.min("p_size").alias("size"))
+    return sampling.replace_by_key(old, new, "class")
+
+
 def _two_models(spark, d):
     """Objects are image and hour of purchases; models are clicks and views of even and odd ids, with the value as score."""
     b = boxes(spark, d)
@@ -332,19 +353,21 @@ def oracle_sql() -> dict[str, str]:
     phrase = ", ".join(f"'{w}'" for w in PHRASE.split())
     lists = "list_filter(regexp_split_to_array(lower(p_name), '[ .,;]+'), lambda w: w <> '')"
     taps = ", ".join(f"({dy}, {dx}, CAST({f} AS DOUBLE))" for (dy, dx), f in FILTER.items())
-    half = "half AS (SELECT dx, dy FROM range(3) a(dx), range(-2, 3) b(dy) WHERE dx > 0 OR dy >= 0)"
-    small = "small AS (SELECT y % 50 AS y, x, round(sum(v), 6) AS v FROM grid GROUP BY ALL)"
+    half = "half AS (SELECT dx, dy FROM range(20) a(dx), range(-19, 20) b(dy) WHERE dx > 0 OR dy >= 0)"
     bins = "bins AS (SELECT greatest(0, least(200, CAST(round(50 * ln(h / w) + 100) AS BIGINT))) AS bin, count(*) AS n FROM sizes WHERE w > 0 AND h > 0 GROUP BY ALL)"
     weights = "weights AS (SELECT c AS center, coalesce((SELECT sum(n * exp(-CAST((bin - c) * (bin - c) AS DOUBLE) / 400)) FROM bins WHERE bin < 200 AND bin - c BETWEEN -100 AND 99), 0) AS weight FROM range(201) r(c))"
     ranked = "ranked AS (SELECT {by} w * h AS area, row_number() OVER ({part} ORDER BY w * h) AS rn, count(*) OVER ({part}) AS n FROM sizes)"
     means = "means AS (SELECT label, ch, avg(x) AS m FROM cells GROUP BY ALL)"
     centers = "centers AS (SELECT label AS cluster, arg_min(embedding, vec_id) AS center FROM embeddings GROUP BY label)"
     assigned = "told AS (SELECT vec_id, embedding, cluster, round(list_sum(list_transform(range(1, 65), lambda i: (CAST(embedding[i] AS DOUBLE) - CAST(center[i] AS DOUBLE)) * (CAST(embedding[i] AS DOUBLE) - CAST(center[i] AS DOUBLE)))), 6) AS distance FROM embeddings, centers), assigned AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1)"
-    results = "counts AS (SELECT floor(score) AS threshold, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS t, sum(CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END) AS f FROM boxes GROUP BY ALL), results AS (SELECT threshold, CAST(sum(t) OVER w AS BIGINT) AS tp, CAST(sum(f) OVER w AS BIGINT) AS fp, (SELECT count(*) FROM boxes WHERE event_type = 'purchase') AS np FROM counts WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)), pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS p, CASE WHEN np > 0 THEN tp / np END AS r FROM results)"
+    results = "counts AS (SELECT floor(score * 100) / 100 AS threshold, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS t, sum(CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END) AS f FROM boxes GROUP BY ALL), results AS (SELECT threshold, CAST(sum(t) OVER w AS BIGINT) AS tp, CAST(sum(f) OVER w AS BIGINT) AS fp, (SELECT count(*) FROM boxes WHERE event_type = 'purchase') AS np FROM counts WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)), pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END AS p, CASE WHEN np > 0 THEN tp / np END AS r FROM results)"
     f = "CASE WHEN {b} * {b} * p + r > 0 THEN (1 + {b} * {b}) * p * r / ({b} * {b} * p + r) WHEN {b} * {b} * p + r = 0 THEN 0 END"
     curve = "points AS (SELECT round(r, 9) AS recall, max(p) AS p FROM pr GROUP BY ALL), curve AS (SELECT recall, max(p) OVER (ORDER BY recall DESC ROWS UNBOUNDED PRECEDING) AS precision FROM points)"
+    matched = f"d AS (SELECT * FROM boxes WHERE event_type = 'click'), t AS (SELECT * FROM boxes WHERE event_type = 'purchase'), p AS (SELECT a.event_id AS d, a.score, b.event_id AS t, round(({INTER}) / (a.w * a.h + b.w * b.h - {INTER}), 9) AS iou FROM d a JOIN t b ON a.image = b.image), best AS (SELECT * FROM p WHERE iou >= 0.3 QUALIFY row_number() OVER (PARTITION BY d ORDER BY iou DESC, t) = 1), hit AS (SELECT d FROM best QUALIFY row_number() OVER (PARTITION BY t ORDER BY score DESC, d) = 1), scored AS (SELECT event_id, score, event_id IN (SELECT d FROM hit) AS hit FROM d)"
+    run = matched + ", " + results.replace("event_type = 'purchase' THEN 1", "hit THEN 1").replace("event_type = 'purchase' THEN 0", "hit THEN 0").replace("FROM boxes GROUP", "FROM scored GROUP")
     line = "SELECT {line}, t.i AS {along}, max(v + -0.5 * (t.i - {along}) * (t.i - {along})) AS v FROM {src}, range({a}, {b}) t(i) GROUP BY ALL"
-    dt1 = line.format(line="y", along="x", src="small", a=1, b=32)
+    dt1 = line.format(line="y", along="x", src="grid", a=1, b=32)
+    columns = "SELECT x, CAST(t.i AS BIGINT) AS y, max(v + -0.5 * (t.i - y) * (t.i - y)) AS v FROM r, (SELECT unnest(range((SELECT max(y) + 1 FROM grid))) AS i) t GROUP BY ALL"
     out = {
         "synset_list": "SELECT p_partkey AS synset_id, p_name AS description FROM part",
         "synset_get": "SELECT p_partkey AS synset_id, p_name AS description FROM part WHERE p_partkey = 7",
@@ -356,21 +379,21 @@ def oracle_sql() -> dict[str, str]:
         "class_from_name": "SELECT p_partkey AS synset_id, array_to_string(list_transform(string_split(lower(p_name) || ' v2', ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') AS class FROM part",
         "channel_mean": f"WITH {CELLS} SELECT ch, round(avg(x), 6) AS mean FROM cells GROUP BY ch",
         "channel_absmax": f"WITH {CELLS} SELECT ch, round(max(abs(x)), 6) AS absmax FROM cells GROUP BY ch",
-        "channel_cov": f"WITH {CELLS} SELECT a.ch AS i, b.ch AS j, round(covar_pop(a.x, b.x), 6) AS cov FROM cells a JOIN cells b ON a.vec_id = b.vec_id AND a.ch <= b.ch WHERE a.ch < 8 AND b.ch < 8 GROUP BY ALL",
-        "autocorr_exact": f"WITH {GRID}, {half}, c AS (SELECT y, x, v - (SELECT avg(v) FROM grid) AS v FROM grid) SELECT dx, dy, round(avg(a.v * b.v), 3) AS cov, count(*) AS n FROM c a, half JOIN c b ON b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL",
-        "autocorr_cyclic": f"WITH {GRID}, {half}, c AS (SELECT y, x - 1 AS x, v FROM grid), s AS (SELECT max(y) + 1 AS rows FROM c) SELECT dx, dy, round(sum(a.v * b.v) / (any_value(rows) * 31), 3) AS cov FROM c a, s, half JOIN c b ON b.y = (a.y + dy + rows) % rows AND b.x = (a.x + dx) % 31 GROUP BY ALL",
+        "channel_cov": f"WITH {CELLS} SELECT a.ch AS i, b.ch AS j, round(covar_pop(a.x, b.x), 6) AS cov FROM cells a JOIN cells b ON a.vec_id = b.vec_id AND a.ch <= b.ch GROUP BY ALL",
+        "autocorr_exact": f"WITH {GRID}, {half}, c AS (SELECT y, x, v - (SELECT avg(v) FROM grid) AS v FROM grid), sent AS (SELECT y + dy AS y, x + dx AS x, v, dx, dy FROM c, half) SELECT dx, dy, round(avg(a.v * b.v), 3) AS cov, count(*) AS n FROM sent a JOIN c b ON a.y = b.y AND a.x = b.x GROUP BY ALL",
+        "autocorr_cyclic": f"WITH {GRID}, {half}, c AS (SELECT y, x - 1 AS x, v FROM grid), s AS (SELECT max(y) + 1 AS rows FROM c), sent AS (SELECT ((y + dy) % rows + rows) % rows AS y, (x + dx) % 31 AS x, v, dx, dy, rows FROM c, s, half) SELECT dx, dy, round(sum(a.v * b.v) / (any_value(rows) * 31), 3) AS cov FROM sent a JOIN c b ON a.y = b.y AND a.x = b.x GROUP BY ALL",
         "offset_set": "SELECT dx, dy FROM range(4) a(dx), range(-3, 4) b(dy) WHERE dx > 0 OR dy >= 0",
         "cell_arith": f"WITH {CELLS}, {means}, tops AS (SELECT ch, max(abs(x)) AS t FROM cells GROUP BY ch) SELECT vec_id, c.ch, round((x - m) / t, 6) AS x FROM cells c JOIN means m ON c.label = m.label AND c.ch = m.ch JOIN tops t ON t.ch = c.ch",
         "aspect_mode": f"WITH {SIZES}, {bins}, {weights} SELECT center, round(weight, 4) AS weight, round(exp(0.02 * center - 2), 6) AS aspect FROM weights",
         "area_p20": f"WITH {SIZES}, {ranked.format(by='p_type,', part='PARTITION BY p_type')} SELECT p_type, area FROM ranked WHERE rn = floor(n * 0.2) + 1",
         "model_size": f"WITH {SIZES}, {bins}, {weights}, {ranked.format(by='', part='')}, b AS (SELECT exp(0.02 * arg_max(center, round(weight, 9) * 1000 - center / 1e6) - 2) AS aspect FROM weights), a AS (SELECT least(greatest(floor(area), 5000), 7000) AS area FROM ranked WHERE rn = floor(n * 0.2) + 1), s AS (SELECT aspect, area, greatest(area / (aspect * 25600), area * aspect / 25600) AS over FROM a, b), t AS (SELECT aspect, CASE WHEN over > 1 THEN floor(area / over) ELSE area END AS area FROM s) SELECT CAST(greatest(floor(sqrt(area / aspect) / 8 + 0.5), 1) AS INTEGER) AS width, CAST(greatest(floor(sqrt(area / aspect) * aspect / 8 + 0.5), 1) AS INTEGER) AS height FROM t",
         "pyramid_scales": "WITH t AS (SELECT p_partkey, CAST(10 * ceil(round(log2(p_size * 24 / 40.0), 9)) AS BIGINT) AS top FROM part) SELECT p_partkey, level, round(pow(2.0, 1 - level / 10.0), 9) AS scale FROM t, LATERAL (SELECT unnest(range(top + 1)) AS level) WHERE top >= 10",
-        "linear_score": f"WITH {CELLS} SELECT vec_id, round(sum(x * ((ch - 31.5) / 64)), 6) AS score FROM cells GROUP BY vec_id HAVING round(sum(x * ((ch - 31.5) / 64)), 6) > 0 ORDER BY score DESC, vec_id LIMIT 10",
+        "linear_score": f"WITH {CELLS} SELECT vec_id, round(sum(x * ((ch - 31.5) / 64)), 6) AS score FROM cells GROUP BY vec_id HAVING round(sum(x * ((ch - 31.5) / 64)), 6) > 0",
         "mixture_argmax": f"WITH {CELLS}, {means}, s AS (SELECT c.vec_id, m.label, round(sum(c.x * m.m), 6) AS score FROM cells c JOIN means m ON c.ch = m.ch GROUP BY ALL) SELECT vec_id, label, score FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) = 1",
         "correlate_grid": f"WITH {GRID}, taps(dy, dx, f) AS (VALUES {taps}) SELECT g.y, g.x, round(sum(n.v * f), 6) AS score FROM grid g, taps JOIN grid n ON n.y = g.y + dy AND n.x = g.x + dx GROUP BY ALL",
         "distance_transform_1d": f"WITH {GRID} SELECT y, x, round(v, 6) AS v FROM ({line.format(line='y', along='x', src='grid', a=1, b=32)})",
-        "distance_transform_2d": f"WITH {GRID}, {small}, r AS ({dt1}) SELECT y, x, round(v, 6) AS v FROM ({line.format(line='x', along='y', src='r', a=0, b=50)}) WHERE x % 2 = 0",
-        "part_root_combine": f"WITH {GRID}, {small}, r AS ({dt1}) SELECT g.y, g.x, round(g.v + r.v - 0.25, 6) AS score FROM small g JOIN r ON r.y = 2 * g.y + 1 AND r.x = 2 * g.x",
+        "distance_transform_2d": f"WITH {GRID}, r AS ({dt1}) SELECT y, x, round(v, 6) AS v FROM ({columns})",
+        "part_root_combine": f"WITH {GRID}, r AS ({dt1}) SELECT g.y, g.x, round(g.v + r.v - 0.25, 6) AS score FROM grid g JOIN r ON r.y = 2 * g.y + 1 AND r.x = 2 * g.x",
         "local_max": f"WITH {GRID} SELECT y, x, v FROM grid g WHERE NOT EXISTS (SELECT 1 FROM grid n, range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE (dy <> 0 OR dx <> 0) AND n.y = g.y + dy AND n.x = g.x + dx AND n.v >= g.v)",
         "box_project": "WITH b AS (SELECT event_id, day(ts) AS x, hour(ts) AS y, 4 + event_id % 9 AS w, 4 + (event_id * 7) % 11 AS h, pow(2.0, -(event_id % 4)) AS s FROM events), p AS (SELECT event_id, CAST(floor(x / s + 0.5) AS INTEGER) * 8 + 2 AS l, CAST(floor(y / s + 0.5) AS INTEGER) * 8 + 2 AS t, CAST(floor(w / s + 0.5) AS INTEGER) * 8 AS w, CAST(floor(h / s + 0.5) AS INTEGER) * 8 AS h FROM b), q AS (SELECT event_id, greatest(0, l) AS px, greatest(0, t) AS py, least(640, l + w) - greatest(0, l) AS pw, least(480, t + h) - greatest(0, t) AS ph FROM p) SELECT * FROM q WHERE pw > 0 AND ph > 0",
         "box_overlap": f"WITH {BOXES}, p AS (SELECT a.image, a.event_id AS a_event_id, b.event_id AS b_event_id, {INTER} AS inter, a.w * a.h AS aa, b.w * b.h AS ba FROM boxes a JOIN boxes b ON a.image = b.image AND (a.score > b.score OR (a.score = b.score AND a.event_id < b.event_id))) SELECT image, a_event_id, b_event_id, inter, round(inter / ba, 6) AS covered, round(inter / (aa + ba - inter), 6) AS iou FROM p WHERE inter > 0",
@@ -384,7 +407,7 @@ def oracle_sql() -> dict[str, str]:
         "cluster_sizes": "SELECT label, count(*) AS n, count(*) < floor((SELECT count(*) FROM embeddings) / 10) AS small FROM embeddings GROUP BY label",
         "lda_diag": f"WITH {CELLS}, o AS (SELECT ch, avg(x) AS m0, var_pop(x) AS var FROM cells GROUP BY ch), w AS (SELECT label, m.ch, m0, m AS m1, (m - m0) / (var + 0.01) AS w, (m0 * m0 - m * m) / (var + 0.01) / 2 AS part FROM (SELECT label, ch, avg(x) AS m FROM cells GROUP BY ALL) m JOIN o ON o.ch = m.ch), t AS (SELECT label, max(abs(w)) AS f, sum(part) AS bias FROM w GROUP BY label) SELECT w.label, ch, round(w / f, 6) AS weight, round(f, 4) AS f, round(-bias / f, 4) AS threshold FROM w JOIN t ON w.label = t.label",
         "loo_score": f"WITH {CELLS}, t AS (SELECT label, ch, sum(x) AS s, count(*) AS n FROM cells GROUP BY ALL) SELECT vec_id, c.label, round(sum(x * (s - x)) / (any_value(n) - 1), 6) AS score FROM cells c JOIN t ON t.label = c.label AND t.ch = c.ch WHERE n > 1 GROUP BY ALL",
-        "match_tp_fp": f"WITH {BOXES}, d AS (SELECT * FROM boxes WHERE event_type = 'click'), t AS (SELECT * FROM boxes WHERE event_type = 'purchase'), p AS (SELECT a.event_id AS d, a.score, b.event_id AS t, round(({INTER}) / (a.w * a.h + b.w * b.h - {INTER}), 9) AS iou FROM d a JOIN t b ON a.image = b.image), best AS (SELECT * FROM p WHERE iou >= 0.3 QUALIFY row_number() OVER (PARTITION BY d ORDER BY iou DESC, t) = 1), hit AS (SELECT d FROM best QUALIFY row_number() OVER (PARTITION BY t ORDER BY score DESC, d) = 1) SELECT event_id, score, event_id IN (SELECT d FROM hit) AS hit FROM d",
+        "match_tp_fp": f"WITH {BOXES}, {matched} SELECT event_id, score, hit FROM scored",
         "threshold_sweep": f"WITH {BOXES}, {results} SELECT threshold, tp, fp, np, round(p, 6) AS precision, round(r, 6) AS recall FROM pr",
         "fmeasure_curve": f"WITH {BOXES}, {results} SELECT threshold, round({f.format(b=1)}, 6) AS f1, round({f.format(b=2)}, 6) AS f2 FROM pr",
         "max_fmeasure": f"WITH {BOXES}, {results} SELECT threshold, round(v, 6) AS f_measure FROM (SELECT threshold, round({f.format(b=1)}, 9) AS v FROM pr) ORDER BY v DESC, threshold LIMIT 1",
@@ -392,6 +415,9 @@ def oracle_sql() -> dict[str, str]:
         "pr_interpolated": f"WITH {BOXES}, {results}, {curve} SELECT round(recall, 6) AS recall, round(precision, 6) AS precision FROM curve",
         "average_precision": f"WITH {BOXES}, {results}, {curve} SELECT round(sum(s), 6) AS average_precision FROM (SELECT (recall - coalesce(lag(recall) OVER (ORDER BY recall), 0)) * precision AS s FROM curve)",
         "average_precision_shown": f"WITH {BOXES}, {results}, {curve} SELECT round(sum(s), 6) AS average_precision FROM (SELECT (recall - coalesce(lag(recall) OVER w, 0)) * coalesce(lag(precision) OVER w, precision) AS s FROM curve WINDOW w AS (ORDER BY recall))",
+        "evaluate_run": f"WITH {BOXES}, {run} SELECT threshold, tp, fp, np, round(p, 6) AS precision, round(r, 6) AS recall, round({f.format(b=1)}, 6) AS f1 FROM pr",
+        "average_precision_detected": f"WITH {BOXES}, {run}, {curve} SELECT round(sum(s), 6) AS average_precision FROM (SELECT (recall - coalesce(lag(recall) OVER (ORDER BY recall), 0)) * precision AS s FROM curve)",
+        "models_replaced": "WITH new AS (SELECT p_brand AS class, min(p_size) AS size FROM part WHERE p_size < 3 GROUP BY ALL) SELECT p_brand AS class, max(p_size) AS size FROM part WHERE p_brand NOT IN (SELECT class FROM new) GROUP BY ALL UNION ALL SELECT class, size FROM new",
         "threshold_grid": f"WITH {BOXES}, o AS (SELECT DISTINCT image, x FROM boxes WHERE event_type = 'purchase'), h AS (SELECT event_type, image, x, least(16, CAST(floor(score / {VALUE_STEP}) AS INTEGER)) AS bin FROM boxes WHERE event_type IN ('click', 'view')), best AS (SELECT o.image, o.x, coalesce(max(bin) FILTER (event_type = 'click'), -1) AS a, coalesce(max(bin) FILTER (event_type = 'view'), -1) AS b FROM o LEFT JOIN h ON h.image = o.image AND h.x = o.x GROUP BY ALL), miss AS (SELECT event_type, bin FROM h WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.image = h.image AND o.x = h.x)), g AS (SELECT CAST(i AS INTEGER) AS bin_a, CAST(j AS INTEGER) AS bin_b FROM range(17) a(i), range(17) b(j)), c AS (SELECT bin_a, bin_b, (SELECT count(*) FROM best WHERE a >= bin_a OR b >= bin_b) AS tp, (SELECT count(*) FROM miss WHERE (event_type = 'click' AND bin >= bin_a) OR (event_type = 'view' AND bin >= bin_b)) AS fp, (SELECT count(*) FROM o) AS np FROM g) SELECT bin_a, bin_b, tp, fp, round(CASE WHEN tp + fp + np > 0 THEN 2 * tp / (tp + fp + np) ELSE 0 END, 6) AS f_measure FROM c",
         "model_list_parse": "SELECT p_partkey AS synset_id, p_name AS classname, 'm' || p_partkey || '.txt' AS modelfile, CASE WHEN p_partkey % 7 = 0 THEN 0.5 ELSE (p_partkey % 10)::DOUBLE / 10 END::DOUBLE AS threshold, CASE WHEN p_partkey % 7 <> 0 THEN 'n' || p_partkey END AS synset, p_partkey % 7 = 0 AS disabled FROM part WHERE p_partkey % 7 <> 1",
         "annotation_parse": "SELECT page_id, CAST(count(*) AS BIGINT) AS n, min(v) AS first, max(v) AS last FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"', 1)) AS v FROM pages) GROUP BY page_id",
