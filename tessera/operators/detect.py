@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import area, intersection, iou, project
+from tessera.operators.runs import in_runs
 
 
 def local_maxima(grid: DataFrame) -> DataFrame:
@@ -51,26 +53,27 @@ def suppress(boxes: DataFrame, by: list[str], key: str, overlap: float = 0.5) ->
     Suppression is sequential within an image and class, which is the group; boxes of
     different images never meet.
     """
-    schema = boxes.schema
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", key], ascending=[False, True])
-        x, y, w, h = (pdf[c].to_numpy() for c in ("x", "y", "w", "h"))
-        size = w.clip(0) * h.clip(0)
-        alive = [True] * len(pdf)
-        kept = []
-        for i in range(len(pdf)):
-            if not alive[i]:
-                continue
-            kept.append(i)
-            side = (x[i] + w[i]).clip(None, x[i + 1 :] + w[i + 1 :]) - x[i + 1 :].clip(x[i]) if i + 1 < len(pdf) else x[:0]
-            tall = (y[i] + h[i]).clip(None, y[i + 1 :] + h[i + 1 :]) - y[i + 1 :].clip(y[i]) if i + 1 < len(pdf) else y[:0]
-            for j, (shared, own) in enumerate(zip(side.clip(0) * tall.clip(0), size[i + 1 :], strict=True), i + 1):
-                if own <= 0 or shared >= overlap * own:
-                    alive[j] = False
-        return pdf.iloc[kept]
-
-    return boxes.groupBy(*by).applyInPandas(greedy, schema)
+    names = boxes.columns
+
+    def greedy(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        """Round by round every group keeps its best box that is left, and drops what this covers; all groups at once."""
+        x, y, w, h = (table.column(c).to_numpy().astype(float) for c in ("x", "y", "w", "h"))
+        size = np.clip(w, 0, None) * np.clip(h, 0, None)
+        kept = np.zeros(len(x), bool)
+        left = np.arange(len(x))
+        group = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        while len(left):
+            head = np.ones(len(left), bool)
+            head[1:] = group[left[1:]] != group[left[:-1]]
+            best = left[head][np.cumsum(head) - 1]
+            kept[left[head]] = True
+            side = np.minimum(x[left] + w[left], x[best] + w[best]) - np.maximum(x[left], x[best])
+            tall = np.minimum(y[left] + h[left], y[best] + h[best]) - np.maximum(y[left], y[best])
+            shared = np.clip(side, 0, None) * np.clip(tall, 0, None)
+            left = left[~head & (size[left] > 0) & (shared < overlap * size[left])]
+        return table.select(names).filter(pa.array(kept)).combine_chunks().to_batches(max_chunksize=None)[0] if kept.any() else pa.RecordBatch.from_pylist([], table.select(names).schema)
+
+    return in_runs(boxes, by, [F.desc("score"), key], greedy, boxes.schema)
 
 
 def top_k(detections: DataFrame, by: list[str], key: str, k: int) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.operators.runs import in_runs
+
 #: Places of a line that are transformed together.
 BLOCK = 1024
 
@@ -84,27 +86,46 @@ def distance_transform(grid: DataFrame, line: str, along: str, value: str, first
     a block meets.
     """
 
-    def of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        best = pdf.groupby(along, as_index=False)[value].max().sort_values(along)
-        start = first + (key[1] * block if len(key) > 1 else 0)
-        targets = np.arange(start, min(last, start + block - 1) + 1 if len(key) > 1 else last + 1)
-        return pd.DataFrame({line: key[0], along: targets, value: envelope(best[value].to_numpy(float), best[along].to_numpy() - float(start), targets - float(start), a, b)})
-
-    def on_top(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        best = pdf.sort_values(along)
-        start = float(first + key[1] * block)
-        hull, cut = _hull(best[value].to_numpy(float), best[along].to_numpy() - start, a, b)
-        cut = np.asarray([*cut, np.inf]) + start
-        return best.iloc[hull].assign(_from=cut[:-1], _to=cut[1:])
+    def best_of(table: pa.Table, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct places of a group and the best value of each."""
+        places, values = (table.column(c).to_numpy()[begin:end] for c in (along, value))
+        new = np.flatnonzero(np.diff(places, prepend=places[0] - 1))
+        return places[new].astype(float), np.maximum.reduceat(values, new).astype(float)
+
+    def of(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        lines, found, best = table.column(line).to_numpy(), [], []
+        number = table.column("_block").to_numpy() if "_block" in table.column_names else None
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            places, values = best_of(table, begin, end)
+            start = first if number is None else first + int(number[begin]) * block
+            targets = np.arange(start, (last if number is None else min(last, start + block - 1)) + 1)
+            found.append(targets)
+            best.append(envelope(values, places - start, targets - float(start), a, b))
+        return pa.record_batch([pa.array(np.repeat(lines[cuts[:-1]], list(map(len, found)))), pa.array(np.concatenate(found)), pa.array(np.concatenate(best))], [line, along, value])
+
+    def on_top(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        kept, low, high = [], [], []
+        number = table.column("_block").to_numpy()
+        for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            places, values = best_of(table, begin, end)
+            start = float(first + int(number[begin]) * block)
+            hull, cut = _hull(values, places - start, a, b)
+            cut = np.asarray([*cut, np.inf]) + start
+            kept.append(begin + np.asarray(hull))
+            low.append(cut[:-1])
+            high.append(cut[1:])
+        rows = pa.array(np.concatenate(kept))
+        return pa.record_batch([*(table.column(c).combine_chunks().take(rows) for c in (line, along, value, "_block")), pa.array(np.concatenate(low)), pa.array(np.concatenate(high))], [line, along, value, "_block", "_from", "_to"])
 
     out = f"{line} long, {along} long, {value} double"
     if last - first < block:
-        return grid.select(line, along, value).groupBy(line).applyInPandas(of, out)
+        lean = grid.select(F.col(line).cast("long").alias(line), F.col(along).cast("long").alias(along), F.col(value).cast("double").alias(value))
+        return in_runs(lean, [line], [along], of, out)
     best = grid.groupBy(F.col(line).cast("long").alias(line), F.col(along).cast("long").alias(along)).agg(F.max(F.col(value).cast("double")).alias(value)).withColumn("_block", F.floor((F.col(along) - first) / F.lit(float(block))))
     ends = best.groupBy(line, "_block").agg(F.min(F.struct(along, value)).alias("_low"), F.max(F.struct(along, value)).alias("_high"))
     w = W.partitionBy(line).orderBy("_block")
     ends = ends.select(line, "_block", *(f(end, 1).over(w).alias(f"{end}_{side}") for side, f in (("before", F.lag), ("after", F.lead)) for end in ("_low", "_high")))
-    kept = best.groupBy(line, "_block").applyInPandas(on_top, f"{line} long, {along} long, {value} double, _block long, _from double, _to double").join(ends, [line, "_block"])
+    kept = in_runs(best, [line, "_block"], [along], on_top, f"{line} long, {along} long, {value} double, _block long, _from double, _to double").join(ends, [line, "_block"])
 
     def left(end: str):
         return _crossing(F.col(f"{end}.{along}"), F.col(f"{end}.{value}"), F.col(along), F.col(value), a, b)
@@ -117,7 +138,7 @@ def distance_transform(grid: DataFrame, line: str, along: str, value: str, first
     end = F.least(F.lit(float(last)), F.least("_to", right("_low_after"), right("_high_after")) + 1)
     sent = kept.select(line, along, value, begin.alias("_begin"), end.alias("_end")).where("_begin <= _end")
     number = (F.floor((F.col(c) - first) / F.lit(float(block))) for c in ("_begin", "_end"))
-    return sent.select(line, along, value, F.explode(F.sequence(*number)).alias("_block")).groupBy(line, "_block").applyInPandas(of, out)
+    return in_runs(sent.select(line, along, value, F.explode(F.sequence(*number)).alias("_block")), [line, "_block"], [along], of, out)
 
 
 def combine_part(root: DataFrame, part: DataFrame, offset: tuple[int, int], bias: float) -> DataFrame:
