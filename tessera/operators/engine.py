@@ -143,8 +143,11 @@ def detect(pyramids: DataFrame, images: DataFrame, key: str, models: dict[str, M
 
 
 def learn_background(pyramids: DataFrame, cell: tuple[int, int] = (8, 8), most: int = 19) -> Background:
-    """Mean and autocorrelation of cells over all levels: two passes, of each only sums leave the tasks."""
-    channels = pyramids.select("channels").first()["channels"]
+    """Mean and autocorrelation of cells over all levels: two passes, of each only sums leave the tasks. Without any level: no channels."""
+    one = pyramids.select("channels").first()
+    channels = one["channels"] if one else 0
+
+    offsets = [(dx, dy) for dx in range(most + 1) for dy in range(-most, most + 1) if dx or dy >= 0]
 
     def level(r) -> np.ndarray:
         return np.asarray(r.data, float).reshape(r.rows, r.cols, r.channels)
@@ -157,10 +160,11 @@ def learn_background(pyramids: DataFrame, cell: tuple[int, int] = (8, 8), most:
                 n += r.rows * r.cols
         yield pd.DataFrame({"i": np.arange(channels), "s": total, "n": n})
 
+    if not channels:
+        return Background(cell, np.empty(0), np.empty((len(offsets), 0, 0)), np.array(offsets))
     needed = pyramids.select("rows", "cols", "channels", "data")
     told = needed.mapInPandas(sums, "i int, s double, n long").groupBy("i").agg((F.sum("s") / F.sum("n")).alias("m")).orderBy("i").collect()
     mean = np.array([r["m"] or 0.0 for r in told])
-    offsets = [(dx, dy) for dx in range(most + 1) for dy in range(-most, most + 1) if dx or dy >= 0]
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros((len(offsets), channels, channels)), np.zeros(len(offsets), np.int64)

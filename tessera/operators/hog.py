@@ -22,8 +22,8 @@ def image_of(data: bytes, height: int, width: int, depth: int) -> np.ndarray:
 
 
 def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Bilinear, by halves while the image is more than twice as large; pixel centres at one half, edges repeated."""
-    out = image.astype(np.float64)
+    """Bilinear, by halves while both sides stay large enough, rounded to 8 bits each time; pixel centres at one half, edges repeated."""
+    out = image
 
     def step(x: np.ndarray, h: int, w: int) -> np.ndarray:
         def axis(n: int, m: int):
@@ -36,9 +36,13 @@ def resize(image: np.ndarray, width: int, height: int) -> np.ndarray:
         a, b, f = axis(x.shape[1], w)
         return x[:, a] * (1 - f)[None, :, None] + x[:, b] * f[None, :, None]
 
-    while out.shape[0] > 2 * height or out.shape[1] > 2 * width:
-        out = step(out, max(height, (out.shape[0] + 1) // 2), max(width, (out.shape[1] + 1) // 2))
-    return np.clip(step(out, height, width) + 0.5, 0, 255).astype(np.uint8)
+    def rounded(x: np.ndarray, h: int, w: int) -> np.ndarray:
+        return np.clip(step(x.astype(np.float64), h, w) + 0.5, 0, 255).astype(np.uint8)
+
+    scale = 0.5
+    while height <= (half := int(image.shape[0] * scale + 0.5)) and width <= (wide := int(image.shape[1] * scale + 0.5)):
+        out, scale = rounded(out, half, wide), scale / 2
+    return out if out.shape[:2] == (height, width) else rounded(out, height, width)
 
 
 def crop(image: np.ndarray, x: int, y: int, w: int, h: int, padded: bool = False) -> np.ndarray:
@@ -93,7 +97,7 @@ def hog(image: np.ndarray, cell: int = 8) -> np.ndarray:
     energy = (unsigned**2).sum(2)
     block = energy[:-1, :-1] + energy[:-1, 1:] + energy[1:, :-1] + energy[1:, 1:]
     # The four blocks that a cell is part of.
-    norms = 1 / np.sqrt(np.stack([block[a : a + rows, b : b + cols] for a in (0, 1) for b in (0, 1)], 2) + 1e-4)
+    norms = 1 / np.sqrt(np.stack([block[a : a + rows, b : b + cols] for a in (0, 1) for b in (0, 1)], 2) + np.finfo(np.float32).eps)
     inner, plain = hist[1:-1, 1:-1], unsigned[1:-1, 1:-1]
     signed = np.minimum(inner[:, :, None, :] * norms[:, :, :, None], CLIP)
     out = np.zeros((rows, cols, 32))

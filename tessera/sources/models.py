@@ -95,10 +95,19 @@ def joined(a: Model, b: Model) -> Model:
     return Model([*a.components, *b.components], a.extractor, dict(a.parameters))
 
 
-def mirrored(part: Part, channel_map: list[int]) -> Part:
-    """A part seen from the other side."""
-    a, b, c, d = part.deformation
-    return Part(part.weights[:, ::-1][:, :, channel_map], (-part.offset[0], part.offset[1]), (a, -b, c, d))
+def mirrored(component: Component, channel_map: list[int]) -> Component:
+    """A component seen from the other side. Parts change sides within the root, on a grid of twice its resolution; the root keeps its offset and deformation."""
+    root, *parts = component.parts
+
+    def seen(weights: np.ndarray) -> np.ndarray:
+        return weights[:, ::-1][:, :, channel_map]
+
+    out = [Part(seen(root.weights), root.offset, root.deformation)]
+    for part in parts:
+        a, b, c, d = part.deformation
+        x, y = part.offset
+        out.append(Part(seen(part.weights), (2 * root.weights.shape[1] - part.weights.shape[1] - x, y), (a, -b, c, d)))
+    return Component(out, component.bias)
 
 
 def components_table(spark: SparkSession, models: dict[str, Model]) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import hog
+from tessera.operators import engine, hog
 from tessera.sources import archives, models, repositories
 
 
@@ -137,3 +137,39 @@ def test_scaled_and_projected_cells(spark):
     df = spark.createDataFrame([([2.0, 4.0],)], "c array<float>")
     r = df.select(hog.scaled(F.col("c"), [2, 8]).alias("s"), hog.projected(F.col("c"), [1, 1], [[1, 0], [1, 1]]).alias("p")).first()
     assert r.s == [1.0, 0.5] and r.p == [1.0, 4.0]
+
+
+def test_resize_halves_while_both_sides_stay_large_enough():
+    rng = np.random.default_rng(3)
+    image = rng.integers(0, 256, (32, 64, 3)).astype(np.uint8)
+    half = hog.resize(image, 32, 16)
+    assert np.array_equal(hog.resize(image, 10, 9), hog.resize(half, 10, 9))
+    assert np.array_equal(hog.resize(image, 16, 8), hog.resize(half, 16, 8))
+    once = (np.arange(20, dtype=np.uint8) * 10).reshape(1, 20, 1).repeat(4, 0)
+    assert hog.resize(once, 5, 4)[0, :, 0].tolist() == [15, 55, 95, 135, 175]  # the height can't be halved: one step, between the second and third of four pixels
+
+
+def test_flat_cells_are_normalized_by_the_float_epsilon():
+    image = np.full((24, 24, 1), 100, np.uint8)
+    image[:, 12:] = 101
+    assert hog.hog(image).max() > 0.15
+
+
+def test_scores_of_a_mirrored_image_are_mirrored():
+    rng = np.random.default_rng(8)
+    coarse, fine = rng.normal(size=(9, 11, 32)), rng.normal(size=(18, 22, 32))
+    root = models.Part(rng.normal(size=(3, 4, 32)), (0, 0))
+    part = models.Part(rng.normal(size=(2, 3, 32)), (1, 2), (-0.5, 0.2, -0.4, 0.1))
+    component = models.Component([root, part], 0.5)
+    seen = models.mirrored(component, hog.MIRROR)
+    plain = engine.component_scores({0: fine, 5: coarse}, component, 5)[5]
+    other = engine.component_scores({0: hog.flip(fine), 5: hog.flip(coarse)}, seen, 5)[5]
+    # Columns at which the root, and the part wherever it may go, lie within the level.
+    assert np.allclose(plain[1:5, 2:6], other[1:5][:, [11 - 4 - x for x in range(2, 6)]], atol=1e-9)
+    assert models.mirrored(seen, hog.MIRROR).parts[1].offset == part.offset
+
+
+def test_background_of_no_levels(spark):
+    none = spark.createDataFrame([], "rows int, cols int, channels int, data array<float>")
+    b = engine.learn_background(none, most=2)
+    assert b.mean.shape == (0,) and b.cov.shape == (len(b.offsets), 0, 0)
