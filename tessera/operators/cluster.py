@@ -27,11 +27,11 @@ def new_centroids(assigned: DataFrame, key: str, array: str) -> DataFrame:
 
 
 def fit(df: DataFrame, array: str, k: int, seeds: list[int]) -> DataFrame:
-    """The best of several seeded runs by squared distance: cluster, center."""
+    """The best of several seeded runs by squared distance: cluster, center. Clusters are numbered in the order of their centers, whichever run is best."""
     points = df.select(array_to_vector(F.col(array)).alias("features")).cache()
     best = min((KMeans(k=k, seed=s).fit(points) for s in seeds), key=lambda m: m.summary.trainingCost)
     points.unpersist()
-    return df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())], "cluster int, center array<double>")
+    return df.sparkSession.createDataFrame(list(enumerate(sorted([float(x) for x in c] for c in best.clusterCenters()))), "cluster int, center array<double>")
 
 
 def merge_near(centers: list[float], sizes: list[int], distance: float) -> list[int]:

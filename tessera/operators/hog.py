@@ -151,13 +151,13 @@ def pyramid(image: np.ndarray, extractor: Extractor, interval: int = 10, least:
         yield k, scale, (extractor.set(cell=cell // 2) if fine else extractor)(level)
 
 
-def pyramids(images: DataFrame, key: str, extractor: Extractor, interval: int = 10, least: int = 5) -> DataFrame:
+def pyramids(images: DataFrame, key: str, extractor: Extractor, interval: int = 10, least: int = 5, cell: int = 8) -> DataFrame:
     """key, level, scale, rows, cols, channels and data of each level; images have height, width, depth and data."""
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                out = [(row[0], k, scale, *f.shape, f.astype(np.float32).ravel()) for k, scale, f in pyramid(image_of(row[4], row[1], row[2], row[3]), extractor, interval, least)]
+                out = [(row[0], k, scale, *f.shape, f.astype(np.float32).ravel()) for k, scale, f in pyramid(image_of(row[4], row[1], row[2], row[3]), extractor, interval, least, cell)]
                 yield pd.DataFrame(out, columns=[key, "level", "scale", "rows", "cols", "channels", "data"])
 
     kind = images.schema[key].dataType.simpleString()

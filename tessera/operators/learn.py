@@ -38,15 +38,19 @@ def moments(df: DataFrame, array: str) -> tuple[np.ndarray, np.ndarray, int]:
     return mean, told["s"].toArray().reshape(n, n) - np.outer(mean, mean), told["n"]
 
 
-def discriminant(positive: np.ndarray, mean: np.ndarray, cov: np.ndarray, ridge: float = 0.01) -> tuple[np.ndarray, float, float]:
-    """Weights, threshold and scale f by Cholesky, adding to the diagonal until that succeeds."""
+def factor(cov: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+    """The lower Cholesky factor, adding to the diagonal until there is one."""
     cov = (cov + cov.T) / 2
     while True:
         try:
-            lower = np.linalg.cholesky(cov)
-            break
+            return np.linalg.cholesky(cov)
         except np.linalg.LinAlgError:
             cov = cov + ridge * np.eye(len(cov))
+
+
+def discriminant(positive: np.ndarray, mean: np.ndarray, cov: np.ndarray, ridge: float = 0.01) -> tuple[np.ndarray, float, float]:
+    """Weights, threshold and scale f by Cholesky."""
+    lower = factor(cov, ridge)
     both = np.linalg.solve(lower.T, np.linalg.solve(lower, np.stack([positive, mean], 1)))
     w = both[:, 0] - both[:, 1]
     bias = (mean @ both[:, 1] - positive @ both[:, 0]) / 2

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geometry import boxes_or_whole
 from tessera.functions.text import class_name
-from tessera.operators import cluster, detect, evaluate, harmony, learn, sampling, score, stats
+from tessera.operators import cluster, detect, evaluate, harmony, learn, learner, sampling, score, stats
 from tessera.plans.fixtures import BOXES, CELLS, GRID, INTER, SIZES, boxes, grid, sizes, table
 from tessera.sources import annotations, model_list
 from tessera.streaming import frames
@@ -294,6 +294,12 @@ def average_precision_detected(spark, d):
     return evaluate.average_precision(_run(spark, d)).select(_r("average_precision").alias("average_precision"))
 
 
+def model_size_range(spark, d):
+    """Sizes of templates over the classes of parts: rows of a part's size, columns of its key."""
+    templates = table(spark, d, "part").select(F.col("p_brand").alias("class"), F.col("p_size").cast("long").alias("rows"), (1 + F.col("p_partkey") % 20).alias("cols"))
+    return learner.size_range(templates, "class")
+
+
 def models_replaced(spark, d):
     """Models by class, of which those of small items are learned anew."""
     old = table(spark, d, "part").groupBy(F.col("p_brand").alias("class")).agg(F.max("p_size").alias("size"))
@@ -418,6 +424,7 @@ def oracle_sql() -> dict[str, str]:
         "evaluate_run": f"WITH {BOXES}, {run} SELECT threshold, tp, fp, np, round(p, 6) AS precision, round(r, 6) AS recall, round({f.format(b=1)}, 6) AS f1 FROM pr",
         "average_precision_detected": f"WITH {BOXES}, {run}, {curve} SELECT round(sum(s), 6) AS average_precision FROM (SELECT (recall - coalesce(lag(recall) OVER (ORDER BY recall), 0)) * precision AS s FROM curve)",
         "models_replaced": "WITH new AS (SELECT p_brand AS class, min(p_size) AS size FROM part WHERE p_size < 3 GROUP BY ALL) SELECT p_brand AS class, max(p_size) AS size FROM part WHERE p_brand NOT IN (SELECT class FROM new) GROUP BY ALL UNION ALL SELECT class, size FROM new",
+        "model_size_range": "SELECT p_brand AS class, min(p_size)::BIGINT AS min_rows, min(1 + p_partkey % 20) AS min_cols, max(p_size)::BIGINT AS max_rows, max(1 + p_partkey % 20) AS max_cols FROM part GROUP BY ALL",
         "threshold_grid": f"WITH {BOXES}, o AS (SELECT DISTINCT image, x FROM boxes WHERE event_type = 'purchase'), h AS (SELECT event_type, image, x, least(16, CAST(floor(score / {VALUE_STEP}) AS INTEGER)) AS bin FROM boxes WHERE event_type IN ('click', 'view')), best AS (SELECT o.image, o.x, coalesce(max(bin) FILTER (event_type = 'click'), -1) AS a, coalesce(max(bin) FILTER (event_type = 'view'), -1) AS b FROM o LEFT JOIN h ON h.image = o.image AND h.x = o.x GROUP BY ALL), miss AS (SELECT event_type, bin FROM h WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.image = h.image AND o.x = h.x)), g AS (SELECT CAST(i AS INTEGER) AS bin_a, CAST(j AS INTEGER) AS bin_b FROM range(17) a(i), range(17) b(j)), c AS (SELECT bin_a, bin_b, (SELECT count(*) FROM best WHERE a >= bin_a OR b >= bin_b) AS tp, (SELECT count(*) FROM miss WHERE (event_type = 'click' AND bin >= bin_a) OR (event_type = 'view' AND bin >= bin_b)) AS fp, (SELECT count(*) FROM o) AS np FROM g) SELECT bin_a, bin_b, tp, fp, round(CASE WHEN tp + fp + np > 0 THEN 2 * tp / (tp + fp + np) ELSE 0 END, 6) AS f_measure FROM c",
         "model_list_parse": "SELECT p_partkey AS synset_id, p_name AS classname, 'm' || p_partkey || '.txt' AS modelfile, CASE WHEN p_partkey % 7 = 0 THEN 0.5 ELSE (p_partkey % 10)::DOUBLE / 10 END::DOUBLE AS threshold, CASE WHEN p_partkey % 7 <> 0 THEN 'n' || p_partkey END AS synset, p_partkey % 7 = 0 AS disabled FROM part WHERE p_partkey % 7 <> 1",
         "annotation_parse": "SELECT page_id, CAST(count(*) AS BIGINT) AS n, min(v) AS first, max(v) AS last FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"', 1)) AS v FROM pages) GROUP BY page_id",
