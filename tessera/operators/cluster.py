@@ -8,28 +8,32 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.small import SLICE_BYTES, along
 from tessera.operators.stats import cells
 
 
-def assign(df: DataFrame, key: str, array: str, centroids: DataFrame, digits: int = 6) -> DataFrame:
-    """Nearest centroid (cluster, center); ties go to the lowest. The few centroids go to all tasks as one array, so no cell is joined with them."""
-    packed = centroids.agg(F.sort_array(F.collect_list(F.struct("cluster", "center"))).alias("centers"))
+def assign(df: DataFrame, key: str, array: str, centroids: DataFrame, digits: int = 6, limit: int = SLICE_BYTES) -> DataFrame:
+    """Nearest centroid (cluster, center); ties go to the lowest. Centroids go to all tasks in slices of at most about `limit` bytes, so no cell is joined with them."""
 
     def distance(center):
         return F.aggregate(F.zip_with(F.col(array), center, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
-    told = F.transform("centers", lambda c: F.struct(F.round(distance(c["center"]), digits).alias("distance"), c["cluster"].alias("cluster")))
-    return df.join(F.broadcast(packed)).withColumn("best", F.array_min(told)).select(key, F.col("best.cluster").alias("cluster"), F.col("best.distance").alias("distance"), array)
+    nearest = F.array_min(F.transform("packed", lambda c: F.struct(F.round(distance(c["center"]), digits).alias("distance"), c["cluster"].alias("cluster"))))
+    told = along(df, centroids, "cluster", "center", nearest, F.least, limit)
+    return told.select(key, F.col("best.cluster").alias("cluster"), F.col("best.distance").alias("distance"), array)
 
 
 def new_centroids(assigned: DataFrame, key: str, array: str) -> DataFrame:
     return cells(assigned, key, array, "cluster").groupBy("cluster", "ch").agg(F.avg("x").alias("center"))
 
 
-def fit(df: DataFrame, array: str, k: int, seeds: list[int]) -> DataFrame:
-    """The best of several seeded runs by squared distance: cluster, center. Clusters are numbered in the order of their centers, whichever run is best."""
+def fit(df: DataFrame, array: str, k: int, seeds: list[int], rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """The best of several seeded runs by squared distance: cluster, center. Clusters are numbered in the order of their centers, whichever run is best.
+
+    A run ends when no centre moves by more than the tolerance, or after so many rounds.
+    """
     points = df.select(array_to_vector(F.col(array)).alias("features")).cache()
-    best = min((KMeans(k=k, seed=s).fit(points) for s in seeds), key=lambda m: m.summary.trainingCost)
+    best = min((KMeans(k=k, seed=s, maxIter=rounds, tol=tolerance).fit(points) for s in seeds), key=lambda m: m.summary.trainingCost)
     points.unpersist()
     return df.sparkSession.createDataFrame(list(enumerate(sorted([float(x) for x in c] for c in best.clusterCenters()))), "cluster int, center array<double>")
 

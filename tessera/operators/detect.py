@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import area, intersection, iou, project
 from tessera.operators.runs import in_runs
 
+#: Side of the tiles in which boxes meet, about that of a usual box: a box enters every tile that it touches.
+TILE = 64
+
 
 def local_maxima(grid: DataFrame) -> DataFrame:
     """Cells strictly above their neighbours (those that exist); a plateau has none.
@@ -34,16 +37,35 @@ def project_boxes(boxes: DataFrame, scale: str, width: int, height: int, cell: i
     return out.where("pw > 0 AND ph > 0")
 
 
-def overlaps(boxes: DataFrame, by: list[str], key: str) -> DataFrame:
-    """Pairs of overlapping boxes of an image: a is the higher one (score, then key).
+def tiles(x: str, y: str, w: str, h: str, tile: int) -> Column:
+    """The tiles that a box touches, as structs ty, tx; none for a box of no area."""
+
+    def along(c: str, size: str) -> Column:
+        first = F.floor(F.col(c) / tile)
+        return F.sequence(first, F.greatest(first, F.ceil((F.col(c) + F.col(size)) / tile) - 1))
+
+    both = F.flatten(F.transform(along(y, h), lambda ty: F.transform(along(x, w), lambda tx: F.struct(ty.alias("ty"), tx.alias("tx")))))
+    return F.when((F.col(w) > 0) & (F.col(h) > 0), both)
+
 
-    The join is on the image; a box meets those of its own image only.
+def touching(a: DataFrame, b: DataFrame, by: list[str], tile: int) -> DataFrame:
+    """Pairs of boxes with an area in common, a_x, a_y, a_w, a_h and b_x to b_h, of equal `by`; each pair once.
+
+    Boxes meet by image and tile, not by image alone, and a pair counts in the tile where
+    its common area begins. So a crowded image is as many keys as it has tiles.
     """
+    left, right = (df.withColumn("_tile", F.explode(tiles(f"{s}_x", f"{s}_y", f"{s}_w", f"{s}_h", tile))) for df, s in ((a, "a"), (b, "b")))
+    pairs = left.join(right, [*by, "_tile"])
+    own = (F.floor(F.greatest("a_x", "b_x") / tile) == F.col("_tile.tx")) & (F.floor(F.greatest("a_y", "b_y") / tile) == F.col("_tile.ty"))
+    return pairs.where(own).drop("_tile").withColumn("inter", intersection("a_", "b_")).where("inter > 0")
+
+
+def overlaps(boxes: DataFrame, by: list[str], key: str, tile: int = TILE) -> DataFrame:
+    """Pairs of overlapping boxes of an image: a is the higher one (score, then key)."""
     cols = [key, "x", "y", "w", "h", "score"]
-    a = boxes.select(*by, *(F.col(c).alias(f"a_{c}") for c in cols))
-    b = boxes.select(*by, *(F.col(c).alias(f"b_{c}") for c in cols))
+    a, b = (boxes.select(*by, *(F.col(c).alias(f"{s}_{c}") for c in cols)) for s in "ab")
     higher = (F.col("a_score") > F.col("b_score")) | ((F.col("a_score") == F.col("b_score")) & (F.col(f"a_{key}") < F.col(f"b_{key}")))
-    pairs = a.join(b, by).where(higher).withColumn("inter", intersection("a_", "b_")).where("inter > 0")
+    pairs = touching(a, b, by, tile).where(higher)
     return pairs.select(*by, f"a_{key}", f"b_{key}", "inter", (F.col("inter") / area("b_")).alias("covered"), iou("a_", "b_").alias("iou"))
 
 

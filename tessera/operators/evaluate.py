@@ -12,17 +12,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import iou
+from tessera.operators.detect import TILE, touching
 
 
-def match(detections: DataFrame, truth: DataFrame, image: str, key: str, overlap: float = 0.5) -> DataFrame:
-    """key, score and hit of each detection. Images are equal and boxes overlap; detections without any object are false."""
+def claims(detections: DataFrame, truth: DataFrame, image: str, key: str, overlap: float = 0.5, tile: int = TILE) -> DataFrame:
+    """key of each detection that claims an object, and the object's: its best by IoU, which no higher detection claims.
+
+    Boxes meet by image and tile (detect.touching); boxes without common area never match.
+    """
     cols = ["x", "y", "w", "h"]
-    d = detections.select(image, F.col(key).alias("d_key"), "score", *(F.col(c).alias(f"d_{c}") for c in cols))
-    t = truth.select(image, F.col(key).alias("t_key"), *(F.col(c).alias(f"t_{c}") for c in cols))
-    pairs = d.join(t, image).withColumn("iou", F.round(iou("d_", "t_"), 9)).where(F.col("iou") >= overlap)
+    d = detections.select(image, F.col(key).alias("d_key"), "score", *(F.col(c).alias(f"a_{c}") for c in cols))
+    t = truth.select(image, F.col(key).alias("t_key"), *(F.col(c).alias(f"b_{c}") for c in cols))
+    pairs = touching(d, t, [image], tile).withColumn("iou", F.round(iou("a_", "b_"), 9)).where(F.col("iou") >= overlap)
     best = pairs.groupBy("d_key", "score").agg(F.max(F.struct("iou", (-F.col("t_key")).alias("neg")))["neg"].alias("neg"))
-    claims = W.partitionBy("neg").orderBy(F.desc("score"), "d_key")
-    hits = best.withColumn("claim", F.row_number().over(claims)).where("claim = 1").select(F.col("d_key").alias(key), F.lit(True).alias("hit"))
+    first = W.partitionBy("neg").orderBy(F.desc("score"), "d_key")
+    return best.withColumn("claim", F.row_number().over(first)).where("claim = 1").select(F.col("d_key").alias(key), (-F.col("neg")).alias("object"))
+
+
+def match(detections: DataFrame, truth: DataFrame, image: str, key: str, overlap: float = 0.5, tile: int = TILE) -> DataFrame:
+    """key, score and hit of each detection; those that claim no object are false."""
+    hits = claims(detections, truth, image, key, overlap, tile).select(key, F.lit(True).alias("hit"))
     return detections.select(key, "score").join(hits, key, "left").select(key, "score", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 

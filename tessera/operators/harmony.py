@@ -8,10 +8,18 @@ bin of which model.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Improvisations of a run, and runs.
+ROUNDS, RUNS = 100_000, 16
+#: Combinations of bins that a task may hold.
+MOST = 1_000_000
+_DRAWN = 4096
+
 
 def _counts(objects: DataFrame, hits: DataFrame, keys: list[str], models: int) -> tuple[DataFrame, DataFrame]:
     best = hits.groupBy(*keys).agg(*(F.max(F.when(F.col("model") == m, F.col("bin"))).alias(f"b{m}") for m in range(models)))
@@ -36,50 +44,58 @@ def joint_f_grid(objects: DataFrame, hits: DataFrame, keys: list[str], bins: int
     return told.withColumn("f_measure", F.when(bottom > 0, 2.0 * F.col("tp") / bottom).otherwise(F.lit(0.0)))
 
 
-def harmony(objective, sizes: list[int], seed: int, rounds: int = 4000, memory: int = 30, consider: float = 0.9, pitch: float = 0.3) -> tuple[list[int], float]:
+def harmony(objective, sizes: list[int], seed: int, rounds: int = ROUNDS, memory: int = 30, consider: float = 0.9, pitch: float = 0.3) -> tuple[list[int], float]:
     """The best indices found: new ones are taken from memory or drawn, moved by one now and then, and replace the worst."""
     rng = np.random.default_rng(seed)
-    pool = [[int(rng.integers(n)) for n in sizes] for _ in range(memory)]
-    values = [objective(p) for p in pool]
-    for _ in range(rounds):
-        new = []
-        for i, n in enumerate(sizes):
-            if rng.random() < consider:
-                k = pool[int(rng.integers(memory))][i]
-                if rng.random() < pitch:
-                    k = min(max(k + (1 if rng.random() < 0.5 else -1), 0), n - 1)
-            else:
-                k = int(rng.integers(n))
-            new.append(k)
-        value = objective(new)
-        worst = int(np.argmin(values))
-        if value > values[worst]:
-            pool[worst], values[worst] = new, value
+    pool = rng.integers(0, sizes, (memory, len(sizes))).tolist()
+    values = [objective(tuple(p)) for p in pool]
+    worst = int(np.argmin(values))
+    for begin in range(0, rounds, _DRAWN):
+        n = min(_DRAWN, rounds - begin)
+        taken, moved = rng.random((n, len(sizes))) < consider, rng.random((n, len(sizes))) < pitch
+        row, step, fresh = rng.integers(0, memory, (n, len(sizes))), rng.integers(0, 2, (n, len(sizes))) * 2 - 1, rng.integers(0, sizes, (n, len(sizes)))
+        step = np.where(moved, step, 0)
+        for take, at, by, new in zip(taken.tolist(), row.tolist(), step.tolist(), fresh.tolist(), strict=True):
+            for i, size in enumerate(sizes):
+                if take[i]:
+                    new[i] = min(max(pool[at[i]][i] + by[i], 0), size - 1)
+            value = objective(tuple(new))
+            if value > values[worst]:
+                pool[worst], values[worst] = new, value
+                worst = values.index(min(values))
     best = int(np.argmax(values))
     return pool[best], values[best]
 
 
-def search(objects: DataFrame, hits: DataFrame, keys: list[str], sizes: list[int], seed: int, runs: int = 4) -> DataFrame:
-    """thresholds (bins) and F of the best of several seeded runs, one task each. The counts that go along are bounded by the grid."""
+def search(objects: DataFrame, hits: DataFrame, keys: list[str], sizes: list[int], seed: int, runs: int = RUNS, rounds: int = ROUNDS, b: float = 1.0) -> DataFrame:
+    """thresholds (bins) and F of the best of several seeded runs, one task each.
+
+    What goes along are counts by combination of bins, as many rows as combinations occur:
+    MOST at most, else an error that asks for a coarser grid.
+    """
     found, false = _counts(objects, hits, keys, len(sizes))
-    best = np.array([tuple(r) for r in found.collect()], np.int64).reshape(-1, len(sizes) + 1)
+    told = found.limit(MOST + 1).collect()
+    if len(told) > MOST:
+        raise ValueError(f"over {MOST} combinations of bins occur; take fewer bins a model")
+    best = np.array([tuple(r) for r in told], np.int64).reshape(-1, len(sizes) + 1)
     wrong = [np.zeros(n + 1) for n in sizes]
     for r in false.collect():
         wrong[r["model"]][r["bin"]] += r["n"]
-    above = [np.cumsum(w[::-1])[::-1] for w in wrong]
+    above = [np.cumsum(w[::-1])[::-1].tolist() for w in wrong]
     total = int(best[:, -1].sum())
 
-    def objective(at: list[int]) -> float:
-        hit = (best[:, :-1] >= np.asarray(at)).any(1)
-        tp = int(best[hit, -1].sum())
-        fp = sum(float(a[i]) for a, i in zip(above, at, strict=True))
-        return 2.0 * tp / (tp + fp + total) if tp + fp + total else 0.0
-
     def run(batches):
         import pandas as pd
 
+        @functools.lru_cache(1 << 16)
+        def objective(at: tuple[int, ...]) -> float:
+            tp = int(best[(best[:, :-1] >= np.asarray(at)).any(1), -1].sum())
+            fp = sum(a[i] for a, i in zip(above, at, strict=True))
+            bottom = tp + fp + b * b * total
+            return (1 + b * b) * tp / bottom if bottom else 0.0
+
         for pdf in batches:
-            rows = [harmony(objective, sizes, seed + int(i)) for i in pdf["id"]]
+            rows = [harmony(objective, sizes, seed + int(i), rounds) for i in pdf["id"]]
             yield pd.DataFrame({"thresholds": [r[0] for r in rows], "f_measure": [r[1] for r in rows]})
 
     done = objects.sparkSession.range(0, runs, 1, runs).mapInPandas(run, "thresholds array<int>, f_measure double")

@@ -7,7 +7,7 @@ the size of a template: cluster centres, counts, moments.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tessera.operators import cluster, engine, evaluate, hog, stats
+from tessera.operators import cluster, engine, evaluate, harmony, hog, stats
 from tessera.operators.learn import factor
 from tessera.sources.models import Background, Component, Model, reconstruct
 
@@ -111,12 +111,14 @@ def sub_clusters(samples: DataFrame, background: Background, rows: int, cols: in
     return assigned.where(F.col("cluster").isin(kept)).select("sample.*", _renumbered(kept, list(range(len(kept)))))
 
 
-def learn_images(images: DataFrame, boxes: DataFrame, key: str, background: Background, aspects: int = 2, features: int = 3, most: int = 20, seeds: tuple[int, ...] = (1, 2, 3)) -> tuple[Model, list[float], list[int]]:
+def learn_images(images: DataFrame, boxes: DataFrame, key: str, background: Background, aspects: int = 2, features: int = 3, most: int = 20, seeds: tuple[int, ...] = (1, 2, 3), progress: Callable[[int, int], bool] | None = None) -> tuple[Model, list[float], list[int]]:
     """A model, the thresholds and the numbers of samples of its components, from images and the boxes of objects.
 
     Boxes are clustered by aspect ratio, each cluster gets a template size, its boxes
     become histograms of gradients of that size, these are clustered once whitened, and
-    each cluster gives a component. Without boxes: a model of no components.
+    each cluster gives a component. Without boxes: a model of no components. progress is
+    told how many clusters of how many are done, and ends the work by False; the model
+    then has the components so far.
     """
     extractor = hog.EXTRACTORS["HOG"].set(cell=background.cell[0])
     cell = background.cell[0]
@@ -124,7 +126,10 @@ def learn_images(images: DataFrame, boxes: DataFrame, key: str, background: Back
     components: list[Component] = []
     thresholds: list[float] = []
     counts: list[int] = []
-    for number, (cols, rows) in template_sizes(clustered, cell, most).items():
+    wanted = template_sizes(clustered, cell, most)
+    for done, (number, (cols, rows)) in enumerate(wanted.items()):
+        if progress and progress(done, len(wanted)) is False:
+            break
         own = clustered.where(F.col("cluster") == number).withColumn("to_w", F.lit(cols * cell)).withColumn("to_h", F.lit(rows * cell))
         samples = sub_clusters(features_of(crops(images, own, key), "box_id", extractor), background, rows, cols, features, seeds)
         model, found = engine.learn(samples, background, rows, cols)
@@ -135,6 +140,33 @@ def learn_images(images: DataFrame, boxes: DataFrame, key: str, background: Back
     return Model(components, extractor.name, {k: str(v) for k, v in extractor.parameters}), thresholds, counts
 
 
+def optimize_thresholds(images: DataFrame, boxes: DataFrame, key: str, model: Model, interval: int = 10, overlap: float = 0.5, granularity: int = 100, b: float = 1.0, seed: int = 1) -> list[float]:
+    """The thresholds of a model's components, without their biases, that give the best F together; images without boxes are negatives.
+
+    The detector runs once over all images. One component takes the best of its sweep;
+    several go through the search over the grid.
+    """
+    if not model.components:
+        return []
+    own = {str(i): Model([Component(c.parts, 0.0)], model.extractor, model.parameters) for i, c in enumerate(model.components)}
+    found = detect_images(images, key, own, dict.fromkeys(own, 0.0), interval).withColumn("box_id", F.xxhash64(key, "class", "x", "y", "w", "h")).persist()
+    try:
+        if len(own) == 1:
+            best = evaluate.max_f_measure(evaluate.sweep(evaluate.match(found, boxes, key, "box_id", overlap), boxes.count(), granularity), b).first()
+            return [best["threshold"] or 0.0]
+        hits = found.select("box_id", F.col("class").cast("int").alias("model"), F.floor(F.col("score") * granularity).cast("int").alias("bin"))
+        claimed = None
+        for name in own:
+            one = evaluate.claims(found.where(F.col("class") == name), boxes, key, "box_id", overlap)
+            claimed = one if claimed is None else claimed.unionByName(one)
+        top = {r["model"]: r["top"] for r in hits.groupBy("model").agg(F.max("bin").alias("top")).collect()}
+        # A bin beyond a model's highest stands for no detections of it at all.
+        best = harmony.search(boxes.select(F.col("box_id").alias("object")), hits.join(claimed, "box_id", "left"), ["object"], [top.get(i, 0) + 2 for i in range(len(own))], seed, b=b).first()
+        return [i / granularity for i in best["thresholds"]]
+    finally:
+        found.unpersist()
+
+
 def features_of(images: DataFrame, key: str, extractor: hog.Extractor) -> DataFrame:
     """key, rows, cols, channels and data: the features of each image at its own resolution."""
 

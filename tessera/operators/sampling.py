@@ -37,3 +37,21 @@ def negatives(images: DataFrame, group: str, positive: str, order: str, limit: i
 def replace_by_key(models: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Models with those of equal key replaced."""
     return models.join(new, key, "left_anti").unionByName(new)
+
+
+def delete_by_key(models: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Models without those of the keys of another table."""
+    return models.join(gone, key, "left_anti")
+
+
+def append_components(models: DataFrame, new: DataFrame, by: str, number: str) -> DataFrame:
+    """Components of both tables; those of `new` are numbered on from the class's highest number, which is looked up by a grouped maximum."""
+    top = models.groupBy(by).agg(F.max(number).alias("_top"))
+    later = new.join(top, by, "left").withColumn(number, F.col(number) + F.coalesce(F.col("_top") + 1, F.lit(0))).drop("_top")
+    return models.unionByName(later)
+
+
+def without_component(components: DataFrame, number: str, i: int, by: str) -> DataFrame:
+    """Components without the i-th of each class; later ones move up."""
+    kept = components.where(F.col(number) != i)
+    return kept.withColumn(number, F.col(number) - (F.col(number) > i).cast("int"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators.runs import in_runs
+from tessera.operators.small import SLICE_BYTES, along
 
 #: Places of a line that are transformed together.
 BLOCK = 1024
@@ -26,11 +27,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def best_component(cells: DataFrame, key: str, array: str, models: DataFrame, digits: int = 6) -> DataFrame:
-    """Per cell the component with the highest score; ties go to the lowest. models (component, weights) are a few templates, sent to all tasks as one array."""
-    packed = models.agg(F.sort_array(F.collect_list(F.struct("component", "weights"))).alias("models"))
-    scored = F.transform("models", lambda m: F.struct(F.round(dot(F.col(array), m["weights"]), digits).alias("score"), (-m["component"]).alias("rank")))
-    return cells.join(F.broadcast(packed)).select(key, F.array_max(scored).alias("best")).select(key, (-F.col("best.rank")).alias("component"), F.col("best.score").alias("score"))
+def best_component(cells: DataFrame, key: str, array: str, models: DataFrame, digits: int = 6, limit: int = SLICE_BYTES) -> DataFrame:
+    """Per cell the component with the highest score; ties go to the lowest. models (component, weights) go to all tasks in slices of at most about `limit` bytes."""
+    highest = F.array_max(F.transform("packed", lambda m: F.struct(F.round(dot(F.col(array), m["weights"]), digits).alias("score"), (-m["component"]).alias("rank"))))
+    told = along(cells, models, "component", "weights", highest, F.greatest, limit)
+    return told.select(key, (-F.col("best.rank")).alias("component"), F.col("best.score").alias("score"))
 
 
 def correlate(grid: DataFrame, filters: dict[tuple[int, int], float]) -> DataFrame:

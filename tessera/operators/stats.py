@@ -152,10 +152,16 @@ def area_quantile(sizes: DataFrame, area, by: list[str], share: float = 0.2) ->
     return ranked.where((F.col("upto") > F.floor(F.col("total") * share)) & (F.col("upto") - F.col("n") <= F.floor(F.col("total") * share))).select(*by, "area")
 
 
-def model_size(aspect: float, area: float, cell: int = 8, most: int = 20) -> tuple[int, int]:
-    """Width and height of a template in cells from an aspect ratio and an area in pixels."""
+def model_size(aspect: float, area: float, cell: int = 8, most: int = 20, least: int = 0) -> tuple[int, int]:
+    """Width and height of a template in cells from an aspect ratio and an area in pixels.
+
+    With `least`, the rule of extractors other than histograms of gradients: both sides
+    have at least so many pixels (2), and areas have no range of their own.
+    """
     area = float(int(area))
-    if (cell, most) == (8, 20):
+    if least > 0:
+        area = float(int(max(area, least * least * aspect, least * least / aspect)))
+    elif (cell, most) == (8, 20):
         area = min(max(area, 5000.0), 7000.0)
     if most > 0:
         over = max(area / (aspect * most * most * cell * cell), area * aspect / (most * most * cell * cell))

@@ -84,6 +84,25 @@ def format_model(model: Model) -> str:
     return "\n".join(out) + "\n"
 
 
+def write_model(spark: SparkSession, model: Model, path: str) -> None:
+    """The model as a file on any file system that Spark knows; one that is there is replaced."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(format_model(model).encode()))
+    finally:
+        out.close()
+
+
+def read_model(spark: SparkSession, path: str) -> Model:
+    return parse_model(spark.read.text(path, wholetext=True).first()["value"])
+
+
+def with_thresholds(model: Model, thresholds: list[float]) -> Model:
+    """The bias of each component is its threshold, negated."""
+    return Model([Component(c.parts, -t) for c, t in zip(model.components, thresholds, strict=True)], model.extractor, dict(model.parameters))
+
+
 def without_component(model: Model, i: int) -> Model:
     return Model([c for k, c in enumerate(model.components) if k != i], model.extractor, dict(model.parameters))
 

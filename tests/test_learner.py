@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import engine, hog, learner
 from tessera.operators.learn import discriminant
-from tessera.sources.models import Background, Component, Model, Part, reconstruct
+from tessera.sources.models import Background, Component, Model, Part, read_model, reconstruct, with_thresholds, write_model
 
 IMAGES = "id long, height int, width int, depth int, data binary"
 BOXES = "id long, box_id long, x long, y long, w long, h long"
@@ -137,3 +137,38 @@ def test_size_range(spark):
     df = spark.createDataFrame([("a", 3, 9), ("a", 5, 2), ("b", 1, 1)], "class string, rows int, cols int")
     got = {tuple(r) for r in learner.size_range(df, "class").select("class", "min_rows", "min_cols", "max_rows", "max_cols").collect()}
     assert got == {("a", 3, 2, 5, 9), ("b", 1, 1, 1, 1)}
+
+
+def test_thresholds_of_components_found_together(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    base = rng.integers(100, 120, (64, 64, 1), dtype=np.uint8)
+    spots = {1: (rng.integers(0, 256, (4, 4, 1), dtype=np.uint8), (8, 8)), 2: (rng.integers(0, 256, (4, 4, 1), dtype=np.uint8), (40, 20))}
+    images = {}
+    for i, (patch, (x, y)) in spots.items():
+        images[i] = base.copy()
+        images[i][y : y + 4, x : x + 4] = patch
+    images[3] = base
+    df = frame(spark, images)
+    boxes = spark.createDataFrame([(i, 100 + i, x, y, 4, 4) for i, (_, (x, y)) in spots.items()], BOXES)
+    parts = [Part((p.astype(np.float32) / 255) - p.mean() / 255) for p, _ in spots.values()]
+    model = Model([Component([p], 0.0) for p in parts], "raw")
+    found = learner.optimize_thresholds(df, boxes, "id", model, 2)
+    learned = with_thresholds(model, found)
+    assert [c.bias for c in learned.components] == [-t for t in found]
+    scores = [float((p.weights * s[0].astype(np.float32) / 255).sum()) for p, s in zip(parts, spots.values(), strict=True)]
+    assert all(0 < t <= s for t, s in zip(found, scores, strict=True))
+    hits = learner.detect_images(df, "id", {"spot": learned}, {"spot": 0.0}, 2).collect()
+    assert {(r.id, r.x, r.y) for r in hits} == {(1, 8, 8), (2, 40, 20)}
+    one = learner.optimize_thresholds(df, boxes.where("id = 1"), "id", Model(model.components[:1], "raw"), 2)
+    assert len(one) == 1 and 0 < one[0] <= scores[0]
+    assert learner.optimize_thresholds(df, boxes, "id", Model([], "raw")) == []
+    write_model(spark, learned, f"{tmp_path}/m.txt")
+    again = read_model(spark, f"{tmp_path}/m.txt")
+    assert [c.bias for c in again.components] == [c.bias for c in learned.components] and again.extractor == "raw"
+
+
+def test_progress_ends_learning(spark):
+    told = []
+    boxes = spark.createDataFrame([(1, 1, 0, 0, 8, 8)], BOXES)
+    model, _, _ = learner.learn_images(frame(spark, {1: None}), boxes, "id", identity(32), progress=lambda i, n: told.append((i, n)) or False)
+    assert told == [(0, 1)] and model.components == []

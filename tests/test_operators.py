@@ -134,6 +134,53 @@ def test_harmony_finds_a_good_pair():
     assert value >= -2
 
 
+def test_boxes_meet_once_whatever_the_tiles(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(rng.integers(2)), i, *(int(v) for v in rng.integers(-20, 60, 2)), *(int(v) for v in rng.integers(-1, 40, 2)), float(rng.integers(5))) for i in range(60)]
+    df = spark.createDataFrame(rows, "image int, id long, x long, y long, w long, h long, score double")
+    told = [sorted(map(tuple, detect.overlaps(df, ["image"], "id", tile).collect())) for tile in (3, 64, 1000)]
+    assert told[0] == told[1] == told[2]
+
+    def shared(a, b):
+        side = [min(a[i] + a[i + 2], b[i] + b[i + 2]) - max(a[i], b[i]) for i in (2, 3)]
+        return side[0] * side[1] if min(side) > 0 and min(a[4], a[5], b[4], b[5]) > 0 else 0
+
+    wanted = {(a[1], b[1], shared(a, b)) for a in rows for b in rows if a[0] == b[0] and (a[6], -a[1]) > (b[6], -b[1]) and shared(a, b)}
+    assert {t[1:4] for t in told[0]} == wanted
+
+
+def test_small_tables_in_slices(spark, data):
+    e = spark.read.parquet(f"{data}/embeddings.parquet")
+    centers = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("center")).withColumnRenamed("label", "cluster")
+    whole, cut = ({tuple(r) for r in cluster.assign(e, "vec_id", "embedding", centers, limit=n).select("vec_id", "cluster", "distance").collect()} for n in (1 << 20, 1500))
+    assert whole == cut and len(whole) == e.count()
+    models = centers.selectExpr("cluster AS component", "center AS weights")
+    whole, cut = ({tuple(r) for r in score.best_component(e, "vec_id", "embedding", models, limit=n).collect()} for n in (1 << 20, 1500))
+    assert whole == cut and len(whole) == e.count()
+
+
+def test_joint_thresholds_equal_the_best_of_the_grid(spark):
+    rng = np.random.default_rng(7)
+    objects = spark.createDataFrame([(i,) for i in range(40)], "o long")
+    hits = spark.createDataFrame([(int(rng.integers(2)), int(rng.integers(60)), int(rng.integers(9))) for _ in range(150)], "model int, o long, bin int")
+    best = harmony.joint_f_grid(objects, hits, ["o"], 9).agg(F.max("f_measure")).first()[0]
+    assert harmony.search(objects, hits, ["o"], [9, 9], 1, runs=4, rounds=3000).first()["f_measure"] == pytest.approx(best)
+
+
+def test_generic_sizes_have_two_pixels_a_side():
+    assert stats.model_size(1.0, 1.0, cell=1, most=0, least=2) == (2, 2)
+    assert stats.model_size(4.0, 100.0, cell=1, most=0, least=2) == (5, 20)
+    assert stats.model_size(4.0, 100.0, cell=1, most=10, least=2) == (3, 10)
+
+
+def test_components_are_numbered_on(spark):
+    old = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "class string, component int")
+    new = spark.createDataFrame([("a", 0), ("c", 0), ("c", 1)], "class string, component int")
+    both = sampling.append_components(old, new, "class", "component")
+    assert sorted(map(tuple, both.collect())) == [("a", 0), ("a", 1), ("a", 2), ("b", 0), ("c", 0), ("c", 1)]
+    assert sorted(map(tuple, sampling.without_component(both, "component", 1, "class").collect())) == [("a", 0), ("a", 1), ("b", 0), ("c", 0)]
+
+
 def test_exact_and_cyclic_autocorrelation_agree_on_constant_rows(spark):
     g = spark.createDataFrame([(y, x, 1.0) for y in range(4) for x in range(4)], "y long, x long, v double")
     assert {r["cov"] for r in stats.autocorrelation(g, 1, 0.0).collect()} == {1.0}
