@@ -2,19 +2,20 @@
 
 import pytest
 
-from tessera.plans import catalogue
+from tessera.plans import catalogue, chain
 
-SQL = catalogue.oracle_sql()
+SQL = catalogue.oracle_sql() | chain.oracle_sql()
+QUERIES = catalogue.queries() | chain.queries()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(name, same_rows):
-    same_rows(catalogue.queries()[name], SQL[name])
+    same_rows(QUERIES[name], SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql(name, spark, data):
-    df = catalogue.queries()[name](spark, data)
+    df = QUERIES[name](spark, data)
     assert df.count() > 0 and df.columns
 
 
