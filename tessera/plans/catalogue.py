@@ -322,7 +322,8 @@ def threshold_grid(spark, d):
 
 def threshold_harmony(spark, d):
     objects, hits = _two_models(spark, d)
-    return harmony.search(objects, hits, ["image", "x"], [17, 17], seed=1)
+    found = harmony.search(objects, hits, ["image", "x"], [17, 17], seed=1)
+    return found.select(F.col("thresholds")[0].alias("bin_a"), F.col("thresholds")[1].alias("bin_b"), _r("f_measure").alias("f_measure"))
 
 
 def model_list_parse(spark, d):
@@ -374,6 +375,8 @@ def oracle_sql() -> dict[str, str]:
     line = "SELECT {line}, t.i AS {along}, max(v + -0.5 * (t.i - {along}) * (t.i - {along})) AS v FROM {src}, range({a}, {b}) t(i) GROUP BY ALL"
     dt1 = line.format(line="y", along="x", src="grid", a=1, b=32)
     columns = "SELECT x, CAST(t.i AS BIGINT) AS y, max(v + -0.5 * (t.i - y) * (t.i - y)) AS v FROM r, (SELECT unnest(range((SELECT max(y) + 1 FROM grid))) AS i) t GROUP BY ALL"
+    pairs = f"{BOXES}, o AS (SELECT DISTINCT image, x FROM boxes WHERE event_type = 'purchase'), h AS (SELECT event_type, image, x, least(16, CAST(floor(score / {VALUE_STEP}) AS INTEGER)) AS bin FROM boxes WHERE event_type IN ('click', 'view')), best AS (SELECT o.image, o.x, coalesce(max(bin) FILTER (event_type = 'click'), -1) AS a, coalesce(max(bin) FILTER (event_type = 'view'), -1) AS b FROM o LEFT JOIN h ON h.image = o.image AND h.x = o.x GROUP BY ALL), miss AS (SELECT event_type, bin FROM h WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.image = h.image AND o.x = h.x)), g AS (SELECT CAST(i AS INTEGER) AS bin_a, CAST(j AS INTEGER) AS bin_b FROM range(17) a(i), range(17) b(j)), c AS (SELECT bin_a, bin_b, (SELECT count(*) FROM best WHERE a >= bin_a OR b >= bin_b) AS tp, (SELECT count(*) FROM miss WHERE (event_type = 'click' AND bin >= bin_a) OR (event_type = 'view' AND bin >= bin_b)) AS fp, (SELECT count(*) FROM o) AS np FROM g)"
+    joint = "CASE WHEN tp + fp + np > 0 THEN 2 * tp / (tp + fp + np) ELSE 0 END"
     out = {
         "synset_list": "SELECT p_partkey AS synset_id, p_name AS description FROM part",
         "synset_get": "SELECT p_partkey AS synset_id, p_name AS description FROM part WHERE p_partkey = 7",
@@ -425,7 +428,8 @@ def oracle_sql() -> dict[str, str]:
         "average_precision_detected": f"WITH {BOXES}, {run}, {curve} SELECT round(sum(s), 6) AS average_precision FROM (SELECT (recall - coalesce(lag(recall) OVER (ORDER BY recall), 0)) * precision AS s FROM curve)",
         "models_replaced": "WITH new AS (SELECT p_brand AS class, min(p_size) AS size FROM part WHERE p_size < 3 GROUP BY ALL) SELECT p_brand AS class, max(p_size) AS size FROM part WHERE p_brand NOT IN (SELECT class FROM new) GROUP BY ALL UNION ALL SELECT class, size FROM new",
         "model_size_range": "SELECT p_brand AS class, min(p_size)::BIGINT AS min_rows, min(1 + p_partkey % 20) AS min_cols, max(p_size)::BIGINT AS max_rows, max(1 + p_partkey % 20) AS max_cols FROM part GROUP BY ALL",
-        "threshold_grid": f"WITH {BOXES}, o AS (SELECT DISTINCT image, x FROM boxes WHERE event_type = 'purchase'), h AS (SELECT event_type, image, x, least(16, CAST(floor(score / {VALUE_STEP}) AS INTEGER)) AS bin FROM boxes WHERE event_type IN ('click', 'view')), best AS (SELECT o.image, o.x, coalesce(max(bin) FILTER (event_type = 'click'), -1) AS a, coalesce(max(bin) FILTER (event_type = 'view'), -1) AS b FROM o LEFT JOIN h ON h.image = o.image AND h.x = o.x GROUP BY ALL), miss AS (SELECT event_type, bin FROM h WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.image = h.image AND o.x = h.x)), g AS (SELECT CAST(i AS INTEGER) AS bin_a, CAST(j AS INTEGER) AS bin_b FROM range(17) a(i), range(17) b(j)), c AS (SELECT bin_a, bin_b, (SELECT count(*) FROM best WHERE a >= bin_a OR b >= bin_b) AS tp, (SELECT count(*) FROM miss WHERE (event_type = 'click' AND bin >= bin_a) OR (event_type = 'view' AND bin >= bin_b)) AS fp, (SELECT count(*) FROM o) AS np FROM g) SELECT bin_a, bin_b, tp, fp, round(CASE WHEN tp + fp + np > 0 THEN 2 * tp / (tp + fp + np) ELSE 0 END, 6) AS f_measure FROM c",
+        "threshold_grid": f"WITH {pairs} SELECT bin_a, bin_b, tp, fp, round({joint}, 6) AS f_measure FROM c",
+        "threshold_harmony": f"WITH {pairs} SELECT bin_a, bin_b, round({joint}, 6) AS f_measure FROM c ORDER BY {joint} DESC, bin_a, bin_b LIMIT 1",
         "model_list_parse": "SELECT p_partkey AS synset_id, p_name AS classname, 'm' || p_partkey || '.txt' AS modelfile, CASE WHEN p_partkey % 7 = 0 THEN 0.5 ELSE (p_partkey % 10)::DOUBLE / 10 END::DOUBLE AS threshold, CASE WHEN p_partkey % 7 <> 0 THEN 'n' || p_partkey END AS synset, p_partkey % 7 = 0 AS disabled FROM part WHERE p_partkey % 7 <> 1",
         "annotation_parse": "SELECT page_id, CAST(count(*) AS BIGINT) AS n, min(v) AS first, max(v) AS last FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"', 1)) AS v FROM pages) GROUP BY page_id",
         "latest_frame": "SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS hour, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY ALL",

@@ -167,6 +167,18 @@ def test_joint_thresholds_equal_the_best_of_the_grid(spark):
     assert harmony.search(objects, hits, ["o"], [9, 9], 1, runs=4, rounds=3000).first()["f_measure"] == pytest.approx(best)
 
 
+def test_clusters_are_at_rest_and_axes_equal_numpy(spark, data):
+    e = spark.read.parquet(f"{data}/embeddings.parquet")
+    x = np.array([r[0] for r in e.orderBy("vec_id").select("embedding").collect()], float)
+    centers = np.array([r.center for r in cluster.fit(e, "embedding", 4, [1, 2]).orderBy("cluster").collect()])
+    near = ((x[:, None] - centers) ** 2).sum(-1).argmin(1)
+    assert np.allclose(centers, [x[near == i].mean(0) for i in range(4)], atol=1e-6) and np.all(np.diff(centers[:, 0]) >= 0)
+    values, axes = np.linalg.eigh(np.cov(x.T, bias=True))
+    wanted = (x - x.mean(0)) @ axes[:, np.argsort(-values)[:4]]
+    told = np.array([r.projected for r in learn.project_pca(e, "vec_id", "embedding", 4).orderBy("vec_id").collect()])
+    assert told.shape == wanted.shape and np.allclose(abs(told), abs(wanted), atol=1e-5)
+
+
 def test_generic_sizes_have_two_pixels_a_side():
     assert stats.model_size(1.0, 1.0, cell=1, most=0, least=2) == (2, 2)
     assert stats.model_size(4.0, 100.0, cell=1, most=0, least=2) == (5, 20)
