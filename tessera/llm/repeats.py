@@ -45,7 +45,7 @@ from tessera.llm.words import NOT_SPACE, U64, Words, grams, mix, runs
 
 WINDOW, PREFIX = 13, 5
 #: Suffixes of a part that a task holds as one tree; larger parts get longer prefixes.
-GROUP = 1024
+GROUP = 4096
 _OTHER = U64(0xA24BAED4963EE407)
 
 
