@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe, chat, decontam, langid, media, neardup, quality, repeats, urls, warc
+from tessera.llm import bpe, chat, decontam, langid, media, neardup, periods, quality, repeats, search, shards, urls, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_decontamination": decontam.query,
         "op9_language": langid.query,
         "op10_quality": quality.query,
+        "op11_periods": periods.query,
+        "op12_search": search.query,
+        "op13_shards": shards.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.sql(), "op5_warc": warc.sql(), "op6_urls": urls.sql()}
+    return {"op4_chat": chat.sql(), "op5_warc": warc.sql(), "op6_urls": urls.sql(), "op12_search": search.sql(), "op13_shards": shards.sql()}
