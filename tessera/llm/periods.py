@@ -67,7 +67,7 @@ class _Powers:
 
     def __init__(self) -> None:
         self.up = np.ones(1, U64)
-        self.next = U64(_BASE)  # the base to the power of how many there are
+        self.next = np.array([_BASE], U64)  # the base to the power of how many there are
 
     def get(self, n: int) -> np.ndarray:
         while len(self.up) < n:
@@ -144,9 +144,7 @@ def find(words: np.ndarray, rows: np.ndarray, least_words: int = LEAST_WORDS, le
     while a < len(text):
         before = int(ends[a - 1]) if a else 0
         b = max(a + 1, int(np.searchsorted(ends, before + BLOCK, "right")))
-        for stretch in _stretches(prefixes, rows, text[a:b], period[a:b], half[a:b], points[a:b], to, by):
-            long = stretch[1] - stretch[0] >= np.maximum(least_words, least_periods * stretch[2])
-            begin, end, q = (x[long] for x in stretch)
+        for begin, end, q in _stretches(prefixes, rows, text[a:b], period[a:b], half[a:b], points[a:b], to, by, least_words, least_periods):
             found.append((begin, end, q))
             for i in np.argsort(end - begin, kind="stable").tolist():
                 if end[i] - begin[i] > 4 * least_words:  # short ones aren't worth it
@@ -154,18 +152,22 @@ def find(words: np.ndarray, rows: np.ndarray, least_words: int = LEAST_WORDS, le
         a = b
     if not found:
         return none, none, none
-    begin, end, q = (np.concatenate(x) for x in zip(*found, strict=True))
+    begin, end, q, _ = _least(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    order = np.lexsort((q, begin))
+    return begin[order], end[order], q[order]
+
+
+def _least(begin: np.ndarray, end: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of stretches of equal ends the one of the smallest period, and its place."""
     order = np.lexsort((q, end, begin))
-    begin, end, q = begin[order], end[order], q[order]
+    begin, end = begin[order], end[order]
     first = np.ones(len(begin), bool)
     first[1:] = (begin[1:] != begin[:-1]) | (end[1:] != end[:-1])
-    begin, end, q = begin[first], end[first], q[first]
-    order = np.lexsort((q, begin))
-    return begin[order], end[order], q[order]
+    return begin[first], end[first], q[order[first]], order[first]
 
 
-def _stretches(prefixes: Prefixes, rows: np.ndarray, text: np.ndarray, period: np.ndarray, half: np.ndarray, points: np.ndarray, to: np.ndarray, by: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Begin, end and period of the maximal stretches around grid points, each once; a long text's points come in parts."""
+def _stretches(prefixes: Prefixes, rows: np.ndarray, text: np.ndarray, period: np.ndarray, half: np.ndarray, points: np.ndarray, to: np.ndarray, by: np.ndarray, least_words: int, least_periods: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Begin, end and period of the maximal stretches around grid points that are long enough, each once; a long text's points come in parts."""
     words, total = prefixes.words, int(points.sum())
     base = np.cumsum(points) - points
     for k in range(0, total, BLOCK):
@@ -184,12 +186,17 @@ def _stretches(prefixes: Prefixes, rows: np.ndarray, text: np.ndarray, period: n
         first, last = rows[text[of]], rows[text[of] + 1]
         back = prefixes.extend(at, gap, at - first, True)
         on = prefixes.extend(at, gap, last - gap - at, False)
-        begin, end = at - back, at + on + gap
-        keys, one = np.unique(np.stack([begin, end, gap]), axis=1, return_index=True)
-        begin, end, gap, at, first, last = keys[0], keys[1], keys[2], at[one], first[one], last[one]
+        begin, end = at - back, at + on + gap  # where hashes are wrong, these are too far apart, never too near
+        long = end - begin >= np.maximum(least_words, least_periods * gap)
+        begin, end, gap, at, first, last = (x[long] for x in (begin, end, gap, at, first, last))
+        *told, _ = _least(begin, end, gap)
+        if _verified(words, *told).all():
+            yield tuple(told)
+            continue
         for i in np.flatnonzero(~_verified(words, begin, end, gap)).tolist():
             begin[i], end[i] = _by_words(words, int(at[i]), int(gap[i]), int(first[i]), int(last[i]))
-        yield begin, end, gap
+        long = end - begin >= np.maximum(least_words, least_periods * gap)
+        yield _least(begin[long], end[long], gap[long])[:3]
 
 
 def _verified(words: np.ndarray, begin: np.ndarray, end: np.ndarray, gap: np.ndarray) -> np.ndarray:
