@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import detect as boxes_of
+from tessera.operators import toeplitz
 from tessera.operators.learn import discriminant
 from tessera.operators.score import envelope
 from tessera.sources.models import Background, Component, Model, Part, reconstruct
@@ -83,10 +85,28 @@ def slices(models: dict[str, Model], limit: int = SLICE_BYTES) -> Iterator[dict[
         yield now
 
 
-def candidates(pyramids: DataFrame, key: str, models: dict[str, Model], thresholds: dict[str, float], interval: int = 10) -> DataFrame:
+def _changed(models: dict[str, Model], changes) -> dict[str, Model]:
+    """The models with the root filters that an image has of its own."""
+    if changes is None or not len(changes):
+        return models
+    out = dict(models)
+    for c in changes:
+        if c["class"] in out:
+            model = out[c["class"]]
+            components = list(model.components)
+            root, *parts = components[c["component"]].parts
+            weights = np.asarray(c["weights"], np.float32).reshape(root.weights.shape)
+            components[c["component"]] = Component([Part(weights, root.offset, root.deformation), *parts], components[c["component"]].bias)
+            out[c["class"]] = Model(components, model.extractor, model.parameters)
+    return out
+
+
+def candidates(pyramids: DataFrame, key: str, models: dict[str, Model], thresholds: dict[str, float], interval: int = 10, changes: DataFrame | None = None) -> DataFrame:
     """key, class, component, score, level, scale, x, y, w, h in cells: local maxima above the class's threshold.
 
     Levels of an image meet only if a model has parts; then an image's pyramid is one group.
+    changes has key, class, component and weights of root filters that stand in for those
+    of the models in that image alone (held_out.changed_models); they travel with its levels.
     """
     kind = pyramids.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, class string, component int, score double, level int, scale double, x int, y int, w int, h int"
@@ -118,23 +138,28 @@ def candidates(pyramids: DataFrame, key: str, models: dict[str, Model], threshol
                 rows = []
                 for r in pdf.itertuples(index=False):
                     cells = np.asarray(r[6], float).reshape(r[3], r[4], r[5])
-                    rows += of(sent.value, r[0], {r[1]: cells}, {r[1]: r[2]})
+                    rows += of(_changed(sent.value, r[7]), r[0], {r[1]: cells}, {r[1]: r[2]})
                 yield pd.DataFrame(rows, columns=columns)
 
         def grouped(pdf: pd.DataFrame, sent=sent) -> pd.DataFrame:
             levels = {r[1]: np.asarray(r[6], float).reshape(r[3], r[4], r[5]) for r in pdf.itertuples(index=False)}
-            return pd.DataFrame(of(sent.value, pdf.iloc[0, 0], levels, dict(zip(pdf["level"], pdf["scale"], strict=True))), columns=columns)
+            return pd.DataFrame(of(_changed(sent.value, pdf["changes"].iloc[0]), pdf.iloc[0, 0], levels, dict(zip(pdf["level"], pdf["scale"], strict=True))), columns=columns)
 
         needed = pyramids.select(key, "level", "scale", "rows", "cols", "channels", "data")
+        if changes is None:
+            needed = needed.withColumn("changes", F.lit(None).cast("array<struct<class:string,component:int,weights:array<double>>>"))
+        else:
+            own = changes.groupBy(key).agg(F.collect_list(F.struct(F.col("class").cast("string").alias("class"), F.col("component").cast("int").alias("component"), F.col("weights").cast("array<double>").alias("weights"))).alias("changes"))
+            needed = needed.join(own, key, "left")
         parts = any(len(c.parts) > 1 for m in one.values() for c in m.components)
         found = needed.groupBy(key).applyInPandas(grouped, schema) if parts else needed.mapInPandas(single, schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else pyramids.sparkSession.createDataFrame([], schema)
 
 
-def detect(pyramids: DataFrame, images: DataFrame, key: str, models: dict[str, Model], thresholds: dict[str, float], interval: int = 10, overlap: float = 0.5, cell: int = 8, border: int = 0) -> DataFrame:
-    """key, class, component, score, level, x, y, w, h in pixels: after projection, cutting and suppression. images has key, width and height."""
-    found = candidates(pyramids, key, models, thresholds, interval).join(images.select(key, "width", "height"), key)
+def detect(pyramids: DataFrame, images: DataFrame, key: str, models: dict[str, Model], thresholds: dict[str, float], interval: int = 10, overlap: float = 0.5, cell: int = 8, border: int = 0, changes: DataFrame | None = None) -> DataFrame:
+    """key, class, component, score, level, x, y, w, h in pixels: after projection, cutting and suppression. images has key, width and height; changes as for candidates()."""
+    found = candidates(pyramids, key, models, thresholds, interval, changes).join(images.select(key, "width", "height"), key)
     left, top = ((F.col(c) / F.col("scale") + 0.5).cast("int") * cell + border for c in ("x", "y"))
     w, h = ((F.col(c) / F.col("scale") + 0.5).cast("int") * cell for c in ("w", "h"))
     placed = found.select(key, "class", "component", "score", "level", F.greatest(F.lit(0), left).alias("x"), F.greatest(F.lit(0), top).alias("y"), (F.least("width", left + w) - F.greatest(F.lit(0), left)).alias("w"), (F.least("height", top + h) - F.greatest(F.lit(0), top)).alias("h"))
@@ -188,6 +213,72 @@ def learn_background(pyramids: DataFrame, cell: tuple[int, int] = (8, 8), most:
     return Background(cell, mean, cov, np.array(offsets))
 
 
+def learn_background_cyclic(pyramids: DataFrame, cell: tuple[int, int] = (8, 8), most: int = 19) -> Background:
+    """Mean and autocorrelation of cells over all levels, each of which wraps around, by Fourier transforms.
+
+    Levels of one size are transformed together, the spectra of each pair of channels are
+    summed over them, and transformed back once. An offset counts a level's cells if it
+    reaches no further than half of the level; an offset that no level counts has zeros.
+    Of the two passes only sums leave the tasks.
+    """
+    offsets = np.array([(dx, dy) for dx in range(most + 1) for dy in range(-most, most + 1) if dx or dy >= 0])
+    needed = pyramids.select("rows", "cols", "channels", "data").where("rows * cols > 0")
+    moments = needed.select("channels", F.posexplode("data").alias("i", "v")).groupBy((F.col("i") % F.col("channels")).alias("c")).agg(F.avg(F.col("v").cast("double")).alias("m")).orderBy("c").collect()
+    mean = np.array([r["m"] for r in moments])
+    channels = len(mean)
+
+    def correlate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((len(offsets), channels, channels)), np.zeros(len(offsets), np.int64)
+        for batch in batches:
+            rows, cols = (batch.column(c).to_numpy() for c in (0, 1))
+            data = batch.column(3)
+            values, at = data.values.to_numpy(zero_copy_only=False), data.offsets.to_numpy()
+            shapes, of = np.unique(np.stack([rows, cols], 1), axis=0, return_inverse=True)
+            for k, (r, c) in enumerate(shapes.tolist()):
+                here = np.flatnonzero(of.ravel() == k)
+                x = np.stack([values[at[i] : at[i + 1]] for i in here]).reshape(-1, r, c, channels) - mean
+                spectra = np.fft.rfft2(x, axes=(1, 2))
+                fits = np.flatnonzero((r // 2 + offsets[:, 1] >= 0) & (r // 2 + offsets[:, 1] < r) & (c // 2 + offsets[:, 0] < c))
+                n[fits] += r * c * len(here)
+                for p in range(channels):
+                    crossed = np.einsum("kyx,kyxq->yxq", spectra[..., p].conj(), spectra)
+                    wrapped = np.fft.irfft2(crossed, (r, c), axes=(0, 1))
+                    total[fits, p] += wrapped[offsets[fits, 1] % r, offsets[fits, 0] % c]
+        o, k = np.divmod(np.arange(total.size), channels * channels)
+        yield pa.record_batch([pa.array(o), pa.array(k), pa.array(total.ravel()), pa.array(n[o])], ["o", "k", "s", "n"])
+
+    cov = np.zeros((len(offsets), channels * channels))
+    if channels:
+        for row in needed.mapInArrow(correlate, "o long, k long, s double, n long").groupBy("o", "k").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0").collect():
+            cov[row["o"], row["k"]] = row["s"] / row["n"]
+    return Background(cell, mean, cov.reshape(len(offsets), channels, channels), offsets)
+
+
+def whitened(levels: DataFrame, key: str, background: Background, least: float = 0.01, ridge: float = 0.01, unit: bool = True) -> DataFrame:
+    """key, rows, cols, channels and white: whole levels less the background's mean, their covariance solved; unit: by the largest entry.
+
+    The covariance has `least` more on its diagonal, and `ridge` more again until it is
+    positive definite. Nothing of a level's square is made (toeplitz); only the
+    background's blocks by offset are sent.
+    """
+    sent = levels.sparkSession.sparkContext.broadcast(toeplitz.Solvers(background, ridge, least))
+
+    def whiten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            white: list = [None] * len(pdf)
+            for (rows, cols), at in pdf.groupby(["rows", "cols"], sort=False).indices.items():
+                x = np.stack(pdf["data"].to_numpy()[at]).astype(float) - np.tile(sent.value.background.mean, rows * cols)
+                y = sent.value(rows, cols)(x)
+                if unit:
+                    y = y / np.maximum(np.abs(y).max(1, keepdims=True), np.finfo(float).tiny)
+                for i, row in zip(at, y, strict=True):
+                    white[i] = row
+            yield pdf.drop(columns="data").assign(white=white)
+
+    kind = levels.schema[key].dataType.simpleString()
+    return levels.select(key, "rows", "cols", "channels", "data").where("rows * cols > 0").mapInPandas(whiten, f"{key} {kind}, rows int, cols int, channels int, white array<double>")
+
+
 def learn(positives: DataFrame, background: Background, rows: int, cols: int) -> tuple[Model, list[float]]:
     """A model with a template per cluster, and the clusters' thresholds: positives has cluster and data (rows x cols x channels).
 

@@ -35,16 +35,20 @@ def match(detections: DataFrame, truth: DataFrame, image: str, key: str, overlap
     return detections.select(key, "score").join(hits, key, "left").select(key, "score", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
-def sweep(scored: DataFrame, positives: Column | int, granularity: int = 100) -> DataFrame:
-    """threshold, tp, fp, np for each grid value that occurs among the scores.
+def sweep(scored: DataFrame, positives: Column | int | DataFrame, granularity: int = 100, by: tuple[str, ...] = ()) -> DataFrame:
+    """threshold, tp, fp, np for each grid value that occurs among the scores; of each group of `by`, all groups at once.
 
     Scores are counted by grid value first, so the running sums go over at most as many
-    rows as the grid has values.
+    rows of a group as the grid has values. positives are a number, a column, or a table
+    of the groups' own numbers (by, np); groups without any there have 0.
     """
     grid = F.floor(F.col("score") * granularity) / F.lit(float(granularity))
-    counts = scored.groupBy(grid.alias("threshold")).agg(F.sum(F.col("hit").cast("long")).alias("t"), F.sum((~F.col("hit")).cast("long")).alias("f"))
-    down = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
-    return counts.select("threshold", F.sum("t").over(down).alias("tp"), F.sum("f").over(down).alias("fp"), (F.lit(positives) if isinstance(positives, int) else positives).cast("long").alias("np"))
+    counts = scored.groupBy(*by, grid.alias("threshold")).agg(F.sum(F.col("hit").cast("long")).alias("t"), F.sum((~F.col("hit")).cast("long")).alias("f"))
+    down = (W.partitionBy(*by) if by else W).orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
+    if isinstance(positives, DataFrame):
+        counts = counts.join(positives.select(*by, F.col("np").alias("_np")), list(by), "left")
+        positives = F.coalesce("_np", F.lit(0))
+    return counts.select(*by, "threshold", F.sum("t").over(down).alias("tp"), F.sum("f").over(down).alias("fp"), (F.lit(positives) if isinstance(positives, int) else positives).cast("long").alias("np"))
 
 
 def precision() -> Column:
@@ -61,9 +65,10 @@ def f_measure(b: float = 1.0) -> Column:
     return F.when(bottom > 0, F.lit(1 + b * b) * p * r / bottom).when(bottom == 0, F.lit(0.0))
 
 
-def max_f_measure(results: DataFrame, b: float = 1.0) -> DataFrame:
-    """The best value and the lowest threshold that gives it."""
-    return results.select("threshold", F.round(f_measure(b), 9).alias("f")).agg(F.max(F.struct("f", (-F.col("threshold")).alias("neg"))).alias("m")).select((-F.col("m.neg")).alias("threshold"), F.col("m.f").alias("f_measure"))
+def max_f_measure(results: DataFrame, b: float = 1.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """The best value and the lowest threshold that gives it, of each group of `by`."""
+    best = results.select(*by, "threshold", F.round(f_measure(b), 9).alias("f")).groupBy(*by).agg(F.max(F.struct("f", (-F.col("threshold")).alias("neg"))).alias("_best"))
+    return best.select(*by, (-F.col("_best.neg")).alias("threshold"), F.col("_best.f").alias("f_measure"))
 
 
 def f_measure_at(results: DataFrame, threshold: float, b: float = 1.0) -> DataFrame:

@@ -2,10 +2,10 @@
 
 import pytest
 
-from tessera.plans import catalogue, chain
+from tessera.plans import catalogue, chain, learning
 
-SQL = catalogue.oracle_sql() | chain.oracle_sql()
-QUERIES = catalogue.queries() | chain.queries()
+SQL = catalogue.oracle_sql() | chain.oracle_sql() | learning.oracle_sql()
+QUERIES = catalogue.queries() | chain.queries() | learning.queries()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
