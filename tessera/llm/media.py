@@ -15,6 +15,8 @@ any name. Rows never meet each other: one pass, no shuffle.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import re
 import struct
@@ -134,37 +136,68 @@ def _gzip(b: bytes, at: int) -> tuple[str, int] | None:
     return ("application/gzip", ends[-1] - at) if ends else None
 
 
-def _pdf(b: bytes, at: int) -> tuple[str, int] | None:
+class Blob(bytes):
+    """Bytes with tables of their end marks, made once each, so that false hits don't search to the end."""
+
+    @functools.cached_property
+    def headers(self) -> list[int]:
+        return [m.start() for m in re.finditer(rb"%PDF-", self)]
+
+    @functools.cached_property
+    def pdf_ends(self) -> tuple[list[int], list[int], list[int], dict[int, int]]:
+        """End marks that have a cross-reference offset behind the mark before: where they and the offsets are, where the mark before ends; and the last of these for each offset."""
+        ends, refs, befores, last, before = [], [], [], {}, 0
+        for m in re.finditer(rb"%%EOF", self):
+            ref = self.rfind(b"startxref", before, m.start())
+            if ref >= 0:
+                if to := re.fullmatch(rb"\s*(\d{1,15})\s*", self[ref + 9 : min(m.start(), ref + 64)]):
+                    last[int(to[1])] = len(ends)
+                ends.append(m.start())
+                refs.append(ref)
+                befores.append(before)
+            before = m.end()
+        return ends, refs, befores, last
+
+    @functools.cached_property
+    def zip_ends(self) -> dict[int, int]:
+        """For each start that an end of a directory fits, the end of the first such archive."""
+        found: dict[int, int] = {}
+        for m in re.finditer(rb"PK\x05\x06", self):
+            end = m.start()
+            if end <= len(self) - 22:
+                size, begin, note = struct.unpack_from("<IIH", self, end + 12)
+                if end + 22 + note <= len(self):
+                    found.setdefault(end - begin - size, end + 22 + note)
+        return found
+
+
+_XREF = re.compile(rb"xref|\d+\s+\d+\s+obj")
+
+
+def _pdf(b: Blob, at: int) -> tuple[str, int] | None:
     """Up to the last end mark of this file: each update has its own, with a cross-reference offset before it.
 
     Behind the next header, only marks count whose offset, from this file's start, leads to a
     cross-reference behind that header: that is a file within this one, not a file after it.
     """
-    header = b.find(b"%PDF-", at + 5)
-    last, since, end = 0, at, b.find(b"%%EOF", at)
-    while end >= 0:
-        if (ref := b.rfind(b"startxref", since, end)) >= 0:
-            beyond = 0 <= header < end
-            to = re.fullmatch(rb"\s*(\d{1,15})\s*", b[ref + 9 : min(end, ref + 64)]) if beyond else None
-            if not beyond or not last and since == at or to and header < at + int(to[1]) < ref and re.compile(rb"xref|\d+\s+\d+\s+obj").match(b, at + int(to[1])):
-                last = end + 5
-        since = end + 5
-        end = b.find(b"%%EOF", since)
+    i = bisect.bisect_right(b.headers, at)
+    header = b.headers[i] if i < len(b.headers) else len(b)
+    ends, refs, befores, offsets = b.pdf_ends
+    first, beyond = bisect.bisect_left(refs, at), bisect.bisect_left(ends, header)
+    last = ends[beyond - 1] + 5 if beyond > first else ends[first] + 5 if first < len(ends) and befores[first] <= at else 0
+    for to, k in offsets.items():
+        if k >= first and ends[k] >= last and header < ends[k] and header < at + to < refs[k] and _XREF.match(b, at + to):
+            last = ends[k] + 5
     if not last:
         return None
     last += 2 if b.startswith(b"\r\n", last) else b[last : last + 1] in (b"\n", b"\r")
     return "application/pdf", last - at
 
 
-def _zip(b: bytes, at: int) -> tuple[str, int] | None:
+def _zip(b: Blob, at: int) -> tuple[str, int] | None:
     """The first end of a directory whose offsets fit this start: those of archives stored within don't."""
-    end = b.find(b"PK\x05\x06", at)
-    while 0 <= end <= len(b) - 22:
-        size, begin, note = struct.unpack_from("<IIH", b, end + 12)
-        if at + begin + size == end and end + 22 + note <= len(b):
-            return "application/zip", end + 22 + note - at
-        end = b.find(b"PK\x05\x06", end + 1)
-    return None
+    end = b.zip_ends.get(at)
+    return ("application/zip", end - at) if end is not None else None
 
 
 #: Magic bytes and who confirms them.
@@ -191,7 +224,7 @@ def automaton() -> ahocorasick.Automaton:
 
 def media_in(blob: bytes, magic: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(offset, length, type) of confirmed media, in order, none within another."""
-    found: list[tuple[int, int, str]] = []
+    blob, found = Blob(blob), []
     free = 0
     for last, word in magic.iter(blob.decode("latin-1")):
         at = last + 1 - len(word)

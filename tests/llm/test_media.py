@@ -2,9 +2,11 @@ import gzip
 import hashlib
 import io
 import struct
+import time
 import zipfile
 import zlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -102,3 +104,10 @@ def test_files_of_several_parts_are_whole(spark):
     assert not any(r.corrected for r in got.values())
     assert [[e.type for e in got[i].embedded] for i in range(5)] == [[], [], ["application/pdf"], ["application/zip"], ["image/png"]]
     assert got[4].embedded[0].content == png()
+
+
+@pytest.mark.parametrize("unit", [b"%PDF-", b"PK\x03\x04", b"%PDF-%%EOF", b"%PDF-startxref%%EOF", b"PK\x03\x04PK\x05\x06", b"BM", b"RIFF"])
+def test_false_hits_take_no_longer_than_their_length(unit):
+    began = time.time()
+    media.media_in(unit * (1_000_000 // len(unit)), media.automaton())
+    assert time.time() - began < 20
