@@ -135,6 +135,14 @@ def _page(name: str | None) -> int | None:
     return int(number) if number.lstrip("-").isdigit() else None
 
 
+def _http_length(head: bytes) -> tuple[int | None, str | None]:
+    """The content length of an HTTP header, if it has one, and what is wrong with it."""
+    said = next((x.partition(b":")[2].strip() for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+    if said is None:
+        return None, None
+    return (int(said), None) if said.isdigit() and len(said) < 19 else (None, "HTTP content length is no number")
+
+
 RECORD = {
     "page_id": pa.int64(), "record_type": pa.string(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to": pa.int64(), "digest_ok": pa.bool_(),
     "error": pa.string(), "payload": pa.binary(),
@@ -155,7 +163,8 @@ def read_archives(archives: DataFrame, content: str = "content", payloads: bool
                     fields, block, error = parse(data)
                     http, _, payload = block.partition(b"\r\n\r\n")
                     kind, said = fields.get("warc-type"), fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                    length = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+                    length, wrong = _http_length(http)
+                    error = error or wrong
                     fits = fields.get("warc-block-digest", "").removeprefix("sha1:") in ("", base32_sha1(block))
                     if kind == "response":
                         fits, length = fits and said in ("", base32_sha1(payload)) and length in (None, len(payload)), len(payload)

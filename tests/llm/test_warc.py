@@ -48,3 +48,14 @@ def test_members_are_plain_gzip():
     assert zlib.decompress(data, 31) == b"abc" * 100_000
     assert [m for m, _ in warc.members(data + data)] == [b"abc" * 100_000] * 2
     assert warc.base32_sha1(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and hashlib.sha1(b"").digest()
+
+
+def test_lengths_that_are_no_numbers_are_told(spark):
+    records = []
+    for said in (b"x", b"-", b"9" * 40, "²".encode(), b""):
+        head, gap, body = warc._record("response", 1, "u", None, b"payload").partition(b"\r\n\r\n")
+        http = b"HTTP/1.1 200 OK\r\nContent-Length: " + said + b"\r\n\r\npayload"
+        lines = [b"Content-Length: %d" % len(http) if x.lower().startswith(b"content-length:") else x for x in head.split(b"\r\n") if b"igest" not in x]
+        records.append(warc._member(b"\r\n".join(lines) + gap + http + b"\r\n\r\n"))
+    got = warc.read_archives(spark.createDataFrame([(bytearray(b"".join(records)),)], "content binary")).collect()
+    assert [r.error for r in got] == ["HTTP content length is no number"] * 5 and [r.payload_bytes for r in got] == [7] * 5
