@@ -18,6 +18,7 @@ trigrams at a time, so memory is bounded by the longest page's bytes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -90,19 +91,55 @@ def likelihood(page: np.ndarray, model: TextModel) -> np.ndarray:
     return TEMPER * told
 
 
-def _text(html: Column) -> Column:
-    return F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
+_REFERENCE, _MARK = re.compile(rb"&#?\w++;"), re.compile(rb"<|&#?\w++;")
+_OPENS = re.compile(rb"<(?:(script|style)\b|(!--))?", re.I)
+_ROOT = re.compile(rb"<html\b", re.I)
+_LANG = re.compile(rb"\blang\s*=\s*[\"']?([a-z]+)", re.I)
+
+
+def visible(html: bytes) -> bytes:
+    """A page's text: scripts, styles, comments, tags and character references are a space each.
+
+    What isn't closed is a tag, if there is a > later, or text. An end that was looked for
+    in vain isn't looked for again, so the time is in proportion to the page.
+    """
+    lower, parts, at, mark, absent = html.lower(), [], 0, _MARK, set()
+    search = 0
+    while found := mark.search(html, search):
+        begin, end = found.span()
+        if html[begin] == 0x3C:
+            opens = _OPENS.match(html, begin)
+            close = b"</" + opens[1].lower() + b">" if opens[1] else b"-->" if opens[2] else b">"
+            where = -1 if close in absent else lower.find(close, opens.end())
+            if where < 0 and close != b">":
+                absent.add(close)
+                close = b">"
+                where = lower.find(close, begin)
+            if where < 0:  # no tags from here on
+                mark, search = _REFERENCE, begin + 1
+                continue
+            end = where + len(close)
+        parts += (html[at:begin], b" ")
+        at = search = end
+    return b"".join((*parts, html[at:]))
+
+
+def declared(html: bytes) -> str:
+    """The language that the page's root declares, in lower case; else an empty string."""
+    at = 0
+    while root := _ROOT.search(html, at):
+        end = html.find(b">", root.end())
+        end = len(html) if end < 0 else end
+        if said := _LANG.search(html[root.end() : end]):
+            return said[1].decode().lower()
+        at = end
+    return ""
 
 
 def evidence(pages: DataFrame, model: TextModel, key: str, url: str, html: str) -> DataFrame:
     """page_id, host, domain, suffix, declared and text: the log-likelihood by language."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"://([^/?#]*)", 1))
-    lean = pages.select(
-        _text(F.col(f"`{html}`")).alias("body"),
-        F.col(f"`{key}`").cast("long").alias("page_id"),
-        host.alias("host"),
-        F.lower(F.regexp_extract(F.coalesce(F.col(f"`{html}`"), F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1)).alias("declared"),
-    )
+    lean = pages.select(F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).alias("html"), F.col(f"`{key}`").cast("long").alias("page_id"), host.alias("host"))
     sent = pages.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +147,10 @@ def evidence(pages: DataFrame, model: TextModel, key: str, url: str, html: str)
         width = len(known.langs)
         for batch in batches:
             data, at = spans(batch.column(0))
-            told = np.array([likelihood(data[a:b], known) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]).reshape(batch.num_rows, width)
+            pages = [data[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            told = np.array([likelihood(np.frombuffer(visible(x), np.uint8), known) for x in pages]).reshape(batch.num_rows, width)
             lists = pa.ListArray.from_arrays(np.arange(len(told) + 1, dtype=np.int32) * width, pa.array(told.ravel()))
-            yield pa.record_batch([*batch.columns[1:], lists], ["page_id", "host", "declared", "text"])
+            yield pa.record_batch([*batch.columns[1:], pa.array([declared(x) for x in pages], pa.string()), lists], ["page_id", "host", "declared", "text"])
 
     told = lean.mapInArrow(judge, "page_id long, host string, declared string, text array<double>")
     return told.withColumn("suffix", F.element_at(F.split("host", r"\."), -1)).withColumn("domain", F.substring_index("host", ".", -2))

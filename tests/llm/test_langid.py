@@ -1,6 +1,10 @@
 import math
+import random
+import re
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import langid
@@ -45,3 +49,25 @@ def test_empty(spark, data):
     none = langid.fitted(spark.createDataFrame([], "doc_id long, text string, lang string"))
     one = spark.createDataFrame([(1, "http://x/", "a")], "page_id long, url string, html string")
     assert langid.identify(one, none).first().lang is None
+
+
+_MARKUP = re.compile(rb"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&#?\w+;")
+_DECLARED = re.compile(rb"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)")
+
+
+def test_markup_goes_as_by_an_expression():
+    rng = random.Random(1)
+    parts = [b"<", b">", b"<script", b"</script>", b"<SCRIPT a>", b"<style>", b"</style>", b"<!--", b"-->", b"&amp;", b"&#12;", b"&", b";", b"a", b" ", b"<html ", b"lang=", b"lang='EN'", b"<html>", b"<scripty>", "ü".encode()]
+    for _ in range(5000):
+        page = b"".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        said = _DECLARED.search(page)
+        assert langid.visible(page) == _MARKUP.sub(b" ", page) and langid.declared(page) == (said[1].decode().lower() if said else "")
+
+
+@pytest.mark.parametrize("unit", [b"<", b"<script ", b"<!--", b"&", b"&a", b"<html ", b"<html lang", b"<style>x", b"<a>&amp;"])
+def test_pages_of_open_marks_take_no_longer_than_their_length(unit):
+    began = time.time()
+    page = unit * (1_000_000 // len(unit))
+    langid.visible(page)
+    langid.declared(page)
+    assert time.time() - began < 10
