@@ -20,8 +20,8 @@ Misses: a pair at the threshold shares a band but for (1 - t**ROWS)**BANDS, 6e-9
 itself and less above.
 
 Defined results: null and empty texts have no shingles and no links; a null doc_id is
-not linked and has a null component; rows of equal doc_id are one node; an empty table
-gives an empty one. Texts are used whole; a task holds one run of about 1 MB or one longer
+not linked and has a null component; rows of equal doc_id are one node, which is linked as
+each of their texts is; an empty table gives an empty one. Texts are used whole; a task holds one run of about 1 MB or one longer
 text at a time.
 """
 
@@ -308,6 +308,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
 
 
 def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
+    """Documents are nodes by id. Where ids repeat with different texts, each such text is a node of its own, and nodes of one id are linked."""
+    spark = docs.sparkSession
+    rows = docs.withColumn("row", F.xxhash64("text"))
+    lean = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("row").alias("low"), F.max("row").alias("high"))
+    several, _ = stash(lean.where("low < high").select("doc_id", F.lit(True).alias("many")))
+    if several.isEmpty():
+        return _linked(docs, percent)
+    node = F.when(F.col("many"), F.xxhash64("doc_id", "row")).otherwise(F.col("doc_id"))
+    named, _ = stash(rows.join(several.hint("merge"), "doc_id", "left").select(node.alias("node"), "doc_id", "text"))
+    told, _ = stash(_linked(named.select(F.col("node").alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("node"), "n_shingles", "component_id"))
+    own, _ = stash(named.where("node IS NOT NULL").select("node", "doc_id").distinct())
+    both, _ = stash(own.join(told.where("node IS NOT NULL").select("node", F.col("component_id").alias("part")).distinct().hint("merge"), "node"))
+    first, _ = stash(both.groupBy("doc_id").agg(F.min("part").alias("a")))
+    more = components(both.join(first.hint("merge"), "doc_id").select("a", F.col("part").alias("b")))
+    joined, _ = stash(both.join(more.select(F.col("node").alias("part"), "component").hint("merge"), "part", "left").select("doc_id", "node", F.coalesce("component", "part").alias("whole")))
+    least, _ = stash(joined.groupBy("whole").agg(F.min("doc_id").alias("component_id")))
+    of, _ = stash(joined.join(least.hint("merge"), "whole").select("node", "doc_id", "component_id"))
+    out = told.select("node", "n_shingles").join(of.hint("merge"), "node", "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _linked(docs: DataFrame, percent: int) -> DataFrame:
     spark, wanted = docs.sparkSession, percent / 100
     sketches, _ = stash(sketched(docs))
     same = ["set_a", "set_b", "n_shingles"]

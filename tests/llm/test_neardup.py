@@ -116,3 +116,21 @@ def test_users_columns_of_any_name_stay(odd):
     df = odd.withColumnsRenamed({"n_words": "_gone", "component_id": "_many"}).withColumn("gone", F.lit(1)).withColumn("many", F.lit(2)).withColumn("count", F.lit(3))
     out = neardup.distinct_documents(df)
     assert out.columns == df.columns and sorted(r.doc_id for r in out.collect() if r.doc_id is not None) == [-4, 1, 3, 4, 5, 6, 9, 11, 12, 13]
+
+
+@pytest.mark.parametrize("turn", [False, True])
+def test_ids_that_repeat_with_different_texts(spark, turn):
+    w, v = (" ".join(f"{c}{i}" for i in range(60)) for c in "wv")
+    rows = [(1, w), *([(2, w + " x"), (2, v)] if turn else [(2, v), (2, w + " x")]), (3, v + " y"), (3, None), (4, ""), (4, "z"), (5, v)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(neardup.near_duplicates(df, percent=85))
+    assert got == brute.near_duplicates(rows, 85) and {r[2] for r in got if r[0] != 4} == {1}
+
+
+def test_random_ids_that_repeat(spark):
+    rng = random.Random(11)
+    texts = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(12)]
+    rows = [(rng.choice([None, *range(8)]), rng.choice([None, *texts]) or None) for _ in range(30)]
+    rows = [(d, t and t + rng.choice(["", " x", " y"])) for d, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert rows_of(neardup.near_duplicates(df, percent=85)) == brute.near_duplicates(rows, 85)
