@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import detect as boxes_of
 from tessera.operators import toeplitz
-from tessera.operators.learn import discriminant
 from tessera.operators.score import envelope
-from tessera.sources.models import Background, Component, Model, Part, reconstruct
+from tessera.sources.models import Background, Component, Model, Part
 
 #: Bytes of templates that are sent to all tasks at once.
 SLICE_BYTES = 64 << 20
@@ -282,16 +281,20 @@ def whitened(levels: DataFrame, key: str, background: Background, least: float =
 def learn(positives: DataFrame, background: Background, rows: int, cols: int) -> tuple[Model, list[float]]:
     """A model with a template per cluster, and the clusters' thresholds: positives has cluster and data (rows x cols x channels).
 
-    Means by cluster are a grouped aggregation; the system is solved on the driver, whose
-    size is that of a template.
+    Means by cluster are a grouped aggregation; their systems are solved by conjugate
+    gradients, so nothing larger than a template reaches the driver.
     """
     n = len(background.mean)
     c = positives.select("cluster", F.posexplode("data").alias("i", "v")).groupBy("cluster", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
     told = c.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("m")).orderBy("cluster").collect()
-    cov, mean = reconstruct(background, rows, cols), np.tile(background.mean, rows * cols)
+    solve, mean = toeplitz.Solver(background, rows, cols), np.tile(background.mean, rows * cols)
     components, thresholds = [], []
     for r in told:
-        w, threshold, _ = discriminant(np.array(r["m"]), mean, cov)
-        components.append(Component([Part(w.reshape(rows, cols, n).astype(np.float32))], -threshold))
+        positive = np.array(r["m"])
+        own, none = solve(np.stack([positive, mean]))
+        w = own - none
+        f = float(np.abs(w).max()) or 1.0
+        threshold = float((positive @ own - mean @ none) / 2 / f)
+        components.append(Component([Part((w / f).reshape(rows, cols, n).astype(np.float32))], -threshold))
         thresholds.append(threshold)
     return Model(components), thresholds

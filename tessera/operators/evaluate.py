@@ -35,6 +35,18 @@ def match(detections: DataFrame, truth: DataFrame, image: str, key: str, overlap
     return detections.select(key, "score").join(hits, key, "left").select(key, "score", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
+def evaluate_classes(detections: DataFrame, truth: DataFrame, image: str, cls: str, key: str, overlap: float = 0.5, granularity: int = 100, tile: int = TILE) -> DataFrame:
+    """class, threshold, tp, fp and np of all classes at once: detections meet objects of their image and class only, and each class has a sweep and a number of objects of its own.
+
+    A detection in an image without objects of its class is false. Classes without detections have no rows.
+    """
+    place = F.struct(F.col(image).alias("i"), F.col(cls).alias("c"))
+    hits = claims(detections.withColumn("_place", place), truth.withColumn("_place", place), "_place", key, overlap, tile).select(key, F.lit(True).alias("hit"))
+    scored = detections.select(key, cls, "score").join(hits, key, "left").select(cls, "score", F.coalesce("hit", F.lit(False)).alias("hit"))
+    positives = truth.groupBy(cls).agg(F.count(F.lit(1)).alias("np"))
+    return sweep(scored, positives, granularity, (cls,))
+
+
 def sweep(scored: DataFrame, positives: Column | int | DataFrame, granularity: int = 100, by: tuple[str, ...] = ()) -> DataFrame:
     """threshold, tp, fp, np for each grid value that occurs among the scores; of each group of `by`, all groups at once.
 

@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 
 from tessera.operators import cluster as single
 from tessera.operators.tables import beside, held
+from tessera.operators.toeplitz import Solvers
+from tessera.sources.models import Background
 
 DIGITS = 6
 
@@ -126,15 +128,46 @@ def discriminants(means: DataFrame, array: str, mean: np.ndarray, solve: Callabl
     """means with weights, threshold and f: the discriminants of the arrays against the background, a batch of rows at a time."""
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = solve(mean[None, :])[0]
         for pdf in batches:
-            x = np.stack(pdf[array].to_numpy()).astype(float) if len(pdf) else np.empty((0, len(mean)))
-            own = solve(x) if len(x) else x
-            w = own - none
-            f = np.abs(w).max(1) if len(w) else np.empty(0)
-            f[f == 0] = 1.0
-            bias = (mean @ none - np.einsum("ij,ij->i", x, own)) / 2
-            yield pdf.assign(weights=list(w / f[:, None]), threshold=-bias / f, f=f)
-
-    added = [T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("threshold", T.DoubleType()), T.StructField("f", T.DoubleType())]
-    return means.mapInPandas(learn, T.StructType([*means.schema.fields, *added]))
+            yield _learned(pdf, array, mean, solve)
+
+    return means.mapInPandas(learn, T.StructType([*means.schema.fields, *_LEARNED]))
+
+
+def sized_discriminants(means: DataFrame, array: str, background: Background, ridge: float = 0.01) -> DataFrame:
+    """The same of arrays of several sizes, their columns rows and cols: the system of each size is made where it is met (toeplitz)."""
+    sent = means.sparkSession.sparkContext.broadcast(Solvers(background, ridge))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (rows, cols), own in pdf.groupby(["rows", "cols"], sort=False):
+                yield _learned(own, array, np.tile(sent.value.background.mean, rows * cols), sent.value(rows, cols))
+
+    return means.mapInPandas(learn, T.StructType([*means.schema.fields, *_LEARNED]))
+
+
+def sized_whitened(samples: DataFrame, array: str, name: str, background: Background, ridge: float = 0.01) -> DataFrame:
+    """samples with a column `name`: arrays less the background's mean, solved for its covariance at their size, rows x cols."""
+    sent = samples.sparkSession.sparkContext.broadcast(Solvers(background, ridge))
+
+    def whiten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (rows, cols), own in pdf.groupby(["rows", "cols"], sort=False):
+                x = np.stack(own[array].to_numpy()).astype(float) - np.tile(sent.value.background.mean, rows * cols)
+                yield own.assign(**{name: list(sent.value(rows, cols)(x))})
+
+    return samples.mapInPandas(whiten, T.StructType([*samples.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+
+
+_LEARNED = [T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("threshold", T.DoubleType()), T.StructField("f", T.DoubleType())]
+
+
+def _learned(pdf: pd.DataFrame, array: str, mean: np.ndarray, solve: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
+    x = np.stack(pdf[array].to_numpy()).astype(float) if len(pdf) else np.empty((0, len(mean)))
+    none = solve(mean[None, :])[0]
+    own = solve(x) if len(x) else x
+    w = own - none
+    f = np.abs(w).max(1) if len(w) else np.empty(0)
+    f[f == 0] = 1.0
+    bias = (mean @ none - np.einsum("ij,ij->i", x, own)) / 2
+    return pdf.assign(weights=list(w / f[:, None]), threshold=-bias / f, f=f)

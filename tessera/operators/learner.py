@@ -12,12 +12,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tessera.operators import cluster, engine, evaluate, harmony, hog, stats
-from tessera.operators.learn import factor
-from tessera.sources.models import Background, Component, Model, reconstruct
+from tessera.operators import cluster, engine, evaluate, harmony, held_out, hog, keyed, stats
+from tessera.operators.tables import beside, held
+from tessera.sources.models import Background, Component, Model, Part
 
 _IMAGE = "height int, width int, depth int, data binary"
 #: Score that a detection needs where no threshold is given for its class.
@@ -76,21 +76,9 @@ def template_sizes(clustered: DataFrame, cell: int = 8, most: int = 20) -> dict[
 
 
 def whitened(samples: DataFrame, background: Background, rows: int, cols: int) -> DataFrame:
-    """Samples with a column white: data (rows x cols x channels) less the background's mean, times the inverse of its covariance.
-
-    The inverse goes to all tasks; its size is the square of a template's.
-    """
-    lower = factor(reconstruct(background, rows, cols))
-    half = np.linalg.inv(lower)
-    sent = samples.sparkSession.sparkContext.broadcast((np.tile(background.mean, rows * cols), half.T @ half))
-
-    def whiten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            mean, inverse = sent.value
-            x = np.stack(pdf["data"].to_numpy()).astype(float) if len(pdf) else np.empty((0, len(mean)))
-            yield pdf.assign(white=list((x - mean) @ inverse))
-
-    return samples.mapInPandas(whiten, StructType([*samples.schema.fields, StructField("white", ArrayType(DoubleType()))]))
+    """Samples with a column white: data (rows x cols x channels) less the background's mean, its covariance solved (toeplitz)."""
+    sized = samples.withColumn("rows", F.lit(rows)).withColumn("cols", F.lit(cols))
+    return keyed.sized_whitened(sized, "data", "white", background).select(*samples.columns, "white")
 
 
 def sub_clusters(samples: DataFrame, background: Background, rows: int, cols: int, most: int, seeds: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -140,16 +128,79 @@ def learn_images(images: DataFrame, boxes: DataFrame, key: str, background: Back
     return Model(components, extractor.name, {k: str(v) for k, v in extractor.parameters}), thresholds, counts
 
 
-def optimize_thresholds(images: DataFrame, boxes: DataFrame, key: str, model: Model, interval: int = 10, overlap: float = 0.5, granularity: int = 100, b: float = 1.0, seed: int = 1) -> list[float]:
+def template_sizes_of(boxes: DataFrame, by: list[str], cell: int = 8, most: int = 20) -> DataFrame:
+    """by, cols and rows of the template of each group of boxes: as template_sizes, of all groups at once."""
+    doubles = boxes.select(*by, F.col("w").cast("double").alias("w"), F.col("h").cast("double").alias("h")).where("w > 0 AND h > 0")
+    both = stats.aspect_modes(doubles, "w", "h", by).join(stats.area_quantile(doubles, F.col("w") * F.col("h"), by), by)
+
+    def size(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [stats.model_size(a, q, cell, most) for a, q in zip(pdf["aspect"], pdf["area"], strict=True)]
+            yield pdf[by].assign(cols=[c for c, _ in found], rows=[r for _, r in found]).astype({"cols": "int32", "rows": "int32"})
+
+    kinds = ", ".join(f"`{c}` {both.schema[c].dataType.simpleString()}" for c in by)
+    return both.mapInPandas(size, f"{kinds}, cols int, rows int")
+
+
+def learn_image_classes(images: DataFrame, boxes: DataFrame, key: str, cls: str, background: Background, aspects: int = 2, features: int = 3, most: int = 20, rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Templates of all classes of boxes at once, and the samples that they are made of.
+
+    The first has class, component, rows, cols, channels, n, weights, threshold and f; the
+    second key, box_id, class, component and white, as held_out takes them. boxes has key,
+    box_id (unique), the class, x, y, w and h. Each step of learn_images is one plan for
+    all classes: clusters by aspect ratio, sizes of templates, crops and features, clusters
+    of whitened samples of one (class, shape), and a discriminant for each cluster.
+    """
+    cell = background.cell[0]
+    extractor = hog.EXTRACTORS["HOG"].set(cell=cell)
+    sized = boxes.where((F.col("w") > 0) & (F.col("h") > 0) & F.col(cls).isNotNull()).select(key, "box_id", F.col(cls).alias("class"), "x", "y", "w", "h", F.array(F.col("h") / F.col("w")).alias("aspect"))
+    near = keyed.nearest(sized, keyed.kmeans(sized, "class", "box_id", "aspect", aspects, rounds), "class", "aspect")
+    centers = near.groupBy("class", "cluster").agg(F.array(F.avg(F.col("aspect")[0])).alias("center"), F.count(F.lit(1)).alias("n"))
+    into = held(keyed.merged(centers, "class", 0.2).withColumnRenamed("into", "shape"))
+    shaped = held(beside(near, into, ["class", "cluster"], F.lit(64)).drop("cluster", "distance", "aspect"))
+    sizes = held(template_sizes_of(shaped, ["class", "shape"], cell, most))
+    wanted = beside(shaped, sizes, ["class", "shape"], F.lit(64)).withColumn("to_w", F.col("cols") * cell).withColumn("to_h", F.col("rows") * cell)
+    data = features_of(crops(images, wanted, key), "box_id", extractor)
+    named = data.join(shaped.select("box_id", key, F.struct("class", "shape").alias("kind")).hint("merge"), "box_id")
+    white = held(keyed.sized_whitened(named, "data", "white", background))
+    found = held(keyed.nearest(white, keyed.kmeans(white, "kind", "box_id", "white", features, rounds), "kind", "white"))
+    kept = keyed.large_enough(found, "kind").withColumn("component", F.row_number().over(W.partitionBy("kind.class").orderBy("kind.shape", "into")) - 1)
+    kept = held(kept.select("kind", "cluster", "component", "n"))
+    samples = held(beside(found, kept, ["kind", "cluster"], F.lit(64)))
+    by = [F.col("kind.class").alias("class"), "component", "rows", "cols", "channels", "n"]
+    means = samples.groupBy(*by).agg(keyed.mean_of("data").alias("mean"))
+    models = keyed.sized_discriminants(means, "mean", background).drop("mean")
+    return models, samples.select(key, "box_id", F.col("kind.class").alias("class"), "component", "white")
+
+
+def models_of(learned: DataFrame, classes: list | None = None) -> tuple[dict[str, Model], dict[str, list[float]]]:
+    """Models of classes, by name, and the thresholds of their components, from a table of templates; classes names those that are wanted."""
+    rows = (learned if classes is None else learned.where(F.col("class").isin(classes))).orderBy("class", "component").collect()
+    models: dict[str, Model] = {}
+    thresholds: dict[str, list[float]] = {}
+    for r in rows:
+        part = Part(np.array(r["weights"], np.float32).reshape(r["rows"], r["cols"], r["channels"]))
+        models.setdefault(str(r["class"]), Model([])).components.append(Component([part], -r["threshold"]))
+        thresholds.setdefault(str(r["class"]), []).append(r["threshold"])
+    return models, thresholds
+
+
+def left_out_changes(learned: DataFrame, samples: DataFrame, key: str, cls: str) -> DataFrame:
+    """What optimize_thresholds takes as `changes` for the model of one class: its components, numbered as there, without the samples of each image."""
+    own = [df.where(F.col("class") == cls).withColumn("class", F.col("component").cast("string")).withColumn("component", F.lit(0)) for df in (learned, samples)]
+    return held_out.changed_models(*own, key)
+
+
+def optimize_thresholds(images: DataFrame, boxes: DataFrame, key: str, model: Model, interval: int = 10, overlap: float = 0.5, granularity: int = 100, b: float = 1.0, seed: int = 1, changes: DataFrame | None = None) -> list[float]:
     """The thresholds of a model's components, without their biases, that give the best F together; images without boxes are negatives.
 
-    The detector runs once over all images. One component takes the best of its sweep;
+    changes (left_out_changes) judge each image by templates without its own samples. The detector runs once over all images. One component takes the best of its sweep;
     several go through the search over the grid.
     """
     if not model.components:
         return []
     own = {str(i): Model([Component(c.parts, 0.0)], model.extractor, model.parameters) for i, c in enumerate(model.components)}
-    found = detect_images(images, key, own, dict.fromkeys(own, 0.0), interval).withColumn("box_id", F.xxhash64(key, "class", "x", "y", "w", "h")).persist()
+    found = detect_images(images, key, own, dict.fromkeys(own, 0.0), interval, changes=changes).withColumn("box_id", F.xxhash64(key, "class", "x", "y", "w", "h")).persist()
     try:
         if len(own) == 1:
             best = evaluate.max_f_measure(evaluate.sweep(evaluate.match(found, boxes, key, "box_id", overlap), boxes.count(), granularity), b).first()
@@ -191,11 +242,11 @@ def extractor_of(model: Model) -> hog.Extractor:
     return hog.EXTRACTORS[model.extractor].set(**{k: value(v) for k, v in model.parameters.items()})
 
 
-def detect_images(images: DataFrame, key: str, models: dict[str, Model], thresholds: dict[str, float] | None = None, interval: int = 10, overlap: float = 0.5) -> DataFrame:
+def detect_images(images: DataFrame, key: str, models: dict[str, Model], thresholds: dict[str, float] | None = None, interval: int = 10, overlap: float = 0.5, changes: DataFrame | None = None) -> DataFrame:
     """key, class, component, score, level, x, y, w, h in pixels: what the models find in the images.
 
     Models of equal extractors share one pyramid of an image, and meet no other. Classes
-    without a threshold take THRESHOLD.
+    without a threshold take THRESHOLD. changes are those of engine.candidates.
     """
     given = {c: (thresholds or {}).get(c, THRESHOLD) for c in models}
     shared: dict[hog.Extractor, dict[str, Model]] = {}
@@ -205,7 +256,7 @@ def detect_images(images: DataFrame, key: str, models: dict[str, Model], thresho
     for extractor, own in (shared or {hog.EXTRACTORS["HOG"]: {}}).items():
         cell = dict(extractor.parameters).get("cell", 1)
         levels = hog.pyramids(images, key, extractor, interval, cell=cell)
-        boxes = engine.detect(levels, images, key, own, given, interval, overlap, cell)
+        boxes = engine.detect(levels, images, key, own, given, interval, overlap, cell, changes=changes)
         found = boxes if found is None else found.unionByName(boxes)
     return found
 
@@ -221,6 +272,16 @@ def evaluate_images(images: DataFrame, objects: DataFrame, key: str, models: dic
     return evaluate.sweep(evaluate.match(numbered, objects, key, "box_id", overlap), objects.count(), granularity)
 
 
+def evaluate_classes(images: DataFrame, objects: DataFrame, key: str, models: dict[str, Model], least: float = 0.0, interval: int = 10, overlap: float = 0.5, granularity: int = 100) -> DataFrame:
+    """class, threshold, tp, fp and np of all models, from one pass of the detector. objects have key, class, box_id (unique), x, y, w and h.
+
+    A class is judged on all images: those without objects of it are its negatives.
+    """
+    found = detect_images(images, key, models, dict.fromkeys(models, least), interval)
+    numbered = found.withColumn("box_id", F.xxhash64(key, "class", "x", "y", "w", "h"))
+    return evaluate.evaluate_classes(numbered, objects.where(F.col("class").isin(list(models))), key, "class", "box_id", overlap, granularity)
+
+
 def size_range(templates: DataFrame, by: str) -> DataFrame:
     """Least and largest rows and cols of the templates of each class, side by side: the least of both may be of different templates."""
     return templates.groupBy(by).agg(*(of(c).alias(f"{n}_{c}") for n, of in (("min", F.min), ("max", F.max)) for c in ("rows", "cols")))

@@ -139,6 +139,19 @@ def common_aspect(bins: DataFrame) -> float:
     return math.exp(0.02 * best - 2)
 
 
+def aspect_modes(sizes: DataFrame, w: str, h: str, by: list[str]) -> DataFrame:
+    """The commonest aspect ratio of each group, as common_aspect gives it; a group is at most 201 bins."""
+    number = F.round(50 * F.log(F.col(h) / F.col(w)) + 100).cast("int")
+    bins = sizes.where((F.col(w) > 0) & (F.col(h) > 0)).groupBy(*by, F.greatest(F.lit(0), F.least(F.lit(200), number)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    spread = bins.select(*by, "bin", "n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("bin") - 99), F.least(F.lit(200), F.col("bin") + 100))).alias("center"))
+    d = F.col("bin") - F.col("center")
+    # Bin 200 gives nothing; a group of it alone has the first center, as all weigh 0.
+    weight = F.when(F.col("bin") < 200, F.col("n") * F.exp(-(d * d) / 400)).otherwise(F.lit(0.0))
+    weights = spread.groupBy(*by, F.when(F.col("bin") < 200, F.col("center")).otherwise(F.lit(0)).alias("center")).agg(F.sum(weight).alias("weight"))
+    best = weights.groupBy(*by).agg(F.max_by("center", F.struct(F.round("weight", 9), -F.col("center"))).alias("best"))
+    return best.select(*by, F.exp(0.02 * F.col("best") - 2).alias("aspect"))
+
+
 def area_quantile(sizes: DataFrame, area, by: list[str], share: float = 0.2) -> DataFrame:
     """The element number floor(share * n) of each group's sorted areas, not interpolated.
 

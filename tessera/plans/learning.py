@@ -7,8 +7,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from tessera.operators import engine, held_out, keyed, toeplitz
-from tessera.plans.fixtures import table
+from tessera.operators import engine, evaluate, held_out, keyed, stats, toeplitz
+from tessera.plans.fixtures import BOXES, INTER, boxes, table
 
 CLUSTERS, ROUNDS, RIDGE = 3, 3, 0.01
 #: Rows, columns and channels of the levels that vectors of 64 numbers are taken for, by vec_id modulo 3.
@@ -78,7 +78,22 @@ def images_whitened(spark, d):
     return again.select("vec_id", F.posexplode("again").alias("i", "v")).select("vec_id", "i", F.round("v", 4).cast("long").alias("v"))
 
 
-_QUERIES = (classes_clustered, classes_learned, left_out_thresholds, background_cyclic, images_whitened)
+def classes_evaluated(spark, d):
+    """Detections of all classes against the objects of their class and image: a sweep for each."""
+    b = boxes(spark, d)
+    swept = evaluate.evaluate_classes(b.where("event_id % 2 = 1"), b.where("event_id % 2 = 0"), "image", "event_type", "event_id", 0.3, 1)
+    return swept.select("event_type", "threshold", "tp", "fp", "np", F.round(evaluate.f_measure(1.0), 6).alias("f1"))
+
+
+def shapes_of_kinds(spark, d):
+    """Template sizes of all kinds of boxes at once, from their commonest aspect ratio and the 20th percentile of their areas."""
+    b = boxes(spark, d).where("w > 0 AND h > 0")
+    aspects = stats.aspect_modes(b, "w", "h", ["event_type"])
+    areas = stats.area_quantile(b, F.col("w") * F.col("h"), ["event_type"])
+    return aspects.join(areas, "event_type").select("event_type", F.round("aspect", 6).alias("aspect"), "area")
+
+
+_QUERIES = (classes_evaluated, shapes_of_kinds, classes_clustered, classes_learned, left_out_thresholds, background_cyclic, images_whitened)
 
 
 def queries() -> dict:
@@ -119,5 +134,7 @@ def oracle_sql() -> dict[str, str]:
         "classes_learned": f"WITH {cells}, {white}, {_kmeans('white', CLUSTERS, ROUNDS)}, sizes AS (SELECT label, cluster, count(*) AS n, sum(count(*)) OVER (PARTITION BY label) AS total FROM a_last GROUP BY label, cluster), kept AS (SELECT label, cluster, n, row_number() OVER (PARTITION BY label ORDER BY cluster) - 1 AS number FROM sizes WHERE n >= floor(total / 10)), positive AS (SELECT label, number AS cluster, any_value(n) AS n, ch, avg(v) AS v FROM raw JOIN a_last USING (vec_id, label) JOIN kept USING (label, cluster) GROUP BY label, number, ch), {biases} SELECT label, CAST(cluster AS INTEGER) AS cluster, n, ch, round(w / f, 5) AS weight, round(-bias / f, 5) AS threshold, round(f, 5) AS f FROM templates JOIN totals USING (label, cluster)",
         "left_out_thresholds": f"WITH {cells}, {white}, {one}, {biases}, scores AS (SELECT r.vec_id, r.label AS own, t.label, any_value(t.n) AS n, any_value(f) AS f, sum(r.v * t.w / f) AS score, sum(r.v * white.v) AS self FROM raw r JOIN white USING (vec_id, ch) JOIN templates t USING (ch) JOIN totals o ON o.label = t.label GROUP BY ALL), left_out AS (SELECT label, own = label AS hit, CASE WHEN own = label AND n > 1 THEN (score * n * f - self) / ((n - 1) * f) ELSE score END AS score FROM scores), counts AS (SELECT label, floor(score * 20) / 20 AS threshold, count(*) FILTER (hit) AS t, count(*) FILTER (NOT hit) AS f FROM left_out WHERE score >= 0 GROUP BY ALL), swept AS (SELECT label, threshold, sum(t) OVER w AS tp, sum(f) OVER w AS fp, (SELECT count(*) FROM embeddings e WHERE e.label = counts.label) AS np FROM counts WINDOW w AS (PARTITION BY label ORDER BY threshold DESC)) SELECT label, threshold, round(2 * tp / (tp + fp + np), 6) AS f_measure FROM swept QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(2 * tp / (tp + fp + np), 9) DESC, threshold) = 1",
         "background_cyclic": f"WITH {levels}, {half}, cells AS (SELECT vec_id, s.r AS r, s.c AS c, i % s.n AS ch, i // s.n // s.c AS y, i // s.n % s.c AS x, v - avg(v) OVER (PARTITION BY i % s.n) AS v FROM level), pairs AS (SELECT dx, dy, a.ch AS i, b.ch AS j, a.v * b.v AS p FROM cells a, half JOIN cells b ON a.vec_id = b.vec_id AND b.y = (a.y + dy + 2 * a.r) % a.r AND b.x = (a.x + dx) % a.c WHERE a.r // 2 + dy >= 0 AND a.r // 2 + dy < a.r AND a.c // 2 + dx < a.c), found AS (SELECT dx, dy, i, j, avg(p) AS cov FROM pairs GROUP BY ALL) SELECT dx::INTEGER AS dx, dy::INTEGER AS dy, i::INTEGER AS i, j::INTEGER AS j, round(coalesce(cov, 0), 3) AS cov FROM half CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j) LEFT JOIN found USING (dx, dy, i, j)",
+        "classes_evaluated": f"WITH {BOXES}, d AS (SELECT * FROM boxes WHERE event_id % 2 = 1), t AS (SELECT * FROM boxes WHERE event_id % 2 = 0), p AS (SELECT a.event_id AS d, a.score, b.event_id AS t, round(({INTER}) / (a.w * a.h + b.w * b.h - {INTER}), 9) AS iou FROM d a JOIN t b ON a.image = b.image AND a.event_type = b.event_type), best AS (SELECT * FROM p WHERE iou >= 0.3 QUALIFY row_number() OVER (PARTITION BY d ORDER BY iou DESC, t) = 1), hit AS (SELECT d FROM best QUALIFY row_number() OVER (PARTITION BY t ORDER BY score DESC, d) = 1), counts AS (SELECT event_type, floor(score) AS threshold, count(*) FILTER (event_id IN (SELECT d FROM hit)) AS t, count(*) FILTER (event_id NOT IN (SELECT d FROM hit)) AS f FROM d GROUP BY ALL), swept AS (SELECT event_type, threshold, CAST(sum(t) OVER w AS BIGINT) AS tp, CAST(sum(f) OVER w AS BIGINT) AS fp, (SELECT count(*) FROM t WHERE t.event_type = counts.event_type) AS np FROM counts WINDOW w AS (PARTITION BY event_type ORDER BY threshold DESC)) SELECT *, round(2 * tp / (tp + fp + np), 6) AS f1 FROM swept",
+        "shapes_of_kinds": f"WITH {BOXES}, bins AS (SELECT event_type, greatest(0, least(200, CAST(round(50 * ln(h / w) + 100) AS INTEGER))) AS bin, count(*) AS n FROM boxes GROUP BY ALL), weights AS (SELECT event_type, c, sum(CASE WHEN bin < 200 AND c - bin BETWEEN -99 AND 100 THEN n * exp(-((bin - c) * (bin - c)) / 400.0) ELSE 0 END) AS weight FROM bins, range(201) r(c) GROUP BY ALL), best AS (SELECT event_type, c FROM weights QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(weight, 9) DESC, c) = 1), areas AS (SELECT event_type, w * h AS area, row_number() OVER (PARTITION BY event_type ORDER BY w * h) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM boxes) SELECT event_type, round(exp(0.02 * c - 2), 6) AS aspect, area FROM best JOIN areas USING (event_type) WHERE place = floor(n * 0.2)",
         "images_whitened": f"WITH {levels} SELECT vec_id, i::INTEGER AS i, v::BIGINT AS v FROM level WHERE vec_id % 3 = 0",
     }

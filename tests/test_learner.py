@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import engine, hog, learner
+from tessera.operators import engine, evaluate, hog, learner
 from tessera.operators.learn import discriminant
 from tessera.sources.models import Background, Component, Model, Part, read_model, reconstruct, with_thresholds, write_model
 
@@ -172,3 +172,73 @@ def test_progress_ends_learning(spark):
     boxes = spark.createDataFrame([(1, 1, 0, 0, 8, 8)], BOXES)
     model, _, _ = learner.learn_images(frame(spark, {1: None}), boxes, "id", identity(32), progress=lambda i, n: told.append((i, n)) or False)
     assert told == [(0, 1)] and model.components == []
+
+
+def two_classes(rng):
+    """Images with a cross, a bar or nothing, and the boxes of objects with their class."""
+    images, boxes = {}, []
+    for i in range(14):
+        image = rng.integers(110, 140, (144, 160, 1), dtype=np.uint8)
+        x, y = 8 * int(rng.integers(1, 8)), 8 * int(rng.integers(1, 10))
+        if i < 6:
+            image[y + 20 : y + 28, x : x + 48] = 250
+            image[y : y + 48, x + 20 : x + 28] = 250
+            boxes.append((i, 100 + i, "cross", x, y, 48, 48))
+        elif i < 11:
+            image[y : y + 32, x : x + 80 : 8] = 250
+            boxes.append((i, 100 + i, "bar", x, y, 80, 32))
+        images[i] = image
+    return images, boxes
+
+
+CLASSED = "id long, box_id long, cls string, x long, y long, w long, h long"
+
+
+def test_classes_of_images_learned_at_once_equal_those_learned_alone(spark):
+    images, boxes = two_classes(np.random.default_rng(12))
+    df, b = frame(spark, images).repartition(3), None
+    b = engine.learn_background(hog.pyramids(df.where("id >= 11"), "id", hog.EXTRACTORS["HOG"], 4), most=14)
+    rows = spark.createDataFrame([*boxes, (0, 900, None, 1, 1, 9, 9), (0, 901, "flat", 1, 1, 9, 0)], CLASSED)
+    learned, samples = learner.learn_image_classes(df, rows, "id", "cls", b, aspects=2, features=1)
+    models, thresholds = learner.models_of(learned)
+    assert set(models) == {"cross", "bar"} and samples.count() == 11
+    for c in models:
+        one, found, counts = learner.learn_images(df, rows.where(f"cls = '{c}'").drop("cls"), "id", b, aspects=2, features=1)
+        assert len(one.components) == len(models[c].components) == 1 and [r.n for r in learned.where(f"class = '{c}'").collect()] == counts
+        assert np.allclose(one.components[0].parts[0].weights, models[c].components[0].parts[0].weights, atol=1e-4)
+        assert thresholds[c] == pytest.approx(found, abs=1e-4)
+    assert set(learner.models_of(learned, ["bar"])[0]) == {"bar"}
+    # All classes are detected and evaluated in one pass.
+    objects = rows.where("cls IS NOT NULL AND h > 0").withColumnRenamed("cls", "class")
+    swept = learner.evaluate_classes(df, objects, "id", models, 0.0, 4, 0.3)
+    best = {r["class"]: r.f_measure for r in evaluate.max_f_measure(swept, by=("class",)).collect()}
+    assert set(best) == {"cross", "bar"} and min(best.values()) > 0.7
+    assert {(r["class"], r.np) for r in swept.collect()} == {("cross", 6), ("bar", 5)}
+    # Thresholds with each image judged by templates without its own samples.
+    changes = learner.left_out_changes(learned, samples, "id", "cross")
+    assert changes.count() == 6
+    own = rows.where("cls = 'cross'").drop("cls")
+    model = models["cross"]
+    got = learner.optimize_thresholds(df, own, "id", model, 4, 0.3, changes=changes)
+    # The same by hand: each image with a model learned without it, on the scale of the model of all.
+    f, found = learned.where("class = 'cross'").first().f, None
+    for i in range(14):
+        here = df.where(f"id = {i}")
+        if i < 6:
+            x = np.array([r.white for r in samples.where(f"class = 'cross' AND id <> {i}").collect()]).mean(0) / f
+            part = Part(x.reshape(model.components[0].parts[0].weights.shape).astype(np.float32))
+            mine = Model([Component([part], 0.0)], model.extractor, model.parameters)
+        else:
+            mine = Model([Component(model.components[0].parts, 0.0)], model.extractor, model.parameters)
+        one = learner.detect_images(here, "id", {"0": mine}, {"0": 0.0}, 4)
+        found = one if found is None else found.unionByName(one)
+    numbered = found.withColumn("box_id", F.xxhash64("id", "class", "x", "y", "w", "h"))
+    wanted = evaluate.max_f_measure(evaluate.sweep(evaluate.match(numbered, own, "id", "box_id", 0.3), 6, 100)).first()
+    assert got == [pytest.approx(wanted.threshold)]
+
+
+def test_no_classes(spark):
+    images, _ = two_classes(np.random.default_rng(13))
+    df = frame(spark, images)
+    learned, samples = learner.learn_image_classes(df, spark.createDataFrame([], CLASSED), "id", "cls", identity(32), 2, 2)
+    assert learned.count() == 0 and samples.count() == 0 and learner.models_of(learned) == ({}, {})
