@@ -1,4 +1,4 @@
-"""Tar archives in a binary column: an index of their entries, and the entries' bytes.
+"""Tar archives in a binary column: an index of their entries, and the entries' bytes. Archives of any size, as files: tar_source.
 
 An archive is one value and is read in one task; the archives of a repository are
 spread over tasks. Headers are walked in place, so listing reads no entry's bytes.
@@ -6,7 +6,7 @@ spread over tasks. Headers are walked in place, so listing reads no entry's byte
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,22 +17,48 @@ BLOCK = 512
 TYPES = {"0": "file", "1": "hard link", "2": "symbolic link", "3": "character device", "4": "block device", "5": "directory", "6": "fifo"}
 
 
-def _octal(field: bytes) -> int:
+def _number(field: bytes) -> int:
+    """Octal digits, or base 256 where the first bit is set, as for sizes of 8 GB and more."""
+    if field[0] & 0x80:
+        return int.from_bytes(bytes([field[0] & 0x7F]) + field[1:], "big")
     digits = field.split(b"\0")[0].strip()
     return int(digits, 8) if digits and all(c in b"01234567" for c in digits) else 0
 
 
+def _records(data: bytes) -> dict[str, str]:
+    """Keys and values of an extended header: lines of length, key and value."""
+    found, at = {}, 0
+    while (space := data.find(b" ", at)) > 0 and data[at:space].isdigit():
+        end = at + int(data[at:space])
+        key, _, value = data[space + 1 : end - 1].partition(b"=")
+        found[key.decode("utf-8", "replace")] = value.decode("utf-8", "replace")
+        at = max(end, space + 1)
+    return found
+
+
+def walk(read: Callable[[int, int], bytes], end: int) -> Iterator[tuple[int, str, str, int, int, int]]:
+    """(index, name, type, size, mtime, offset of the bytes) up to the end mark or a header that is cut, by read(offset, bytes); no entry's bytes are read.
+
+    Long names and extended headers are no entries of their own: they give name and size of the next one.
+    """
+    at, index, given = 0, 0, {}
+    while at + BLOCK <= end and (head := read(at, BLOCK))[0] != 0:
+        size, kind, at = int(given.get("size", _number(head[124:136]))), chr(head[156]), at + BLOCK
+        if kind in "LKxg":
+            data = read(at, min(size, end - at))
+            if kind in "Lx":
+                given |= {"path": data.split(b"\0")[0].decode("utf-8", "replace")} if kind == "L" else _records(data)
+        else:
+            name = head[:100].split(b"\0")[0].decode("utf-8", "replace")
+            prefix = head[345:500].split(b"\0")[0].decode("utf-8", "replace") if head[257:263] == b"ustar\0" else ""
+            yield index, given.get("path", f"{prefix}/{name}" if prefix else name), TYPES.get(kind, "unknown"), size, _number(head[136:148]), at
+            index, given = index + 1, {}
+        at += -(-size // BLOCK) * BLOCK
+
+
 def entries(data: bytes) -> Iterator[tuple[int, str, str, int, int, int]]:
-    """(index, name, type, size, mtime, offset of the bytes) up to the end mark or a header that is cut."""
-    at = index = 0
-    while at + BLOCK <= len(data) and data[at] != 0:
-        head = data[at : at + BLOCK]
-        name = head[:100].split(b"\0")[0].decode("utf-8", "replace")
-        prefix = head[345:500].split(b"\0")[0].decode("utf-8", "replace") if head[257:262] == b"ustar" else ""
-        size = _octal(head[124:136])
-        yield index, f"{prefix}/{name}" if prefix else name, TYPES.get(chr(head[156]), "unknown"), size, _octal(head[136:148]), at + BLOCK
-        at += BLOCK + -(-size // BLOCK) * BLOCK
-        index += 1
+    """The walk of an archive in memory."""
+    return walk(lambda at, n: data[at : at + n], len(data))
 
 
 _KIND = {"index": pa.int32(), "name": pa.string(), "type": pa.string(), "size": pa.int64(), "mtime": pa.int64(), "offset": pa.int64()}
@@ -51,14 +77,14 @@ def extract(files: DataFrame, path: str = "path", content: str = "content") -> D
 def _read(files: DataFrame, path: str, content: str, data: bool) -> DataFrame:
     kinds = {"path": pa.string(), **_KIND, **({"data": pa.binary()} if data else {})}
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = [(name, *e, *([blob[e[5] : e[5] + e[3]]] if data else [])) for e in entries(blob or b"")]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds.values(), strict=True)], list(kinds))
 
     schema = "path string, index int, name string, type string, size long, mtime long, offset long" + (", data binary" if data else "")
-    return files.select(F.col(path).cast("string"), F.col(content)).mapInArrow(walk, schema)
+    return files.select(F.col(path).cast("string"), F.col(content)).mapInArrow(look, schema)
 
 
 def find(entries: DataFrame, name: str, any_extension: bool = False) -> DataFrame:
