@@ -12,6 +12,7 @@ import functools
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Improvisations of a run, and runs.
@@ -30,17 +31,26 @@ def _counts(objects: DataFrame, hits: DataFrame, keys: list[str], models: int) -
 
 
 def joint_f_grid(objects: DataFrame, hits: DataFrame, keys: list[str], bins: int) -> DataFrame:
-    """bin_a, bin_b, tp, fp and F of two models for every pair of thresholds."""
+    """bin_a, bin_b, tp, fp and F of two models for every pair of thresholds.
+
+    An object is missed by a pair if both its best bins are below: missed objects are sums
+    over a corner of the table of counts, built up along one side and then along the other;
+    false hits are sums from a bin on, of each model by itself. So the work is bins squared
+    rows, in windows of one line each, whatever the data.
+    """
     found, false = _counts(objects, hits, keys, 2)
-    spark = objects.sparkSession
-    grid = spark.range(bins).select(F.col("id").cast("int").alias("bin_a"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin_b"))
-    # Both sides are counts on the grid: at most (bins + 1)^2 rows, whatever the data.
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda j: F.struct(i.alias("bin_a"), j.alias("bin_b")))))
-    tp = found.select("b0", "b1", "n", F.explode(pairs).alias("g")).where("b0 >= g.bin_a OR b1 >= g.bin_b").groupBy("g.bin_a", "g.bin_b").agg(F.sum("n").alias("tp"))
-    fp = false.select("model", "bin", "n", F.explode(pairs).alias("g")).where("(model = 0 AND bin >= g.bin_a) OR (model = 1 AND bin >= g.bin_b)").groupBy("g.bin_a", "g.bin_b").agg(F.sum("n").alias("fp"))
-    np_ = objects.count()
-    told = grid.join(tp, ["bin_a", "bin_b"], "left").join(fp, ["bin_a", "bin_b"], "left").select("bin_a", "bin_b", F.coalesce("tp", F.lit(0)).cast("long").alias("tp"), F.coalesce("fp", F.lit(0)).cast("long").alias("fp"))
-    bottom = F.col("tp") + F.col("fp") + F.lit(np_)
+    spark, total = objects.sparkSession, objects.count()
+    place = F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))
+    cells = spark.range(bins).select(F.col("id").cast("int").alias("bin_a"), place.alias("bin_b"))
+    # Bins of -1 stand for no hit: moved by one, a bin below bin_a is one of at most bin_a.
+    counts = found.select((F.col("b0") + 1).alias("bin_a"), (F.col("b1") + 1).alias("bin_b"), "n").groupBy("bin_a", "bin_b").agg(F.sum("n").alias("n"))
+    along = {c: W.partitionBy(o).orderBy(c).rowsBetween(W.unboundedPreceding, 0) for c, o in (("bin_a", "bin_b"), ("bin_b", "bin_a"))}
+    missed = cells.join(counts, ["bin_a", "bin_b"], "left").withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(along["bin_b"])).withColumn("n", F.sum("n").over(along["bin_a"]))
+    lines = spark.range(2).select(F.col("id").cast("int").alias("model"), place.alias("bin")).join(false, ["model", "bin"], "left")
+    above = lines.select("model", "bin", F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy("model").orderBy(F.desc("bin")).rowsBetween(W.unboundedPreceding, 0)).alias("n"))
+    a, b = (above.where(F.col("model") == m).select(F.col("bin").alias(f"bin_{c}"), F.col("n").alias(f"f_{c}")) for m, c in ((0, "a"), (1, "b")))
+    told = missed.join(a, "bin_a").join(b, "bin_b").select("bin_a", "bin_b", (F.lit(total) - F.col("n")).cast("long").alias("tp"), (F.col("f_a") + F.col("f_b")).cast("long").alias("fp"))
+    bottom = F.col("tp") + F.col("fp") + F.lit(total)
     return told.withColumn("f_measure", F.when(bottom > 0, 2.0 * F.col("tp") / bottom).otherwise(F.lit(0.0)))
 
 

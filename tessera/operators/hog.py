@@ -164,6 +164,31 @@ def pyramids(images: DataFrame, key: str, extractor: Extractor, interval: int =
     return images.select(key, "height", "width", "depth", "data").where("data IS NOT NULL").mapInPandas(build, f"{key} {kind}, level int, scale double, rows int, cols int, channels int, data array<float>")
 
 
+def joined_layers(layers: DataFrame, key: str) -> DataFrame:
+    """key, rows, cols, channels and data: the layers of each image put together at the resolution of the first.
+
+    layers has key, layer (from 0), rows, cols, channels, data, and cell_w and cell_h: how many
+    cells of the first layer one of its cells spans. A cell of the first layer takes the
+    channels of the cell that it lies in; what a layer falls short of is shared by both
+    edges, which take its nearest cells. An image without a layer 0, or with an empty
+    layer, has no row. A group is one image's layers.
+    """
+    own = F.struct("layer", *(F.col(c).cast("int").alias(c) for c in ("rows", "cols", "channels", "cell_w", "cell_h")), "data")
+    packed = layers.groupBy(key).agg(F.sort_array(F.collect_list(own)).alias("_layers")).where((F.col("_layers")[0]["layer"] == 0) & F.forall("_layers", lambda x: x["rows"] * x["cols"] > 0))
+    first = F.col("_layers")[0]
+
+    def near(at: Column, size: Column, cell: Column, whole: Column) -> Column:
+        edge = F.floor(F.greatest(F.lit(0), whole - size * cell) / 2)
+        return F.greatest(F.lit(0), F.least(size - 1, F.floor((at - edge) / cell)))
+
+    def cell(i: Column) -> Column:
+        y, x = F.floor(i / first["cols"]), i % first["cols"]
+        return F.flatten(F.transform("_layers", lambda of: F.slice(of["data"], ((near(y, of["rows"], of["cell_h"], first["rows"]) * of["cols"] + near(x, of["cols"], of["cell_w"], first["cols"])) * of["channels"] + 1).cast("int"), of["channels"])))
+
+    data = F.flatten(F.transform(F.sequence(F.lit(0), first["rows"] * first["cols"] - 1), cell))
+    return packed.select(key, first["rows"].alias("rows"), first["cols"].alias("cols"), F.aggregate("_layers", F.lit(0), lambda n, x: n + x["channels"]).alias("channels"), data.alias("data"))
+
+
 def scaled(cell: Column, scales: list[float]) -> Column:
     """Each channel by its own largest value."""
     return F.zip_with(cell, F.array(*(F.lit(float(s)) for s in scales)), lambda x, s: x.cast("double") / F.when(s != 0, s).otherwise(F.lit(1.0)))

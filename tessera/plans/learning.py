@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from tessera.operators import engine, evaluate, held_out, keyed, stats, toeplitz
+from tessera.operators import engine, evaluate, held_out, hog, keyed, sampling, stats, toeplitz
 from tessera.plans.fixtures import BOXES, INTER, boxes, table
 from tessera.streaming import cameras
 
@@ -15,6 +15,8 @@ CLUSTERS, ROUNDS, RIDGE = 3, 3, 0.01
 #: Rows, columns and channels of the levels that vectors of 64 numbers are taken for, by vec_id modulo 3.
 SHAPES = ((4, 8, 2), (8, 4, 2), (2, 16, 2))
 REACH = 3
+#: Layer, rows, columns, channels, cells of the first layer along a side, and where its numbers begin in a vector.
+LAYERS = ((0, 4, 10, 1, 1, 0), (1, 2, 4, 2, 2, 40), (2, 1, 2, 4, 4, 56))
 #: Microseconds that a frame keeps a detector busy.
 BUSY = 6 * 3600 * 10**6
 
@@ -102,7 +104,24 @@ def frames_taken(spark, d):
     return found.select("camera", "frame", "arrived", "started", "dropped", F.round("rate", 9).alias("rate"))
 
 
-_QUERIES = (frames_taken, classes_evaluated, shapes_of_kinds, classes_clustered, classes_learned, left_out_thresholds, background_cyclic, images_whitened)
+def round_robin_whole(spark, d):
+    """All parts, two of each kind in turn, until every kind is exhausted."""
+    parts = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("kind"))
+    return sampling.round_robin(parts, "kind", "p_partkey", 2).select("p_partkey", "kind", "round", "rank", "position")
+
+
+def layers_joined(spark, d):
+    """Three layers of each vector, of whole, half and quarter resolution, put together; the second and third leave an edge."""
+    e = table(spark, d, "embeddings").where("embedding IS NOT NULL")
+    layers = None
+    for layer, rows, cols, channels, cell, begin in LAYERS:
+        one = e.select("vec_id", F.lit(layer).alias("layer"), F.lit(rows).alias("rows"), F.lit(cols).alias("cols"), F.lit(channels).alias("channels"), F.lit(cell).alias("cell_w"), F.lit(cell).alias("cell_h"), F.slice("embedding", begin + 1, rows * cols * channels).alias("data"))
+        layers = one if layers is None else layers.union(one)
+    joined = hog.joined_layers(layers, "vec_id")
+    return joined.select("vec_id", "channels", F.posexplode("data").alias("i", "v")).select("vec_id", "channels", "i", F.round(F.col("v").cast("double"), 6).alias("v"))
+
+
+_QUERIES = (round_robin_whole, layers_joined, frames_taken, classes_evaluated, shapes_of_kinds, classes_clustered, classes_learned, left_out_thresholds, background_cyclic, images_whitened)
 
 
 def queries() -> dict:
@@ -144,6 +163,8 @@ def oracle_sql() -> dict[str, str]:
         "left_out_thresholds": f"WITH {cells}, {white}, {one}, {biases}, scores AS (SELECT r.vec_id, r.label AS own, t.label, any_value(t.n) AS n, any_value(f) AS f, sum(r.v * t.w / f) AS score, sum(r.v * white.v) AS self FROM raw r JOIN white USING (vec_id, ch) JOIN templates t USING (ch) JOIN totals o ON o.label = t.label GROUP BY ALL), left_out AS (SELECT label, own = label AS hit, CASE WHEN own = label AND n > 1 THEN (score * n * f - self) / ((n - 1) * f) ELSE score END AS score FROM scores), counts AS (SELECT label, floor(score * 20) / 20 AS threshold, count(*) FILTER (hit) AS t, count(*) FILTER (NOT hit) AS f FROM left_out WHERE score >= 0 GROUP BY ALL), swept AS (SELECT label, threshold, sum(t) OVER w AS tp, sum(f) OVER w AS fp, (SELECT count(*) FROM embeddings e WHERE e.label = counts.label) AS np FROM counts WINDOW w AS (PARTITION BY label ORDER BY threshold DESC)) SELECT label, threshold, round(2 * tp / (tp + fp + np), 6) AS f_measure FROM swept QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(2 * tp / (tp + fp + np), 9) DESC, threshold) = 1",
         "background_cyclic": f"WITH {levels}, {half}, cells AS (SELECT vec_id, s.r AS r, s.c AS c, i % s.n AS ch, i // s.n // s.c AS y, i // s.n % s.c AS x, v - avg(v) OVER (PARTITION BY i % s.n) AS v FROM level), pairs AS (SELECT dx, dy, a.ch AS i, b.ch AS j, a.v * b.v AS p FROM cells a, half JOIN cells b ON a.vec_id = b.vec_id AND b.y = (a.y + dy + 2 * a.r) % a.r AND b.x = (a.x + dx) % a.c WHERE a.r // 2 + dy >= 0 AND a.r // 2 + dy < a.r AND a.c // 2 + dx < a.c), found AS (SELECT dx, dy, i, j, avg(p) AS cov FROM pairs GROUP BY ALL) SELECT dx::INTEGER AS dx, dy::INTEGER AS dy, i::INTEGER AS i, j::INTEGER AS j, round(coalesce(cov, 0), 3) AS cov FROM half CROSS JOIN range(2) a(i) CROSS JOIN range(2) b(j) LEFT JOIN found USING (dx, dy, i, j)",
         "frames_taken": f"WITH RECURSIVE f AS (SELECT user_id AS camera, epoch_us(ts) AS t, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), walk AS (SELECT camera, k, t AS started, 0::BIGINT AS dropped FROM f WHERE k = 1 UNION ALL SELECT w.camera, CASE WHEN min(n.t) >= w.started + {BUSY} THEN w.k + 1 ELSE max(n.k) FILTER (n.t <= w.started + {BUSY}) END, greatest(min(n.t), w.started + {BUSY}), w.dropped + CASE WHEN min(n.t) >= w.started + {BUSY} THEN 0 ELSE max(n.k) FILTER (n.t <= w.started + {BUSY}) - w.k - 1 END FROM walk w JOIN f n ON n.camera = w.camera AND n.k > w.k GROUP BY w.camera, w.k, w.started, w.dropped), timed AS (SELECT *, lag(started, 2) OVER (PARTITION BY camera ORDER BY k) AS first FROM walk) SELECT camera, id AS frame, t AS arrived, started, dropped, round(CASE WHEN started > first THEN 2e6 / (started - first) END, 9) AS rate FROM timed JOIN f USING (camera, k)",
+        "round_robin_whole": "WITH r AS (SELECT p_partkey, p_type AS kind, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS rank FROM part) SELECT p_partkey, kind, (rank - 1) // 2 AS round, rank, row_number() OVER (ORDER BY (rank - 1) // 2, kind, rank) - 1 AS position FROM r",
+        "layers_joined": f"WITH g AS (SELECT y, x, l.* FROM range({LAYERS[0][1]}) a(y), range({LAYERS[0][2]}) b(x), (VALUES {', '.join(map(str, LAYERS))}) l(layer, h, w, n, cell, start)), s AS (SELECT *, greatest(0, least(h - 1, CAST(floor((y - greatest(0, {LAYERS[0][1]} - h * cell) // 2) / cell) AS BIGINT))) AS sy, greatest(0, least(w - 1, CAST(floor((x - greatest(0, {LAYERS[0][2]} - w * cell) // 2) / cell) AS BIGINT))) AS sx, coalesce(sum(n) OVER (PARTITION BY y, x ORDER BY layer ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY y, x) AS channels FROM g) SELECT vec_id, CAST(channels AS INTEGER) AS channels, CAST((y * {LAYERS[0][2]} + x) * channels + before + c AS INTEGER) AS i, round(CAST(embedding[CAST(start + (sy * w + sx) * n + c + 1 AS BIGINT)] AS DOUBLE), 6) AS v FROM embeddings, s, range(4) k(c) WHERE c < n AND embedding IS NOT NULL",
         "classes_evaluated": f"WITH {BOXES}, d AS (SELECT * FROM boxes WHERE event_id % 2 = 1), t AS (SELECT * FROM boxes WHERE event_id % 2 = 0), p AS (SELECT a.event_id AS d, a.score, b.event_id AS t, round(({INTER}) / (a.w * a.h + b.w * b.h - {INTER}), 9) AS iou FROM d a JOIN t b ON a.image = b.image AND a.event_type = b.event_type), best AS (SELECT * FROM p WHERE iou >= 0.3 QUALIFY row_number() OVER (PARTITION BY d ORDER BY iou DESC, t) = 1), hit AS (SELECT d FROM best QUALIFY row_number() OVER (PARTITION BY t ORDER BY score DESC, d) = 1), counts AS (SELECT event_type, floor(score) AS threshold, count(*) FILTER (event_id IN (SELECT d FROM hit)) AS t, count(*) FILTER (event_id NOT IN (SELECT d FROM hit)) AS f FROM d GROUP BY ALL), swept AS (SELECT event_type, threshold, CAST(sum(t) OVER w AS BIGINT) AS tp, CAST(sum(f) OVER w AS BIGINT) AS fp, (SELECT count(*) FROM t WHERE t.event_type = counts.event_type) AS np FROM counts WINDOW w AS (PARTITION BY event_type ORDER BY threshold DESC)) SELECT *, round(2 * tp / (tp + fp + np), 6) AS f1 FROM swept",
         "shapes_of_kinds": f"WITH {BOXES}, bins AS (SELECT event_type, greatest(0, least(200, CAST(round(50 * ln(h / w) + 100) AS INTEGER))) AS bin, count(*) AS n FROM boxes GROUP BY ALL), weights AS (SELECT event_type, c, sum(CASE WHEN bin < 200 AND c - bin BETWEEN -99 AND 100 THEN n * exp(-((bin - c) * (bin - c)) / 400.0) ELSE 0 END) AS weight FROM bins, range(201) r(c) GROUP BY ALL), best AS (SELECT event_type, c FROM weights QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY round(weight, 9) DESC, c) = 1), areas AS (SELECT event_type, w * h AS area, row_number() OVER (PARTITION BY event_type ORDER BY w * h) - 1 AS place, count(*) OVER (PARTITION BY event_type) AS n FROM boxes) SELECT event_type, round(exp(0.02 * c - 2), 6) AS aspect, area FROM best JOIN areas USING (event_type) WHERE place = floor(n * 0.2)",
         "images_whitened": f"WITH {levels} SELECT vec_id, i::INTEGER AS i, v::BIGINT AS v FROM level WHERE vec_id % 3 = 0",

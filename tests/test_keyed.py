@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import engine, evaluate, held_out, keyed, toeplitz
+from tessera.operators import engine, evaluate, harmony, held_out, hog, keyed, sampling, toeplitz
 from tessera.operators.learn import discriminant, factor
 from tessera.sources.models import Background, Component, Model, Part, reconstruct
 
@@ -199,3 +199,55 @@ def test_sweeps_of_all_models_at_once(spark):
         assert {k[1]: v for k, v in got.items() if k[0] == m} == {r.threshold: (r.tp, r.fp, r.np) for r in one}
     best = {r.m: r.f_measure for r in evaluate.max_f_measure(evaluate.sweep(df, totals, 10, ("m",)), by=("m",)).collect()}
     assert best["a"] == evaluate.max_f_measure(evaluate.sweep(df.where("m = 'a'"), 40, 10)).first().f_measure
+
+
+def test_layers_of_several_resolutions(spark):
+    """Each layer is enlarged, shifted by half of what it falls short of, and its edges are filled."""
+    rng, rows = np.random.default_rng(4), []
+    shapes = {"a": [(5, 7, 2, 1, 1), (2, 3, 1, 2, 2), (1, 1, 3, 4, 4)], "b": [(4, 4, 1, 1, 1), (3, 2, 2, 2, 2)], "c": [(2, 2, 1, 1, 1), (0, 2, 1, 2, 2)]}
+    made = {k: [rng.normal(size=s[:3]) for s in v] for k, v in shapes.items()}
+    for k, v in shapes.items():
+        rows += [(k, i, *s, made[k][i].ravel().tolist()) for i, s in enumerate(v)]
+    df = spark.createDataFrame([*rows, ("d", 1, 1, 1, 1, 2, 2, [1.0])], "id string, layer int, rows int, cols int, channels int, cell_w int, cell_h int, data array<double>").repartition(4)
+    got = {r.id: np.array(r.data).reshape(r.rows, r.cols, r.channels) for r in hog.joined_layers(df, "id").collect()}
+    assert set(got) == {"a", "b"}
+    for k, out in got.items():
+        first, at = made[k][0], 0
+        for x, (h, w, n, cw, ch) in zip(made[k], shapes[k], strict=True):
+            big = np.repeat(np.repeat(x, ch, 0), cw, 1)
+            short = [max(0, first.shape[i] - big.shape[i]) for i in (0, 1)]
+            big = np.pad(big, [(s // 2, s - s // 2) for s in short] + [(0, 0)], mode="edge")[: first.shape[0], : first.shape[1]]
+            assert np.array_equal(out[..., at : at + n], big)
+            at += n
+
+
+def test_runs_until_all_groups_are_exhausted(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(g), int(i)) for i, g in enumerate(rng.choice([1, 1, 1, 1, 2, 3, 9], 200))] + [(None, 500), (None, 501)]
+    df = spark.createDataFrame(rows, "g int, id long").repartition(7)
+    for n in (1, 3):
+        got = [(r.g, r.id) for r in sampling.round_robin(df, "g", "id", n).orderBy("position").collect()]
+        groups = {g: sorted(i for h, i in rows if h == g) for g in (None, 1, 2, 3, 9)}
+        wanted = [(g, i) for k in range(0, 200, n) for g, ids in groups.items() for i in ids[k : k + n]]
+        assert got == wanted
+    assert sampling.round_robin(df.limit(0), "g", "id", 2).count() == 0
+    assert [r.position for r in sampling.negatives(df, "g", 1, "id").orderBy("position").collect()] == list(range(sum(g not in (1, None) for g, _ in rows)))
+
+
+def test_joint_thresholds_on_a_fine_grid(spark):
+    rng, bins = np.random.default_rng(6), 1000
+    objects = spark.range(300).withColumnRenamed("id", "o")
+    hits = [(int(o), int(m), int(b)) for o, m, b in zip(rng.integers(0, 400, 900), rng.integers(0, 2, 900), rng.integers(0, bins, 900), strict=True)]
+    got = harmony.joint_f_grid(objects, spark.createDataFrame(hits, "o long, model int, bin int"), ["o"], bins).toPandas()
+    assert len(got) == bins * bins
+    best = np.full((300, 2), -1)
+    false = np.zeros((2, bins), int)
+    for o, m, b in hits:
+        if o < 300:
+            best[o, m] = max(best[o, m], b)
+        else:
+            false[m, b] += 1
+    above = false[:, ::-1].cumsum(1)[:, ::-1]
+    for r in got.sample(300, random_state=1).itertuples():
+        tp = int(((best[:, 0] >= r.bin_a) | (best[:, 1] >= r.bin_b)).sum())
+        assert (r.tp, r.fp) == (tp, above[0, r.bin_a] + above[1, r.bin_b])
