@@ -54,7 +54,7 @@ def _mod(x: np.ndarray) -> np.ndarray:
     return np.where(x >= _P64, x - _P64, x)
 
 
-def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a * b modulo 2**61 - 1, of factors below it."""
     a0, a1, b0, b1 = a & _LOW32, a >> U64(32), b & _LOW32, b >> U64(32)
     low, high = a0 * b0, a1 * b1  # high counts 2**64, which is 8 modulo 2**61 - 1
@@ -71,33 +71,39 @@ class _Powers:
 
     def get(self, n: int) -> np.ndarray:
         while len(self.up) < n:
-            self.up = np.concatenate([self.up, _times(self.up, self.next)])
-            self.next = _times(self.next, self.next)
+            self.up = np.concatenate([self.up, times(self.up, self.next)])
+            self.next = times(self.next, self.next)
         return self.up
 
 
 _POWERS = _Powers()
 
 
+def powers(n: int) -> np.ndarray:
+    """At least n powers of the base, from that to the power of 0 on."""
+    return _POWERS.get(n)
+
+
 class Prefixes:
     """Hashes of all prefixes of a sequence of words."""
 
     def __init__(self, words: np.ndarray) -> None:
         n = len(words)
         self.words, self.up = words, _POWERS.get(n + 1)
-        terms = _times(_mod(words), self.up[:n])
+        terms = times(_mod(words), self.up[:n])
         low, high = np.zeros(n + 1, U64), np.zeros(n + 1, U64)
         np.cumsum(terms & _LOW32, out=low[1:])
         np.cumsum(terms >> U64(32), out=high[1:])
         # high counts 2**32; its sum is below 2**29 times n.
-        self.sums = _mod(_mod(low) + _times(_mod(high), np.full(n + 1, 1 << 32, U64)))
+        self.sums = _mod(_mod(low) + times(_mod(high), np.full(n + 1, 1 << 32, U64)))
+
+    def between(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the words from begin to end, as they stand: times the base to the power of begin."""
+        return _mod(self.sums[end] + (_P64 - self.sums[begin]))
 
     def same(self, at: np.ndarray, gap: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Whether the `size` words from each `at` on and from `gap` words later on have one hash."""
-        s = self.sums
-        here = _mod(s[at + size] + (_P64 - s[at]))
-        there = _mod(s[at + gap + size] + (_P64 - s[at + gap]))
-        return _times(here, self.up[gap]) == there
+        return times(self.between(at, at + size), self.up[gap]) == self.between(at + gap, at + gap + size)
 
     def extend(self, at: np.ndarray, gap: np.ndarray, most: np.ndarray, back: bool) -> np.ndarray:
         """The longest common extensions of `at` and `at + gap`, of up to `most` words; back: of those before both."""

@@ -1,7 +1,13 @@
+import random
+import time
+
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam
 from tests.llm import brute
+from tests.llm.conftest import alnum
 
 
 def digest(told):
@@ -43,3 +49,49 @@ def test_empty_tables(spark, odd, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.clean(odd, none).count() == odd.count()
     assert decontam.clean(empty, spark.createDataFrame(ITEMS, "item_id long, text string")).count() == 0
+
+
+def brute_longest(rows, items, window=10):
+    """Of each document and item with hits: words, first words in document and item of the longest match."""
+    out = {}
+    for d, t in rows:
+        w = alnum(t)
+        for i, text in items:
+            v, best = alnum(text), None
+            least = min(window, len(v))
+            for p in range(len(w)):
+                for q in range(len(v)):
+                    n = 0
+                    while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                        n += 1
+                    if n >= least > 0 and (best is None or -n < best[0]) and (len(v) >= window or n == len(v)):
+                        best = (-n, p, q)
+            if best:
+                out[d, i] = (-best[0], best[1], best[2])
+    return out
+
+
+@pytest.mark.parametrize("limit", [1, 60, 1 << 20])
+@pytest.mark.parametrize("block", [3, 1 << 18])
+def test_longest_matches_equal_brute_force(spark, monkeypatch, limit, block):
+    monkeypatch.setattr(decontam, "BLOCK", block)
+    rng = random.Random(limit)
+    unit = ["a b", "a", "a a b", "c d e f g h i j k l m", "x"]
+    docs = [(i, " ".join(rng.choice(unit) for _ in range(rng.randrange(1, 25)))) for i in range(12)]
+    items = [(100 + i, " ".join(rng.choice(unit) for _ in range(rng.randrange(1, 14)))) for i in range(9)]
+    told = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), limit=limit)
+    got = {(r.doc_id, m.item_id): (m.n_words, m.doc_word, m.item_word) for r in told.collect() for m in r.matches}
+    assert got == brute_longest(docs, items)
+    assert digest(told) == brute.contamination(docs, items)
+
+
+def test_repetitive_texts_take_no_longer_than_their_length():
+    index = decontam.Slice([(1, "a " * 2000), (2, "a b " * 500)], 10)
+    for text in ("a " * 500_000, "a b " * 250_000):
+        (words,) = decontam.runs(pa.array([text]), decontam.ALNUM, lower=True, run_bytes=1 << 40)
+        began = time.time()
+        kind, word = index.hits(words)
+        doc, item, at, item_at, n = index.longest(words, kind, word)
+        assert time.time() - began < 20
+        assert sorted(zip(item.tolist(), n.tolist(), strict=True)) == ([(0, 2000)] if text[2] == "a" else [(1, 1000)])
+        assert len(kind) < 1_500_000

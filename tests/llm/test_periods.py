@@ -125,7 +125,7 @@ def test_products_modulo_the_prime():
     rng = np.random.default_rng(1)
     a = np.append(rng.integers(0, periods._P, 1000, np.uint64), np.array([0, 1, periods._P - 1], np.uint64))
     b = a[::-1].copy()
-    assert periods._times(a, b).tolist() == [int(x) * int(y) % periods._P for x, y in zip(a, b, strict=True)]
+    assert periods.times(a, b).tolist() == [int(x) * int(y) % periods._P for x, y in zip(a, b, strict=True)]
     assert periods._POWERS.get(40)[39] == pow(periods._BASE, 39, periods._P)
     p = periods.Prefixes(a)
     assert int(p.sums[-1]) == sum(int(x) * pow(periods._BASE, i, periods._P) for i, x in enumerate(a.tolist())) % periods._P
