@@ -162,7 +162,7 @@ def detect(pyramids: DataFrame, images: DataFrame, key: str, models: dict[str, M
     left, top = ((F.col(c) / F.col("scale") + 0.5).cast("int") * cell + border for c in ("x", "y"))
     w, h = ((F.col(c) / F.col("scale") + 0.5).cast("int") * cell for c in ("w", "h"))
     placed = found.select(key, "class", "component", "score", "level", F.greatest(F.lit(0), left).alias("x"), F.greatest(F.lit(0), top).alias("y"), (F.least("width", left + w) - F.greatest(F.lit(0), left)).alias("w"), (F.least("height", top + h) - F.greatest(F.lit(0), top)).alias("h"))
-    placed = placed.where("w > 0 AND h > 0").withColumn("n", F.xxhash64("level", "x", "y", "component"))
+    placed = placed.where("w > 0 AND h > 0").withColumn("n", F.struct("level", "y", "x", "component"))  # the order of equal scores
     return boxes_of.suppress(placed, [key, "class"], "n", overlap).drop("n")
 
 

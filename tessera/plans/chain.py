@@ -133,14 +133,20 @@ def positive_mean(spark, d):
 def _levels(spark, d):
     """Feature levels of one channel: ROWS users each, a column for each day, the value in whole numbers; missing days are 0."""
     e = table(spark, d, "events").groupBy((F.floor(F.col("user_id") / ROWS)).alias("image"), (F.col("user_id") % ROWS).cast("int").alias("y"), F.dayofmonth("ts").alias("x")).agg(F.floor(F.sum("value")).cast("double").alias("v"))
-    packed = e.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct((F.col("y") * COLS + F.col("x") - 1).alias("at"), "v"))).alias("m"))
-    data = F.transform(F.sequence(F.lit(0), F.lit(ROWS * COLS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    # By lines first: looking up a place in a map takes as long as the map.
+    lines = e.groupBy("image", "y").agg(F.map_from_entries(F.collect_list(F.struct(F.col("x") - 1, "v"))).alias("m"))
+    line = F.transform(F.sequence(F.lit(0), F.lit(COLS - 1)), lambda x: F.coalesce(F.try_element_at("m", x), F.lit(0.0)))
+    packed = lines.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("y", line))).alias("m"))
+    data = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(ROWS - 1)), lambda y: F.coalesce(F.try_element_at("m", y), F.array_repeat(F.lit(0.0), COLS))))
     return packed.select("image", F.lit(10).alias("level"), F.lit(1.0).alias("scale"), F.lit(ROWS).alias("rows"), F.lit(COLS).alias("cols"), F.lit(1).alias("channels"), data.alias("data"))
 
 
+def _template():
+    return {"t": models.Model([models.Component([models.Part(np.array(TEMPLATE, np.float32)[:, :, None])], 0.0)])}
+
+
 def _candidates(spark, d):
-    weights = np.array(TEMPLATE, np.float32)[:, :, None]
-    return engine.candidates(_levels(spark, d), "image", {"t": models.Model([models.Component([models.Part(weights)], 0.0)])}, {"t": float(SCORE)})
+    return engine.candidates(_levels(spark, d), "image", _template(), {"t": float(SCORE)})
 
 
 def detect_pyramids(spark, d):
@@ -183,12 +189,18 @@ def queries() -> dict:
     return {f.__name__: f for f in _QUERIES}
 
 
-def oracle_sql() -> dict[str, str]:
+def statements() -> tuple[str, str]:
+    """The levels (cells), and the places where the template is found, as common table expressions."""
     taps = ", ".join(f"({y}, {x}, CAST({w} AS DOUBLE))" for y, row in enumerate(TEMPLATE) for x, w in enumerate(row))
-    numbered = "SELECT p_brand AS class, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS component, p_partkey AS part FROM part WHERE "
-    parsed = "SELECT event_id, event_type AS name, event_id % 2 <> 0 AS difficult, x, y, w, h FROM boxes UNION ALL SELECT event_id, 'second', false, 1, 2, h, w FROM boxes WHERE event_id % 3 = 0"
     levels = f"sums AS (SELECT user_id // {ROWS} AS image, user_id % {ROWS} AS y, CAST(day(ts) AS BIGINT) - 1 AS x, floor(sum(value)) AS v FROM events GROUP BY ALL), cells AS (SELECT m.image, CAST(j AS BIGINT) AS y, CAST(i AS BIGINT) AS x, coalesce(s.v, 0) AS v FROM (SELECT DISTINCT image FROM sums) m CROSS JOIN range({ROWS}) a(j) CROSS JOIN range({COLS}) b(i) LEFT JOIN sums s ON s.image = m.image AND s.y = j AND s.x = i)"
     found = f"taps(dy, dx, f) AS (VALUES {taps}), scored AS (SELECT c.image, c.y, c.x, sum(n.v * f) AS score FROM cells c, taps JOIN cells n ON n.image = c.image AND n.y = c.y + dy AND n.x = c.x + dx GROUP BY ALL), near AS (SELECT a.image, a.y, a.x, any_value(a.score) AS score, max(b.score) AS near FROM scored a JOIN scored b ON a.image = b.image AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND (a.y <> b.y OR a.x <> b.x) WHERE a.score > {SCORE} GROUP BY ALL), found AS (SELECT image, score, x, y, 3 AS w, 3 AS h, image * {ROWS * COLS} + y * {COLS} + x AS id FROM near WHERE score > near)"
+    return levels, found
+
+
+def oracle_sql() -> dict[str, str]:
+    numbered = "SELECT p_brand AS class, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS component, p_partkey AS part FROM part WHERE "
+    parsed = "SELECT event_id, event_type AS name, event_id % 2 <> 0 AS difficult, x, y, w, h FROM boxes UNION ALL SELECT event_id, 'second', false, 1, 2, h, w FROM boxes WHERE event_id % 3 = 0"
+    levels, found = statements()
     matched = f"objects AS (SELECT event_id, image // {ROWS} AS image, x, y, w, h FROM boxes WHERE event_type = 'purchase'), p AS (SELECT a.id AS d, a.score, b.event_id AS t, round(({INTER}) / (a.w * a.h + b.w * b.h - {INTER}), 9) AS iou FROM found a JOIN objects b ON a.image = b.image), best AS (SELECT * FROM p WHERE iou >= 0.1 QUALIFY row_number() OVER (PARTITION BY d ORDER BY iou DESC, t) = 1), hit AS (SELECT d FROM best QUALIFY row_number() OVER (PARTITION BY t ORDER BY score DESC, d) = 1), counts AS (SELECT floor(score / 10) AS threshold, count(*) FILTER (id IN (SELECT d FROM hit)) AS t, count(*) FILTER (id NOT IN (SELECT d FROM hit)) AS f FROM found GROUP BY ALL), results AS (SELECT threshold, CAST(sum(t) OVER w AS BIGINT) AS tp, CAST(sum(f) OVER w AS BIGINT) AS fp, (SELECT count(*) FROM objects) AS np FROM counts WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING))"
     half = f"half AS (SELECT dx, dy FROM range({OFFSETS + 1}) a(dx), range(-{OFFSETS}, {OFFSETS + 1}) b(dy) WHERE dx > 0 OR dy >= 0)"
     entries = "entries AS (SELECT p_brand AS path, p_partkey AS k, p_name AS body, 'part_' || p_partkey || '.txt' AS name, strlen(p_name) AS size FROM part)"

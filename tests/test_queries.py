@@ -2,10 +2,10 @@
 
 import pytest
 
-from tessera.plans import catalogue, chain, learning
+from tessera.plans import catalogue, chain, learning, pixels
 
-SQL = catalogue.oracle_sql() | chain.oracle_sql() | learning.oracle_sql()
-QUERIES = catalogue.queries() | chain.queries() | learning.queries()
+SQL = catalogue.oracle_sql() | chain.oracle_sql() | learning.oracle_sql() | pixels.oracle_sql()
+QUERIES = catalogue.queries() | chain.queries() | learning.queries() | pixels.queries()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
