@@ -253,6 +253,13 @@ def learn_background_cyclic(pyramids: DataFrame, cell: tuple[int, int] = (8, 8),
     return Background(cell, mean, cov.reshape(len(offsets), channels, channels), offsets)
 
 
+def covariances(spark, background: Background) -> DataFrame:
+    """The background's covariances as rows: dx, dy, i, j, cov."""
+    n = len(background.mean)
+    rows = [(int(dx), int(dy), i, j, float(c[i, j])) for (dx, dy), c in zip(background.offsets, background.cov, strict=True) for i in range(n) for j in range(n)]
+    return spark.createDataFrame(rows, "dx long, dy long, i int, j int, cov double")
+
+
 def whitened(levels: DataFrame, key: str, background: Background, least: float = 0.01, ridge: float = 0.01, unit: bool = True) -> DataFrame:
     """key, rows, cols, channels and white: whole levels less the background's mean, their covariance solved; unit: by the largest entry.
 

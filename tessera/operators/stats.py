@@ -110,6 +110,33 @@ def autocorrelation(grid: DataFrame, m: int, mean: float, size: tuple[int, int]
     return pairs.groupBy("dx", "dy").agg((total / F.lit(float(size[0] * size[1])) if size else total / F.sum("n")).alias("cov"), F.sum("n").alias("n"))
 
 
+def reconstructed(cov: DataFrame, rows: int, cols: int, channels: int) -> DataFrame:
+    """p, q, i, j, cov: the covariance of a template's cells p and q (line by line) in channels i and j, from dx, dy, i, j, cov by offset.
+
+    An offset and its opposite have transposed blocks. Channels that cov lacks have zeros;
+    an offset that it lacks is an error. Covariances by offset are fewer than the template's
+    entries, which are what is made here; to solve such a system without them see toeplitz.
+    """
+    spark, n = cov.sparkSession, rows * cols
+    cell = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    pairs = spark.range(n).select(F.col("id").alias("p"), cell.alias("q")).select("p", "q", (F.col("q") % cols - F.col("p") % cols).alias("dx"), (F.floor(F.col("q") / cols) - F.floor(F.col("p") / cols)).alias("dy"))
+    both = cov.select("dx", "dy", "i", "j", "cov").union(cov.where("dx <> 0 OR dy <> 0").select(-F.col("dx"), -F.col("dy"), "j", "i", "cov")).dropDuplicates(["dx", "dy", "i", "j"])
+    if pairs.join(both, ["dx", "dy"], "left_anti").limit(1).count():
+        raise ValueError("the template is larger than the offsets allow")
+    channel = F.explode(F.sequence(F.lit(0), F.lit(channels - 1)))
+    every = pairs.withColumn("i", channel).withColumn("j", channel)
+    return every.join(both, ["dx", "dy", "i", "j"], "left").select("p", "q", "i", "j", F.coalesce("cov", F.lit(0.0)).alias("cov"))
+
+
+def samples_by_offset(levels: DataFrame, m: int) -> DataFrame:
+    """dx, dy and n: how many pairs of cells the levels (rows, cols) have at each offset of the half plane."""
+    shapes = levels.groupBy("rows", "cols").agg(F.count(F.lit(1)).alias("times"))
+    offset = F.explode(F.sequence(F.lit(-m).cast("long"), F.lit(m).cast("long")))
+    half = shapes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m).cast("long"))).alias("dx")).select("*", offset.alias("dy")).where("dx > 0 OR dy >= 0")
+    pairs = F.greatest(F.lit(0), F.col("rows") - F.abs("dy")) * F.greatest(F.lit(0), F.col("cols") - F.col("dx")) * F.col("times")
+    return half.groupBy("dx", "dy").agg(F.sum(pairs).cast("long").alias("n"))
+
+
 def normalized_cells(df: DataFrame, key: str, array: str, label: str) -> DataFrame:
     """Each cell less the mean of its label, by the channel's absolute maximum."""
     c = cells(df, key, array, label)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geometry import boxes_or_whole
 from tessera.functions.text import class_name
-from tessera.operators import cluster, detect, evaluate, harmony, learn, learner, sampling, score, stats
+from tessera.operators import cluster, detect, evaluate, harmony, keyed, learn, learner, sampling, score, stats
 from tessera.plans.fixtures import BOXES, CELLS, GRID, INTER, SIZES, boxes, grid, sizes, table
 from tessera.sources import annotations, model_list
 from tessera.streaming import frames
@@ -91,7 +91,9 @@ def autocorr_cyclic(spark, d):
 
 
 def offset_set(spark, d):
-    return stats.offsets(spark, 3)
+    """Offsets of the half plane, and how many pairs of cells all levels have there: a level is a month of a user's days by hours."""
+    levels = table(spark, d, "events").groupBy("user_id").agg((F.max(F.dayofmonth("ts")) - F.min(F.dayofmonth("ts")) + 1).alias("rows"), (F.max(F.hour("ts")) - F.min(F.hour("ts")) + 1).alias("cols"))
+    return stats.samples_by_offset(levels, 3)
 
 
 def cell_arith(spark, d):
@@ -211,10 +213,11 @@ def kmeans_fit(spark, d):
 
 
 def merge_clusters(spark, d):
+    """Bins of aspect ratios of each kind of part, those near each other merged: all kinds at once."""
     ratio = F.round(50 * F.log(F.col("h") / F.col("w"))) / 50
-    bins = sizes(spark, d).groupBy(F.floor(ratio * 4).alias("bin")).agg(F.avg(ratio).alias("center"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()  # some thousands at most: logarithms of doubles are within 750
-    into = cluster.merge_near([r["center"] for r in bins], [r["n"] for r in bins], 0.2)
-    return spark.createDataFrame([(r["bin"], r["n"], i) for r, i in zip(bins, into, strict=True)], "bin long, n long, cluster int")
+    bins = sizes(spark, d).groupBy("p_type", F.floor(ratio * 4).alias("bin")).agg(F.avg(ratio).alias("center"), F.count(F.lit(1)).alias("n"))
+    centers = bins.select("p_type", F.col("bin").alias("cluster"), F.array("center").alias("center"), "n")
+    return centers.join(keyed.merged(centers, "p_type", 0.2), ["p_type", "cluster"]).select("p_type", F.col("cluster").alias("bin"), "n", F.col("into").alias("cluster"))
 
 
 def cluster_sizes(spark, d):
@@ -233,6 +236,17 @@ def loo_score(spark, d):
     return learn.leave_one_out(table(spark, d, "embeddings"), "vec_id", "embedding", "label").select("vec_id", "label", _r("score").alias("score"))
 
 
+def lda_three(spark, d):
+    """Discriminants of all labels in the first three channels."""
+    return learn.full_discriminants(table(spark, d, "embeddings").withColumn("embedding", F.slice("embedding", 1, 3)), "embedding", "label").select("label", F.posexplode("weights").alias("ch", "weight"), "threshold", "f").select("label", "ch", *(_r(c, 5).alias(c) for c in ("weight", "threshold", "f")))
+
+
+def pca_two(spark, d):
+    """The first two channels on their axes."""
+    found = learn.project_pca(table(spark, d, "embeddings").withColumn("embedding", F.slice("embedding", 1, 2)), "vec_id", "embedding", 2)
+    return found.select("vec_id", *(_r(F.col("projected")[i], 6).alias(f"p{i}") for i in range(2)))
+
+
 def pca_project(spark, d):
     return learn.project_pca(table(spark, d, "embeddings"), "vec_id", "embedding", 4)
 
@@ -391,7 +405,9 @@ def oracle_sql() -> dict[str, str]:
         "channel_cov": f"WITH {CELLS} SELECT a.ch AS i, b.ch AS j, round(covar_pop(a.x, b.x), 6) AS cov FROM cells a JOIN cells b ON a.vec_id = b.vec_id AND a.ch <= b.ch GROUP BY ALL",
         "autocorr_exact": f"WITH {GRID}, {half}, c AS (SELECT y, x, v - (SELECT avg(v) FROM grid) AS v FROM grid), sent AS (SELECT y + dy AS y, x + dx AS x, v, dx, dy FROM c, half) SELECT dx, dy, round(avg(a.v * b.v), 3) AS cov, count(*) AS n FROM sent a JOIN c b ON a.y = b.y AND a.x = b.x GROUP BY ALL",
         "autocorr_cyclic": f"WITH {GRID}, {half}, c AS (SELECT y, x - 1 AS x, v FROM grid), s AS (SELECT max(y) + 1 AS rows FROM c), sent AS (SELECT ((y + dy) % rows + rows) % rows AS y, (x + dx) % 31 AS x, v, dx, dy, rows FROM c, s, half) SELECT dx, dy, round(sum(a.v * b.v) / (any_value(rows) * 31), 3) AS cov FROM sent a JOIN c b ON a.y = b.y AND a.x = b.x GROUP BY ALL",
-        "offset_set": "SELECT dx, dy FROM range(4) a(dx), range(-3, 4) b(dy) WHERE dx > 0 OR dy >= 0",
+        "lda_three": f"WITH {CELLS}, v AS (SELECT vec_id, label, max(x) FILTER (ch = 0) AS x, max(x) FILTER (ch = 1) AS y, max(x) FILTER (ch = 2) AS z FROM cells WHERE ch < 3 GROUP BY ALL), m AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z, var_pop(x) + 0.01 AS a, covar_pop(x, y) AS b, covar_pop(x, z) AS c, var_pop(y) + 0.01 AS d, covar_pop(y, z) AS e, var_pop(z) + 0.01 AS g FROM v), inv AS (SELECT *, d * g - e * e AS i, c * e - b * g AS j, b * e - c * d AS k, a * g - c * c AS l, b * c - a * e AS o, a * d - b * b AS p FROM m), det AS (SELECT *, a * i + b * j + c * k AS det FROM inv), own AS (SELECT label, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM v GROUP BY label), s AS (SELECT label, o.x AS px, o.y AS py, o.z AS pz, q.x AS mx, q.y AS my, q.z AS mz, [(i * o.x + j * o.y + k * o.z) / det, (j * o.x + l * o.y + q.o * o.z) / det, (k * o.x + q.o * o.y + p * o.z) / det] AS sp, [(i * q.x + j * q.y + k * q.z) / det, (j * q.x + l * q.y + q.o * q.z) / det, (k * q.x + q.o * q.y + p * q.z) / det] AS sm FROM own o, det q), w AS (SELECT label, [sp[1] - sm[1], sp[2] - sm[2], sp[3] - sm[3]] AS w, (mx * sm[1] + my * sm[2] + mz * sm[3] - px * sp[1] - py * sp[2] - pz * sp[3]) / 2 AS bias FROM s), f AS (SELECT *, greatest(abs(w[1]), abs(w[2]), abs(w[3])) AS f FROM w) SELECT label, CAST(ch AS INTEGER) AS ch, round(w[ch + 1] / f, 5) AS weight, round(-bias / f, 5) AS threshold, round(f, 5) AS f FROM f, range(3) r(ch)",
+        "pca_two": f"WITH {CELLS}, v AS (SELECT vec_id, max(x) FILTER (ch = 0) AS x, max(x) FILTER (ch = 1) AS y FROM cells WHERE ch < 2 GROUP BY vec_id), m AS (SELECT avg(x) AS x, avg(y) AS y, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM v), e AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS top FROM m), u AS (SELECT x AS mx, y AS my, b / sqrt(b * b + (top - a) * (top - a)) AS ux, (top - a) / sqrt(b * b + (top - a) * (top - a)) AS uy FROM e), s AS (SELECT *, CASE WHEN abs(ux) >= abs(uy) THEN sign(ux) ELSE sign(uy) END AS s0, CASE WHEN abs(uy) >= abs(ux) THEN sign(-uy) ELSE sign(ux) END AS s1 FROM u) SELECT vec_id, round(s0 * ((x - mx) * ux + (y - my) * uy), 6) AS p0, round(s1 * ((y - my) * ux - (x - mx) * uy), 6) AS p1 FROM v, s",
+        "offset_set": "WITH l AS (SELECT max(day(ts)) - min(day(ts)) + 1 AS r, max(hour(ts)) - min(hour(ts)) + 1 AS c FROM events GROUP BY user_id) SELECT dx, dy, CAST(sum(greatest(0, r - abs(dy)) * greatest(0, c - dx)) AS BIGINT) AS n FROM l, range(4) a(dx), range(-3, 4) b(dy) WHERE dx > 0 OR dy >= 0 GROUP BY dx, dy",
         "cell_arith": f"WITH {CELLS}, {means}, tops AS (SELECT ch, max(abs(x)) AS t FROM cells GROUP BY ch) SELECT vec_id, c.ch, round((x - m) / t, 6) AS x FROM cells c JOIN means m ON c.label = m.label AND c.ch = m.ch JOIN tops t ON t.ch = c.ch",
         "aspect_mode": f"WITH {SIZES}, {bins}, {weights} SELECT center, round(weight, 4) AS weight, round(exp(0.02 * center - 2), 6) AS aspect FROM weights",
         "area_p20": f"WITH {SIZES}, {ranked.format(by='p_type,', part='PARTITION BY p_type')} SELECT p_type, area FROM ranked WHERE rn = floor(n * 0.2) + 1",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry
 from tessera.functions.text import file_stem
-from tessera.operators import engine, evaluate, sampling
+from tessera.operators import engine, evaluate, keyed, sampling, stats
 from tessera.plans.fixtures import BOXES, INTER, boxes, table
 from tessera.sources import annotations, archives, models, repositories
 
@@ -97,11 +97,11 @@ def _components(spark, d, where: str):
 
 
 def components_appended(spark, d):
-    return sampling.append_components(_components(spark, d, "p_size < 5"), _components(spark, d, "p_size > 46"), "class", "component").select("class", F.col("component").cast("long").alias("component"), "part")
+    return sampling.append_components(_components(spark, d, "p_size <= 25"), _components(spark, d, "p_size > 25"), "class", "component").select("class", F.col("component").cast("long").alias("component"), "part")
 
 
 def component_removed(spark, d):
-    return sampling.without_component(_components(spark, d, "p_size < 5"), "component", 1, "class").select("class", F.col("component").cast("long").alias("component"), "part")
+    return sampling.without_component(_components(spark, d, "true"), "component", 1, "class").select("class", F.col("component").cast("long").alias("component"), "part")
 
 
 def models_deleted(spark, d):
@@ -111,7 +111,7 @@ def models_deleted(spark, d):
 
 def model_files(spark, d):
     """Models by class written as files and read again: a component per part, its weight the part's size."""
-    kinds = _components(spark, d, "p_size < 9").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("component", "part"))).alias("c"))
+    kinds = _components(spark, d, "true").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("component", "part"))).alias("c"))
 
     def through(batches):
         for pdf in batches:
@@ -126,8 +126,9 @@ def model_files(spark, d):
 
 
 def positive_mean(spark, d):
-    e = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("ch", "x"))
-    return e.groupBy("label", "ch").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+    """The mean of the positives of each class."""
+    means = table(spark, d, "embeddings").groupBy("label").agg(keyed.mean_of("embedding").alias("mean"))
+    return means.select("label", F.posexplode("mean").alias("ch", "mean")).select("label", "ch", F.round("mean", 6).alias("mean"))
 
 
 def _levels(spark, d):
@@ -172,14 +173,8 @@ def background_learned(spark, d):
 
 
 def covariance_reconstructed(spark, d):
-    """The covariance of a template of SIDE x SIDE cells from background statistics that went through their file."""
-    b = models.read_background(models.write_background(models.Background((8, 8), np.zeros(1), np.array([[[10.0 * dx + dy]] for dx, dy in _offsets()]), np.array(_offsets()))))
-    full = models.reconstruct(b, SIDE, SIDE)
-    return spark.createDataFrame([(i, j, float(full[i, j])) for i in range(SIDE * SIDE) for j in range(SIDE * SIDE)], "i long, j long, cov double")
-
-
-def _offsets():
-    return [(dx, dy) for dx in range(SIDE) for dy in range(1 - SIDE, SIDE) if dx or dy >= 0]
+    """The covariance of a template of SIDE x SIDE cells, put together from the background that is learned of all levels; a channel that the background lacks has zeros."""
+    return stats.reconstructed(engine.covariances(spark, _background(spark, d)), SIDE, SIDE, 2).select("p", "q", "i", "j", F.round("cov", 3).alias("cov"))
 
 
 _QUERIES = (tar_index, tar_extract, tar_find, annotation_objects, annotation_scaled, export_first, cell_conversions, crop_boxes, components_appended, component_removed, models_deleted, model_files, positive_mean, detect_pyramids, evaluate_detected, background_learned, covariance_reconstructed)
@@ -217,13 +212,13 @@ def oracle_sql() -> dict[str, str]:
         "export_first": "SELECT source || '_' || doc_id || '.jpg' AS name, lang AS content FROM documents ORDER BY doc_id LIMIT 25",
         "cell_conversions": "SELECT p_partkey, p_size * 8 + 6 AS pixels, CAST(floor((p_partkey - 6) / 8) AS BIGINT) AS cells, CAST(floor((p_partkey - 6) / 8 + 0.5) AS BIGINT) AS nearest, p_size * 8 + 3 AS place, round((p_partkey + 1) / p_size, 9) AS aspect FROM part",
         "crop_boxes": f"WITH {BOXES}, c AS (SELECT event_id, x - 5 AS l, y - 5 AS t, w, h FROM boxes) SELECT event_id, greatest(0, l)::BIGINT AS x, greatest(0, t)::BIGINT AS y, greatest(0, least(24, l + w) - greatest(0, l))::BIGINT AS w, greatest(0, least(20, t + h) - greatest(0, t))::BIGINT AS h FROM c",
-        "components_appended": f"WITH a AS ({numbered}p_size < 5), b AS ({numbered}p_size > 46), top AS (SELECT class, max(component) + 1 AS n FROM a GROUP BY ALL) SELECT * FROM a UNION ALL SELECT b.class, component + coalesce(n, 0), part FROM b LEFT JOIN top ON top.class = b.class",
-        "component_removed": f"WITH a AS ({numbered}p_size < 5) SELECT class, CASE WHEN component > 1 THEN component - 1 ELSE component END AS component, part FROM a WHERE component <> 1",
+        "components_appended": f"WITH a AS ({numbered}p_size <= 25), b AS ({numbered}p_size > 25), top AS (SELECT class, max(component) + 1 AS n FROM a GROUP BY ALL) SELECT * FROM a UNION ALL SELECT b.class, component + coalesce(n, 0), part FROM b LEFT JOIN top ON top.class = b.class",
+        "component_removed": f"WITH a AS ({numbered}true) SELECT class, CASE WHEN component > 1 THEN component - 1 ELSE component END AS component, part FROM a WHERE component <> 1",
         "models_deleted": "SELECT p_brand AS class, max(p_size) AS size FROM part GROUP BY ALL HAVING min(p_size) >= 2",
-        "model_files": f"SELECT class, component, part * 2.0::DOUBLE AS weight, -part / 4 AS bias FROM ({numbered}p_size < 9)",
+        "model_files": f"SELECT class, component, part * 2.0::DOUBLE AS weight, -part / 4 AS bias FROM ({numbered}true)",
         "positive_mean": "SELECT label, CAST(i AS INTEGER) AS ch, round(avg(CAST(embedding[i + 1] AS DOUBLE)), 6) AS mean FROM embeddings, range(64) r(i) GROUP BY ALL",
         "detect_pyramids": f"WITH {levels}, {found} SELECT image, 't' AS class, score, x::INTEGER AS x, y::INTEGER AS y, w::INTEGER AS w, h::INTEGER AS h FROM found",
         "evaluate_detected": f"WITH {BOXES}, {levels}, {found}, {matched} SELECT threshold, tp, fp, np, round(2 * tp / (tp + fp + np), 6) AS f1 FROM results",
         "background_learned": f"WITH {levels}, {half}, c AS (SELECT image, y, x, v - (SELECT avg(v) FROM cells) AS v FROM cells) SELECT dx::INTEGER AS dx, dy::INTEGER AS dy, round(avg(a.v * b.v), 3) AS cov FROM c a, half JOIN c b ON a.image = b.image AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL",
-        "covariance_reconstructed": f"WITH c AS (SELECT i, j, j % {SIDE} - i % {SIDE} AS dx, j // {SIDE} - i // {SIDE} AS dy FROM range({SIDE * SIDE}) a(i), range({SIDE * SIDE}) b(j)) SELECT i, j, CAST(CASE WHEN dx > 0 OR (dx = 0 AND dy >= 0) THEN 10 * dx + dy ELSE -10 * dx - dy END AS DOUBLE) AS cov FROM c",
+        "covariance_reconstructed": f"WITH {levels}, {half}, c AS (SELECT image, y, x, v - (SELECT avg(v) FROM cells) AS v FROM cells), b AS (SELECT dx, dy, avg(a.v * b.v) AS cov FROM c a, half JOIN c b ON a.image = b.image AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL), pairs AS (SELECT p, q, i, j, q % {SIDE} - p % {SIDE} AS dx, q // {SIDE} - p // {SIDE} AS dy FROM range({SIDE * SIDE}) r(p), range({SIDE * SIDE}) s(q), range(2) t(i), range(2) u(j)) SELECT p, q, i::INTEGER AS i, j::INTEGER AS j, CASE WHEN i = 0 AND j = 0 THEN round(cov, 3) ELSE 0 END AS cov FROM pairs JOIN b ON b.dx = (CASE WHEN pairs.dx > 0 OR (pairs.dx = 0 AND pairs.dy >= 0) THEN 1 ELSE -1 END) * pairs.dx AND b.dy = (CASE WHEN pairs.dx > 0 OR (pairs.dx = 0 AND pairs.dy >= 0) THEN 1 ELSE -1 END) * pairs.dy",
     }
