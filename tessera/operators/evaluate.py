@@ -15,15 +15,15 @@ from tessera.functions.geometry import iou
 from tessera.operators.detect import TILE, touching
 
 
-def claims(detections: DataFrame, truth: DataFrame, image: str, key: str, overlap: float = 0.5, tile: int = TILE) -> DataFrame:
+def claims(detections: DataFrame, truth: DataFrame, image: str, key: str, overlap: float = 0.5, tile: int = TILE, levels: int = 0) -> DataFrame:
     """key of each detection that claims an object, and the object's: its best by IoU, which no higher detection claims.
 
-    Boxes meet by image and tile (detect.touching); boxes without common area never match.
+    Boxes meet by image and tile (detect.touching, whose levels help where sizes differ much); boxes without common area never match.
     """
     cols = ["x", "y", "w", "h"]
     d = detections.select(image, F.col(key).alias("d_key"), "score", *(F.col(c).alias(f"a_{c}") for c in cols))
     t = truth.select(image, F.col(key).alias("t_key"), *(F.col(c).alias(f"b_{c}") for c in cols))
-    pairs = touching(d, t, [image], tile).withColumn("iou", F.round(iou("a_", "b_"), 9)).where(F.col("iou") >= overlap)
+    pairs = touching(d, t, [image], tile, levels).withColumn("iou", F.round(iou("a_", "b_"), 9)).where(F.col("iou") >= overlap)
     best = pairs.groupBy("d_key", "score").agg(F.max(F.struct("iou", (-F.col("t_key")).alias("neg")))["neg"].alias("neg"))
     first = W.partitionBy("neg").orderBy(F.desc("score"), "d_key")
     return best.withColumn("claim", F.row_number().over(first)).where("claim = 1").select(F.col("d_key").alias(key), (-F.col("neg")).alias("object"))

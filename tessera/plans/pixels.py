@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import engine, hog, learner
-from tessera.plans import chain
-from tessera.plans.fixtures import BOXES, boxes, table
+from tessera.operators import detect, engine, hog, learner
+from tessera.plans import catalogue, chain
+from tessera.plans.fixtures import BOXES, boxes
 
 ROWS, COLS = chain.ROWS, chain.COLS
 #: Pixels of a cell of the template that is looked for, and of an image that is a little smaller than its cells.
@@ -47,7 +47,12 @@ def boxes_detected(spark, d):
     return found.select("image", "class", "component", "score", *(F.col(c).cast("long").alias(c) for c in ("x", "y", "w", "h")))
 
 
-_QUERIES = (image_crops, hog_cells, gradient_energy, boxes_detected)
+def nms_spread(spark, d):
+    """Suppression by rounds of joins, for images of any number of boxes."""
+    return detect.suppress_spread(boxes(spark, d), ["image", "event_type"], "event_id").select("image", "event_type", "event_id", "score")
+
+
+_QUERIES = (nms_spread, image_crops, hog_cells, gradient_energy, boxes_detected)
 
 
 def queries() -> dict:
@@ -64,6 +69,7 @@ def oracle_sql() -> dict[str, str]:
     placed = f"placed AS (SELECT image, score, x * {CELL} AS x, y * {CELL} AS y, least({WIDTH}, x * {CELL} + {3 * CELL}) - x * {CELL} AS w, least({HEIGHT}, y * {CELL} + {3 * CELL}) - y * {CELL} AS h FROM found), b AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, y, x) AS rn FROM placed WHERE w > 0 AND h > 0)"
     kept = "s AS (SELECT image, CAST(1 AS BIGINT) AS rn, [{'x': x, 'y': y, 'w': w, 'h': h, 's': score}] AS kept FROM b WHERE rn = 1 UNION ALL SELECT s.image, b.rn, CASE WHEN len(list_filter(s.kept, lambda a: greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) >= 0.2 * b.w * b.h)) > 0 THEN s.kept ELSE list_append(s.kept, {'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h, 's': b.score}) END FROM s JOIN b ON b.image = s.image AND b.rn = s.rn + 1)"
     return {
+        "nms_spread": catalogue.oracle_sql()["nms"],
         "image_crops": f"WITH {BOXES}, {pixels}, {crops} SELECT cut.image, box_id, h::INTEGER AS height, w::INTEGER AS width, string_agg(printf('%02X', px.v), '' ORDER BY px.y, px.x) AS data FROM cut JOIN px ON px.image = cut.image AND px.x BETWEEN cut.x AND cut.x + cut.w - 1 AND px.y BETWEEN cut.y AND cut.y + cut.h - 1 WHERE w > 0 AND h > 0 GROUP BY ALL",
         "hog_cells": f"WITH {pixels}, {hogs} SELECT image, i, v FROM hogs",
         "gradient_energy": f"WITH {pixels}, {hogs} SELECT image, round(sum(v), 5) AS texture, count(*) AS n FROM hogs WHERE i % 32 >= 27 AND i % 32 < 31 GROUP BY image",

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import file_stem
+from tessera.operators import sampling
+from tessera.operators.numbering import numbered
 from tessera.sources import archives
 
 
@@ -41,11 +47,11 @@ def problems(spark: SparkSession, root: str) -> list[str]:
     """What a repository of archives lacks; empty if it is complete."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(conf)
-    if not fs.exists(path(root)):
+    store = path(root).getFileSystem(conf)
+    if not store.exists(path(root)):
         return ["no such directory"]
-    missing = [x for x in ("synset_wordlist.txt", "Images", "Annotation") if not fs.exists(path(f"{root}/{x}"))]
-    if "Images" not in missing and not any(s.getPath().getName().endswith(".tar") for s in fs.listStatus(path(f"{root}/Images"))):
+    missing = [x for x in ("synset_wordlist.txt", "Images", "Annotation") if not store.exists(path(f"{root}/{x}"))]
+    if "Images" not in missing and not any(s.getPath().getName().endswith(".tar") for s in store.listStatus(path(f"{root}/Images"))):
         missing.append("Images/*.tar")
     return missing
 
@@ -53,3 +59,37 @@ def problems(spark: SparkSession, root: str) -> list[str]:
 def export(images: DataFrame, limit: int, order: list[str]) -> DataFrame:
     """name and content of the first images, to be written by the caller's sink."""
     return images.orderBy(*order).limit(limit).select(F.concat("stem", F.lit(".jpg")).alias("name"), "content")
+
+
+def export_mixed(images: DataFrame, folder: str, group: str, order: str, per_round: int, limit: int | None = None) -> DataFrame:
+    """Writes images of all groups, `per_round` of each in turn, as files below a folder, and tells position, name and bytes of each.
+
+    images has the group, the order, stem and content, and either compressed bytes as content,
+    or samples with height, width and depth, which become PGM or PPM files. The folder is
+    in a store that pyarrow.fs opens by its URI. Tasks write files of their own; one that is
+    run again writes the same files again. A name is the position and the stem, so names never clash.
+    """
+    raw = {"height", "width", "depth"} <= set(images.columns)
+    if limit is None:
+        placed = sampling.round_robin(images.drop("content"), group, order, per_round)
+    else:
+        ranked = sampling.round_robin(images.drop("content"), group, order, per_round, limit)
+        placed = numbered(ranked, ["round", group, "rank"], "position")
+    lean = placed.select(F.col(group).alias("_group"), F.col(order).alias("_order"), "position")
+    joined = images.join(lean, F.col(group).eqNullSafe(F.col("_group")) & (F.col(order) == F.col("_order")))
+    wanted = joined.select("position", "stem", "content", *(F.col(c) if raw else F.lit(None).cast("int").alias(c) for c in ("height", "width", "depth"))).where("content IS NOT NULL")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store.create_dir(at, recursive=True)
+        for batch in batches:
+            rows = []
+            for place, stem, content, h, w, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                head = b"P%d\n%d %d\n255\n" % (5 if d == 1 else 6, w, h) if raw else b""
+                name = f"{place:08d}_{(stem or '').replace('/', '_')}.{('pgm' if d == 1 else 'ppm') if raw else 'jpg'}"
+                with store.open_output_stream(f"{at}/{name}") as out:
+                    out.write(head + content)
+                rows.append((place, name, len(head) + len(content)))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int64(), pa.string(), pa.int64()), strict=True)], ["position", "name", "bytes"])
+
+    return wanted.mapInArrow(write, "position long, name string, bytes long")
