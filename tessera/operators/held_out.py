@@ -41,14 +41,26 @@ def changed_models(models: DataFrame, samples: DataFrame, image: str) -> DataFra
     return joined.where("n > m").select(image, *on, without(F.col("weights"), F.col("_sum"), F.col("n"), F.col("m"), F.col("f")).alias("weights"))
 
 
-def own_scores(samples: DataFrame, models: DataFrame, key: str, cls: str, array: str, white: str) -> DataFrame:
-    """key, class and score of each sample against the template of its class without it. samples has key, class, array and white; models class, n, weights and f.
+#: From a sample's score by the whole template, its product with its own whitened self, and the template's n and f, the score by the template that it is judged by.
+LeftOut = Callable[[Column, Column, Column, Column], Column]
+
+
+def one_left_out(whole: Column, own: Column, n: Column, f: Column) -> Column:
+    """The score without the sample; the whole template's if it has no others."""
+    return F.when(n > 1, (whole * n * f - own) / ((n - 1) * f)).otherwise(whole)
+
+
+def none_left_out(whole: Column, own: Column, n: Column, f: Column) -> Column:
+    return whole
+
+
+def own_scores(samples: DataFrame, models: DataFrame, key: str, cls: str, array: str, white: str, left_out: LeftOut = one_left_out) -> DataFrame:
+    """key, class and score of each sample against the template of its class without it, or as left_out says. samples has key, class, array and white; models class, n, weights and f.
 
     Only products of the sample with the weights and with itself are needed.
     """
     joined = beside(samples.select(key, cls, array, white), held(models.select(cls, "n", "weights", "f")), [cls], 64 + 8 * F.size("weights"))
-    whole, own, n, f = dot(F.col(array), F.col("weights")), dot(F.col(array), F.col(white)), F.col("n"), F.col("f")
-    return joined.select(key, cls, F.when(n > 1, (whole * n * f - own) / ((n - 1) * f)).otherwise(whole).alias("score"))
+    return joined.select(key, cls, left_out(dot(F.col(array), F.col("weights")), dot(F.col(array), F.col(white)), F.col("n"), F.col("f")).alias("score"))
 
 
 def other_scores(samples: DataFrame, models: DataFrame, key: str, cls: str, array: str, least: float, limit: int = SLICE_BYTES) -> DataFrame:
@@ -85,13 +97,13 @@ def other_scores(samples: DataFrame, models: DataFrame, key: str, cls: str, arra
     return out
 
 
-def best_thresholds(samples: DataFrame, models: DataFrame, key: str, cls: str, array: str, solve: Callable[[np.ndarray], np.ndarray], mean: np.ndarray, least: float = 0.0, granularity: int = 100, b: float = 1.0) -> DataFrame:
+def best_thresholds(samples: DataFrame, models: DataFrame, key: str, cls: str, array: str, solve: Callable[[np.ndarray], np.ndarray], mean: np.ndarray, least: float = 0.0, granularity: int = 100, b: float = 1.0, left_out: LeftOut = one_left_out) -> DataFrame:
     """class, threshold and f_measure of the template of each class, all at once: samples of a class are its positives, each scored without itself, those of others its negatives.
 
     Scores below `least` are no detections. A class no sample of which scores enough has no row.
     """
     white = held(mapped(samples.where(F.col(cls).isNotNull() & F.col(array).isNotNull()).select(key, cls, array), array, "_white", lambda x: solve(x - mean)))
-    own = own_scores(white, models, key, cls, array, "_white").where(F.col("score") >= least).select(cls, "score", F.lit(True).alias("hit"))
+    own = own_scores(white, models, key, cls, array, "_white", left_out).where(F.col("score") >= least).select(cls, "score", F.lit(True).alias("hit"))
     others = other_scores(white, models, key, cls, array, least).select(cls, "score", F.lit(False).alias("hit"))
     positives = white.groupBy(cls).agg(F.count(F.lit(1)).alias("np"))
     return evaluate.max_f_measure(evaluate.sweep(own.unionByName(others), positives, granularity, (cls,)), b, (cls,))

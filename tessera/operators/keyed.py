@@ -108,40 +108,57 @@ def mapped(df: DataFrame, array: str, name: str, of: Callable[[np.ndarray], np.n
     return df.mapInPandas(apply, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
-def learn_classes(df: DataFrame, cls: str, key: str, array: str, mean: np.ndarray, solve: Callable[[np.ndarray], np.ndarray], k: int = 3, rounds: int = 30, tolerance: float | None = 1e-6) -> DataFrame:
+def learn_classes(df: DataFrame, cls: str, key: str, array: str, mean: np.ndarray, solve: Callable[[np.ndarray], np.ndarray], k: int = 3, rounds: int = 30, tolerance: float | None = 1e-6, strategy: Strategy | None = None) -> DataFrame:
     """class, cluster, n, weights, threshold and f of the templates of all classes.
 
     `solve` gives the background's covariance solved for each row of a matrix, `mean` is
     the background's. Samples less the mean, solved, are clustered by class; clusters of
     fewer than a tenth of their class go with their samples; each other one is a template:
-    its centre by its largest weight f, and a threshold from both bias terms.
+    its centre by its largest weight f, and a threshold from both bias terms. Another
+    strategy makes other templates of a cluster's mean.
     """
     samples = df.where(F.col(cls).isNotNull() & F.col(array).isNotNull()).select(cls, key, array)
     white = held(mapped(samples, array, "_white", lambda x: solve(x - mean)))
     assigned = held(nearest(white, kmeans(white, cls, key, "_white", k, rounds, tolerance), cls, "_white"))
     kept = held(large_enough(assigned, cls))
     means = beside(assigned.select(cls, "cluster", array), kept, [cls, "cluster"], F.lit(64)).groupBy(cls, F.col("into").alias("cluster")).agg(F.max("n").alias("n"), mean_of(array).alias("_mean"))
-    return discriminants(means, "_mean", mean, solve).drop("_mean")
+    return discriminants(means, "_mean", mean, solve, strategy).drop("_mean")
 
 
-def discriminants(means: DataFrame, array: str, mean: np.ndarray, solve: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+#: Makes templates of the means of clusters (rows), given the background's mean and its solver: weights, and a threshold of each before weights are divided by their largest.
+Strategy = Callable[[np.ndarray, np.ndarray, Callable[[np.ndarray], np.ndarray]], tuple[np.ndarray, np.ndarray]]
+
+
+def by_discriminant(x: np.ndarray, mean: np.ndarray, solve: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Linear discriminants against the background, of equal prior."""
+    none = solve(mean[None, :])[0]
+    own = solve(x) if len(x) else x
+    return own - none, (np.einsum("ij,ij->i", x, own) - mean @ none) / 2
+
+
+def by_mean(x: np.ndarray, mean: np.ndarray, solve: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Plain differences of means, which take all cells for independent: the threshold is half way between both."""
+    return x - mean, (np.einsum("ij,ij->i", x, x) - mean @ mean) / 2
+
+
+def discriminants(means: DataFrame, array: str, mean: np.ndarray, solve: Callable[[np.ndarray], np.ndarray], strategy: Strategy | None = None) -> DataFrame:
     """means with weights, threshold and f: the discriminants of the arrays against the background, a batch of rows at a time."""
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield _learned(pdf, array, mean, solve)
+            yield _learned(pdf, array, mean, solve, strategy)
 
     return means.mapInPandas(learn, T.StructType([*means.schema.fields, *_LEARNED]))
 
 
-def sized_discriminants(means: DataFrame, array: str, background: Background, ridge: float = 0.01) -> DataFrame:
+def sized_discriminants(means: DataFrame, array: str, background: Background, ridge: float = 0.01, strategy: Strategy | None = None) -> DataFrame:
     """The same of arrays of several sizes, their columns rows and cols: the system of each size is made where it is met (toeplitz)."""
     sent = means.sparkSession.sparkContext.broadcast(Solvers(background, ridge))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for (rows, cols), own in pdf.groupby(["rows", "cols"], sort=False):
-                yield _learned(own, array, np.tile(sent.value.background.mean, rows * cols), sent.value(rows, cols))
+                yield _learned(own, array, np.tile(sent.value.background.mean, rows * cols), sent.value(rows, cols), strategy)
 
     return means.mapInPandas(learn, T.StructType([*means.schema.fields, *_LEARNED]))
 
@@ -162,12 +179,9 @@ def sized_whitened(samples: DataFrame, array: str, name: str, background: Backgr
 _LEARNED = [T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("threshold", T.DoubleType()), T.StructField("f", T.DoubleType())]
 
 
-def _learned(pdf: pd.DataFrame, array: str, mean: np.ndarray, solve: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
+def _learned(pdf: pd.DataFrame, array: str, mean: np.ndarray, solve: Callable[[np.ndarray], np.ndarray], strategy: Strategy | None) -> pd.DataFrame:
     x = np.stack(pdf[array].to_numpy()).astype(float) if len(pdf) else np.empty((0, len(mean)))
-    none = solve(mean[None, :])[0]
-    own = solve(x) if len(x) else x
-    w = own - none
+    w, threshold = (strategy or by_discriminant)(x, mean, solve)
     f = np.abs(w).max(1) if len(w) else np.empty(0)
     f[f == 0] = 1.0
-    bias = (mean @ none - np.einsum("ij,ij->i", x, own)) / 2
-    return pdf.assign(weights=list(w / f[:, None]), threshold=-bias / f, f=f)
+    return pdf.assign(weights=list(w / f[:, None]), threshold=threshold / f, f=f)

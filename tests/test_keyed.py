@@ -251,3 +251,20 @@ def test_joint_thresholds_on_a_fine_grid(spark):
     for r in got.sample(300, random_state=1).itertuples():
         tp = int(((best[:, 0] >= r.bin_a) | (best[:, 1] >= r.bin_b)).sum())
         assert (r.tp, r.fp) == (tp, above[0, r.bin_a] + above[1, r.bin_b])
+
+
+def test_other_strategies_and_nothing_left_out(spark):
+    b, rng = background(2), np.random.default_rng(10)
+    mean, solve = np.tile(b.mean, 2), toeplitz.Solver(b, 1, 2)
+    raw = [("a", i, rng.normal(size=4) + 1) for i in range(6)] + [("b", 10 + i, rng.normal(size=4) - 1) for i in range(4)]
+    df = spark.createDataFrame([(c, i, x.tolist()) for c, i, x in raw], SCHEMA)
+    models = keyed.learn_classes(df, "cls", "id", "data", mean, solve, 1, 0, None, keyed.by_mean)
+    for r in models.collect():
+        m = np.mean([x for c, _, x in raw if c == r.cls], 0)
+        w = m - mean
+        assert np.allclose(np.array(r.weights) * r.f, w) and r.threshold * r.f == pytest.approx((m @ m - mean @ mean) / 2)
+        assert (m @ r.weights > r.threshold) and (mean @ r.weights < r.threshold)
+    white = keyed.mapped(df, "data", "white", lambda x: solve(x - mean))
+    weights = {r.cls: np.array(r.weights) for r in models.collect()}
+    plain = {r.id: r.score for r in held_out.own_scores(white, models, "id", "cls", "data", "white", held_out.none_left_out).collect()}
+    assert all(plain[i] == pytest.approx(x @ weights[c]) for c, i, x in raw)
