@@ -3,6 +3,7 @@ import hashlib
 import io
 import struct
 import time
+import wave
 import zipfile
 import zlib
 
@@ -111,3 +112,23 @@ def test_false_hits_take_no_longer_than_their_length(unit):
     began = time.time()
     media.media_in(unit * (1_000_000 // len(unit)), media.automaton())
     assert time.time() - began < 20
+
+
+def test_stored_form_and_features_equal_loops(spark, data):
+    """The stored file is what the standard library's writer makes, and features are sums over its samples."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    rows = {r.doc_id: r for r in media.query(spark, data).collect()}
+    assert set(rows) == set(texts)
+    for d, text in texts.items():
+        payload = (text or "").encode()
+        payload += bytes(64 - len(payload) % 64 if len(payload) % 64 or not payload else 0)
+        out = io.BytesIO()
+        with wave.open(out, "wb") as file:
+            file.setnchannels(1)
+            file.setsampwidth(1)
+            file.setframerate(media.RATE)
+            file.writeframes(payload)
+        stored, samples, r = out.getvalue(), list(payload), rows[d]
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        steps = sum(abs(a - b) for a, b in zip(samples, samples[1:], strict=False))
+        assert r.feature == f"n={len(samples)};sum={sum(samples)};energy={sum(x * x for x in samples)};min={min(samples)};max={max(samples)};steps={steps};levels={len(set(samples))}"
