@@ -2,12 +2,16 @@
 
 import math
 import random
+import re
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontam, langid, quality
+from tessera.llm.words import ALNUM, runs
 from tests.llm import brute
 
 
@@ -154,3 +158,65 @@ def test_stages_take_columns_of_any_name(spark, data, odd):
         docs = stage(spark, docs, data)
         assert docs.columns == df.columns
         assert docs.where("_id = 1 AND _hash = 2 AND _gone = 3 AND _many = 4 AND _n_words = 5 AND _n_removed = 6 AND row = 7").count() == docs.count() > 0
+
+
+_TAGS = re.compile(rb"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<[^>]*>|&#?\w+;")
+_LANG = re.compile(rb"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)")
+
+
+def buckets(data):
+    """Trigrams of letters, all else as spaces, by hash."""
+    low = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in data)
+    return [((low[i] << 16 | low[i + 1] << 8 | low[i + 2]) * 2654435761 % 2**32) >> (32 - langid.BITS) for i in range(len(low) - 2)]
+
+
+def test_language_query_by_loops(spark, data):
+    """From labelled documents and pages to what the query returns."""
+    docs = [r for r in spark.read.parquet(f"{data}/documents.parquet").collect() if r.lang is not None]
+    langs = sorted({r.lang for r in docs})
+    counts = [Counter(b for r in docs if r.lang == lang for b in buckets(f" {r.text or ''} ".encode())) for lang in langs]
+    totals = [sum(c.values()) + 2**langid.BITS for c in counts]
+    rows = []
+    for r in spark.read.parquet(f"{data}/pages.parquet").collect():
+        html = (r.html or "").encode()
+        seen = buckets(_TAGS.sub(b" ", html))
+        text = [langid.TEMPER * sum(math.log((c[b] + 1) / n) for b in seen) for c, n in zip(counts, totals, strict=True)]
+        host = (re.search(r"://([^/?#]*)", r.url or "") or ["", ""])[1].lower()
+        said = _LANG.search(html)
+        rows.append((r.page_id, host.split(".")[-1], ".".join(host.split(".")[-2:]), host, said[1].decode().lower() if said else "", [x - sum(text) / len(text) for x in text]))
+    want = sorted(languages(rows, langs), key=repr)
+    got = sorted(((r.page_id, r.lang, r.confidence, r.host_lang) for r in langid.query(spark, data).collect()), key=repr)
+    assert len(got) == len(want) > 40
+    for one, two in zip(got, want, strict=True):
+        assert one[0] == two[0] and one[1] == two[1] and one[3] == two[3] and one[2] == pytest.approx(two[2], abs=2e-6)
+
+
+def features(text, model):
+    """Marker words that a text has, then shares of its bytes and words, as the model scales them."""
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", data)
+    lower = b" ".join(w.lower() for w in words)
+    (hashed,) = runs(pa.array([lower]), ALNUM, lower=True)
+    own = set(hashed.hashes.tolist())
+    n, k = max(len(data), 1), max(len(words), 1)
+    shares = [sum(65 <= b <= 90 for b in data) / n, sum(b in quality._SYMBOLS for b in data) / n, sum(48 <= b <= 57 for b in data) / n, data.count(b"\n") / n, *(data.count(bytes([m])) / n for m in b"!|%#$&*")]
+    shares += [sum(map(len, words)) / k / 10, len({w.lower() for w in words}) / k, math.log1p(len(words)) / 10]
+    return [float(m in own) for m in model.markers.tolist()] + [(x - m) / s for x, m, s in zip(shares, model.mean.tolist(), model.scale.tolist(), strict=True)] + [1.0]
+
+
+def test_quality_query_by_loops(spark, data):
+    """From the fitted weights and whole texts to what the query returns."""
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    models = quality.fitted(docs, labels)
+    assert models["low"] and models["toxic"] and len(models["toxic"].markers)
+    rows = []
+    for r in docs.collect():
+        odds = [max(-30.0, min(30.0, sum(a * b for a, b in zip(features(r.text, models[k]), models[k].weights.tolist(), strict=True)))) if r.text else None for k in ("low", "toxic")]
+        rows.append((r.doc_id, 0, r.source or "", r.lang or "", *odds))
+    want = {r[0]: (*low, *toxic) for r, low, toxic in zip(rows, posteriors(rows, 4), posteriors(rows, 5), strict=True)}
+    got = {r.doc_id: r for r in quality.query(spark, data).collect()}
+    assert set(got) == set(want)
+    for d, (low, low_site, toxic, toxic_site) in want.items():
+        r = got[d]
+        assert (r.low, r.low_site, r.toxic, r.toxic_site) == pytest.approx((low, low_site, toxic, toxic_site), abs=3e-6)
+        assert r.kept == (round(low, 6) < quality.THRESHOLD and round(toxic, 6) < quality.THRESHOLD)
