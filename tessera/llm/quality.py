@@ -77,18 +77,27 @@ def shape(words: Words) -> np.ndarray:
     return np.stack([share(upper), share(np.isin(data, np.frombuffer(_SYMBOLS, np.uint8))), share((data >= 48) & (data <= 57)), share(data == 10), *marks, np.bincount(row_of, length, minlength=n) / word_n / 10, distinct / word_n, np.log1p(np.diff(words.rows)) / 10], axis=1)
 
 
-def _features(words: Words, model: Model) -> np.ndarray:
-    out = np.zeros((len(words), len(model.weights)))
+def _marks(words: Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's markers, once each: rows of texts and places of markers."""
     tokens, row_of = words.hashes, np.repeat(np.arange(len(words)), np.diff(words.rows))
     maybe = model.table[tokens >> U64(64 - _BITS)]
     tokens, row_of = tokens[maybe], row_of[maybe]
     at = np.searchsorted(model.markers, tokens)
-    hit = (at < len(model.markers)) & (model.markers[np.minimum(at, len(model.markers) - 1)] == tokens) if len(model.markers) else np.zeros(len(tokens), bool)
-    out[row_of[hit], at[hit]] = 1
-    k = len(model.markers)
-    out[:, k:-1] = (shape(words) - model.mean) / model.scale
-    out[:, -1] = 1
-    return out
+    hit = np.flatnonzero(at < len(model.markers))
+    hit = hit[model.markers[at[hit]] == tokens[hit]]
+    k = max(len(model.markers), 1)
+    both = np.unique(row_of[hit] * k + at[hit])
+    return both // k, both % k
+
+
+def _scores(rows: np.ndarray, marks: np.ndarray, shapes: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The log-odds of texts: weights of their markers, of their scaled shares, and the constant. No row of all markers is made."""
+    k = len(w) - shapes.shape[1] - 1
+    return np.bincount(rows, w[:k][marks], minlength=len(shapes)) + shapes @ w[k:-1] + w[-1]
+
+
+def scores(words: Words, model: Model) -> np.ndarray:
+    return _scores(*_marks(words, model), (shape(words) - model.mean) / model.scale, model.weights)
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Model | None:
@@ -120,20 +129,48 @@ def fit(texts: list[str], labels: np.ndarray) -> Model | None:
     table[markers >> U64(64 - _BITS)] = True
     mean, scale = shapes.mean(0), shapes.std(0) + 1e-3
     model = Model(markers, np.zeros(len(markers) + shapes.shape[1] + 1), mean, scale, table)
-    del tokens, rows, seen, back
-    x = np.concatenate([_features(words, model) for words in runs(column, ALNUM, lower=True)])
-    ridge = np.full(x.shape[1], 0.1)
+    del tokens, rows, seen, back, inside, total, rate, z
+    found, first = [], 0
+    for words in runs(column, ALNUM, lower=True):
+        r, m = _marks(words, model)
+        found.append((r + first, m))
+        first += len(words)
+    rows, marks = (np.concatenate(x) for x in zip(*found, strict=True))
+    model.weights = _solved(rows, marks, (shapes - mean) / scale, len(markers), y.astype(float))
+    return model
+
+
+def _solved(rows: np.ndarray, marks: np.ndarray, shapes: np.ndarray, k: int, y: np.ndarray) -> np.ndarray:
+    """Weights of a ridge-penalized logistic model by Newton steps, each by conjugate gradients, so that memory is that of the markers that occur."""
+    n = k + shapes.shape[1] + 1
+    ridge = np.full(n, 0.1)
     ridge[-1] = 1e-6
-    w = model.weights
+    w = np.zeros(n)
+
+    def back(v: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(marks, v[rows], minlength=k), v @ shapes, [v.sum()]])
+
     for _ in range(12):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge), gradient)
+        p = 1 / (1 + np.exp(-np.clip(_scores(rows, marks, shapes, w), -30, 30)))
+        d = p * (1 - p)
+        rest = back(p - y) + ridge * w
+        scale = 1 / (np.concatenate([np.bincount(marks, d[rows], minlength=k), d @ shapes**2, [d.sum()]]) + ridge)
+        step, z = np.zeros(n), scale * rest
+        q, rho, enough = z.copy(), float(rest @ z), 1e-22 * float(rest @ (scale * rest))
+        for _ in range(10 * n + 100):
+            if rho <= enough:
+                break
+            h = back(d * _scores(rows, marks, shapes, q)) + ridge * q
+            a = rho / float(q @ h)
+            step += a * q
+            rest -= a * h
+            z = scale * rest
+            rho, before = float(rest @ z), rho
+            q = z + rho / before * q
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
-    model.weights = w
-    return model
+    return w
 
 
 def fitted(documents: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, limit_bytes: int = FIT_BYTES) -> dict[str, Model | None]:
@@ -179,7 +216,7 @@ def evidence(df: DataFrame, models: dict[str, Model | None]) -> DataFrame:
             for words in runs(batch.column(0), ALNUM, lower=True):
                 rows = batch.slice(words.first, len(words))
                 empty = np.diff(words.bytes_at) == 0
-                odds = [pa.array(np.clip(_features(words, m) @ m.weights, -30, 30), mask=empty) if (m := known[k]) else pa.nulls(len(words), pa.float64()) for k in LABELS]
+                odds = [pa.array(np.clip(scores(words, m), -30, 30), mask=empty) if (m := known[k]) else pa.nulls(len(words), pa.float64()) for k in LABELS]
                 yield pa.record_batch([*rows.columns[1:kept], *odds], [f.name for f in schema])
 
     return df.mapInArrow(judge, schema)

@@ -54,3 +54,21 @@ def test_sample_is_of_labelled_documents_that_are_there_and_has_both_values(spar
     labels = spark.createDataFrame([(i, 0 if i % 2 and i != 299 else 1, int(i == 299)) for i in range(2300)], "doc_id long, quality int, toxic int")
     models = quality.fitted(docs, labels.where("doc_id < 300 OR doc_id % 2 = 0"), 40)
     assert models["low"] is not None and models["toxic"] is not None
+
+
+def test_scores_and_weights_equal_those_of_whole_rows():
+    """Markers as pairs and conjugate gradients against dense rows and a solved matrix."""
+    rng = np.random.default_rng(3)
+    n, k = 300, 40
+    dense = (rng.random((n, k)) < 0.1).astype(float)
+    rows, marks = np.nonzero(dense)
+    shapes = rng.normal(size=(n, 3))
+    y = (dense[:, 0] + shapes[:, 0] + rng.normal(size=n) > 0.5).astype(float)
+    x = np.concatenate([dense, shapes, np.ones((n, 1))], 1)
+    ridge, w = np.full(k + 4, 0.1), np.zeros(k + 4)
+    ridge[-1] = 1e-6
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+    got = quality._solved(rows, marks, shapes, k, y)
+    assert np.allclose(got, w, atol=1e-8) and np.allclose(quality._scores(rows, marks, shapes, got), x @ w, atol=1e-7)
