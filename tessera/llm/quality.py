@@ -105,7 +105,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model | None:
     y = labels.astype(bool)
     if y.all() or not y.any():
         return None
-    rows, tokens, shapes, first = [], [], [], 0
+    seen, total, inside, shapes, first = np.empty(0, U64), np.empty(0), np.empty(0), [], 0
     column = pa.array(texts, pa.large_string())
     for words in runs(column, ALNUM, lower=True):  # twice over the texts, so that no run stays in memory
         t, r = words.hashes, np.repeat(np.arange(len(words)), np.diff(words.rows))
@@ -113,14 +113,14 @@ def fit(texts: list[str], labels: np.ndarray) -> Model | None:
         t, r = t[order], r[order]
         keep = np.ones(len(t), bool)
         keep[1:] = (t[1:] != t[:-1]) | (r[1:] != r[:-1])
-        tokens.append(t[keep])
-        rows.append(r[keep] + first)
+        own, back = np.unique(t[keep], return_inverse=True)
+        known, at = np.unique(np.concatenate([seen, own]), return_inverse=True)
+        total = np.bincount(at, np.concatenate([total, np.bincount(back, minlength=len(own))]), minlength=len(known))
+        inside = np.bincount(at, np.concatenate([inside, np.bincount(back, y[r[keep] + first], minlength=len(own))]), minlength=len(known))
+        seen = known
         shapes.append(shape(words))
         first += len(words)
-    tokens, rows, shapes = np.concatenate(tokens), np.concatenate(rows), np.concatenate(shapes)
-    seen, back = np.unique(tokens, return_inverse=True)
-    total = np.bincount(back)
-    inside = np.bincount(back, y[rows], minlength=len(seen))
+    shapes = np.concatenate(shapes)
     rate = total / len(y)
     z = (inside - y.sum() * rate) / np.sqrt(y.sum() * rate * (1 - rate) + 1e-9)
     good = np.flatnonzero((inside >= 3) & (z > 5))
@@ -129,7 +129,7 @@ def fit(texts: list[str], labels: np.ndarray) -> Model | None:
     table[markers >> U64(64 - _BITS)] = True
     mean, scale = shapes.mean(0), shapes.std(0) + 1e-3
     model = Model(markers, np.zeros(len(markers) + shapes.shape[1] + 1), mean, scale, table)
-    del tokens, rows, seen, back, inside, total, rate, z
+    del seen, total, inside, rate, z
     found, first = [], 0
     for words in runs(column, ALNUM, lower=True):
         r, m = _marks(words, model)
