@@ -7,6 +7,7 @@ import tarfile
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry
@@ -132,8 +133,15 @@ def positive_mean(spark, d):
 
 
 def _levels(spark, d):
-    """Feature levels of one channel: ROWS users each, a column for each day, the value in whole numbers; missing days are 0."""
-    e = table(spark, d, "events").groupBy((F.floor(F.col("user_id") / ROWS)).alias("image"), (F.col("user_id") % ROWS).cast("int").alias("y"), F.dayofmonth("ts").alias("x")).agg(F.floor(F.sum("value")).cast("double").alias("v"))
+    """Feature levels of one channel: ROWS users each, a column for each day, the value in whole numbers; missing days are 0.
+
+    A day's values are added in order of their events, as the SQL adds a table's rows:
+    another order may end on the other side of a whole number.
+    """
+    cell = ["image", "y", "x"]
+    e = table(spark, d, "events").select(F.floor(F.col("user_id") / ROWS).alias("image"), (F.col("user_id") % ROWS).cast("int").alias("y"), F.dayofmonth("ts").alias("x"), "event_id", "value")
+    whole = W.partitionBy(*cell).orderBy("event_id", "value").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    e = e.select(*cell, F.sum("value").over(whole).alias("v")).groupBy(*cell).agg(F.floor(F.max("v")).cast("double").alias("v"))
     # By lines first: looking up a place in a map takes as long as the map.
     lines = e.groupBy("image", "y").agg(F.map_from_entries(F.collect_list(F.struct(F.col("x") - 1, "v"))).alias("m"))
     line = F.transform(F.sequence(F.lit(0), F.lit(COLS - 1)), lambda x: F.coalesce(F.try_element_at("m", x), F.lit(0.0)))
