@@ -31,7 +31,7 @@ def events(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["boxes_detected", "detect_pyramids", "evaluate_detected"])
+@pytest.mark.parametrize("name", ["boxes_detected", "detect_pyramids", "evaluate_detected", "image_crops"])
 def test_values_are_added_in_order_of_events(name, events, spark):
     folder, con = events
     df = (chain.queries() | pixels.queries())[name](spark, folder)
