@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import io
+import itertools
 import tarfile
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,6 +24,8 @@ ROWS, COLS = 32, 31
 TEMPLATE = ((1, -2, 3), (-1, 4, 1), (2, 0, -3))
 #: Score above which a place is a candidate, side of the template cut into the covariance, largest offset.
 SCORE, SIDE, OFFSETS = 100, 5, 4
+#: Components of a piece of a model file.
+PIECE = 4096
 
 
 def _archives(spark, d):
@@ -110,20 +115,35 @@ def models_deleted(spark, d):
     return sampling.delete_by_key(own, table(spark, d, "part").where("p_size < 2").select(F.col("p_brand").alias("class")).distinct(), "class")
 
 
+def _model_pieces(spark, d):
+    """class, piece, text: the model file of each class, a component per part, its weight the part's key, in pieces of PIECE components; the first has the file's head."""
+    found = _components(spark, d, "true")
+    counts = found.groupBy(F.col("class").alias("own")).agg(F.count(F.lit(1)).alias("n"))
+    each = found.join(counts, F.col("class").eqNullSafe(F.col("own"))).select("class", F.floor(F.col("component") / PIECE).alias("piece"), "component", "part", "n")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True))
+        for (name, piece), own in itertools.groupby(rows, lambda r: r[:2]):
+            out = io.StringIO()
+            for *_, part, n in own:
+                if not piece and not out.tell():
+                    out.write(models.format_head("HOG", {"cell": "8"}, n))
+                out.write(models.format_component(models.Component([models.Part(np.full((1, 2, 1), part, np.float32), (0, 0))], -part / 4)))
+            yield pa.record_batch([pa.array([name], pa.string()), pa.array([piece], pa.int64()), pa.array([out.getvalue()], pa.string())], ["class", "piece", "text"])
+
+    return each.repartition("class", "piece").sortWithinPartitions("class", "piece", "component").mapInArrow(write, "class string, piece long, text string")
+
+
 def model_files(spark, d):
-    """Models by class written as files and read again: a component per part, its weight the part's size."""
-    kinds = _components(spark, d, "true").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("component", "part"))).alias("c"))
-
-    def through(batches):
-        for pdf in batches:
-            rows = []
-            for name, found in zip(pdf["class"], pdf["c"], strict=True):
-                made = models.Model([models.Component([models.Part(np.full((1, 2, 1), c["part"], np.float32), (0, 0))], -c["part"] / 4) for c in found], "HOG", {"cell": "8"})
-                for i, c in enumerate(models.parse_model(models.format_model(made)).components):
-                    rows.append((name, i, float(c.parts[0].weights.sum()), float(c.bias)))
-            yield pd.DataFrame(rows, columns=["class", "component", "weight", "bias"])
-
-    return kinds.mapInPandas(through, "class string, component long, weight double, bias double")
+    """Models by class written as files and read again: a component per part, its weight the part's key."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, piece, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                read = [(name, piece * PIECE + i, float(c.parts[0].weights.sum()), float(c.bias)) for i, c in enumerate(models.parse_components(text, head=piece == 0))]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*read, strict=True), (pa.string(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["class", "component", "weight", "bias"])
+
+    return _model_pieces(spark, d).mapInArrow(read, "class string, component long, weight double, bias double")
 
 
 def positive_mean(spark, d):

@@ -6,8 +6,10 @@ Files are small driver-side objects or values of a binary column; parsing is per
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,33 +43,48 @@ class Model:
 _STRING = re.compile(r"(\S+)\s+\{str\{\s*(.*?)\s*\}str\}|(\S+)\s+(\S+)")
 
 
+def _headed(text: str) -> tuple[str, dict[str, str], str]:
+    """Extractor, parameters, and the text from the number of components on."""
+    first, _, rest = text.lstrip().partition("\n")
+    if re.fullmatch(r"\s*\d+\s*", first):
+        return "HOG", {}, text
+    line, _, body = rest.partition("\n")
+    return first.strip(), {m[1] or m[3]: m[2] if m[1] else m[4] for m in _STRING.finditer(line)}, body
+
+
 def parse_model(text: str) -> Model:
     """Both versions: the second has the extractor's type and a line of parameters in front. The root's deformation is zero."""
-    extractor, parameters, body = "HOG", {}, text
-    first, _, rest = text.lstrip().partition("\n")
-    if not re.fullmatch(r"\s*\d+\s*", first):
-        extractor = first.strip()
-        line, _, body = rest.partition("\n")
-        parameters = {m[1] or m[3]: m[2] if m[1] else m[4] for m in _STRING.finditer(line)}
+    extractor, parameters, body = _headed(text)
     tokens = iter(body.split())
+    return Model([_component(tokens) for _ in range(int(next(tokens)))], extractor, parameters)
+
+
+def parse_components(text: str, head: bool = False) -> Iterator[Component]:
+    """The components of a piece of a model file, one by one; head tells that it is the first piece."""
+    tokens = (m[0] for m in re.finditer(r"\S+", _headed(text)[2] if head else text))
+    if head:
+        next(tokens)
+    for first in tokens:
+        yield _component(itertools.chain([first], tokens))
+
 
+def _component(tokens: Iterator[str]) -> Component:
     def take(kind=float, n=1):
         return [kind(next(tokens)) for _ in range(n)]
 
-    components = []
-    for _ in range(take(int)[0]):
-        (n,), (bias,) = take(int), take()
-        parts = []
-        for i in range(n):
-            rows, cols, channels, ox, oy = take(int, 5)
-            deformation = take(float, 4)
-            weights = np.array(take(float, rows * cols * channels), np.float32).reshape(rows, cols, channels)
-            parts.append(Part(weights, (ox, oy), tuple(deformation) if i else (0.0,) * 4))
-        components.append(Component(parts, bias))
-    return Model(components, extractor, parameters)
+    (n,), (bias,) = take(int), take()
+    parts = []
+    for i in range(n):
+        rows, cols, channels, ox, oy = take(int, 5)
+        deformation = take(float, 4)
+        weights = np.array(take(float, rows * cols * channels), np.float32).reshape(rows, cols, channels)
+        parts.append(Part(weights, (ox, oy), tuple(deformation) if i else (0.0,) * 4))
+    return Component(parts, bias)
 
 
-def format_model(model: Model) -> str:
+def format_head(extractor: str, parameters: dict[str, str], components: int) -> str:
+    """The lines of a model file before its components."""
+
     def value(v: str) -> str:
         try:
             float(v)
@@ -75,15 +92,21 @@ def format_model(model: Model) -> str:
         except ValueError:
             return f"{{str{{ {v} }}str}}"
 
-    out = [model.extractor, " ".join(f"{k} {value(v)}" for k, v in model.parameters.items()), str(len(model.components))]
-    for c in model.components:
-        out.append(f"{len(c.parts)} {c.bias!r}")
-        for p in c.parts:
-            out.append(" ".join(map(str, (*p.weights.shape, *p.offset, *p.deformation))))
-            out.append(" ".join(repr(float(x)) for x in p.weights.ravel()))
+    return f"{extractor}\n{' '.join(f'{k} {value(v)}' for k, v in parameters.items())}\n{components}\n"
+
+
+def format_component(c: Component) -> str:
+    out = [f"{len(c.parts)} {c.bias!r}"]
+    for p in c.parts:
+        out.append(" ".join(map(str, (*p.weights.shape, *p.offset, *p.deformation))))
+        out.append(" ".join(repr(float(x)) for x in p.weights.ravel()))
     return "\n".join(out) + "\n"
 
 
+def format_model(model: Model) -> str:
+    return format_head(model.extractor, model.parameters, len(model.components)) + "".join(map(format_component, model.components))
+
+
 def write_model(spark: SparkSession, model: Model, path: str) -> None:
     """The model as a file on any file system that Spark knows; one that is there is replaced."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
