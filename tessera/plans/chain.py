@@ -26,34 +26,51 @@ TEMPLATE = ((1, -2, 3), (-1, 4, 1), (2, 0, -3))
 SCORE, SIDE, OFFSETS = 100, 5, 4
 #: Components of a piece of a model file.
 PIECE = 4096
+#: Keys of a run of an archive's entries, and bytes of a piece of it.
+KEYS, PIECE_BYTES = 1 << 15, 4 << 20
 
 
 def _archives(spark, d):
-    """A tar archive per brand: a file per part, by key, that holds the part's name."""
-    parts = table(spark, d, "part").select("p_brand", "p_partkey", "p_name")
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as tar:
-            for key, name in sorted(zip(pdf["p_partkey"], pdf["p_name"], strict=True)):
+    """A tar archive per brand, in pieces: a file per part, by key, that holds the part's name. Pieces are of KEYS keys and about PIECE_BYTES at most; the last has the end mark."""
+    parts = table(spark, d, "part").select("p_brand", F.floor(F.col("p_partkey") / KEYS).alias("run"), "p_partkey", "p_name")
+    names = ["path", "run", "piece", "content"]
+
+    def row(path, run: int, piece: int, content: bytes) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([path], pa.string()), pa.array([run], pa.int64()), pa.array([piece], pa.int64()), pa.array([content], pa.binary())], names)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for (brand, run), own in itertools.groupby(rows, lambda r: r[:2]):
+            piece, out = 0, bytearray()
+            for _, _, key, name in own:
                 data, info = name.encode(), tarfile.TarInfo(f"part_{key}.txt")
                 info.size, info.mtime = len(data), int(key)
-                tar.addfile(info, io.BytesIO(data))
-        return pd.DataFrame({"path": [pdf["p_brand"].iloc[0]], "content": [out.getvalue()]})
+                out += info.tobuf(tarfile.USTAR_FORMAT) + data + bytes(-len(data) % archives.BLOCK)
+                if len(out) >= PIECE_BYTES:
+                    yield row(brand, run, piece, bytes(out))
+                    piece, out = piece + 1, bytearray()
+            if out:
+                yield row(brand, run, piece, bytes(out))
+
+    packed = parts.repartition("p_brand", "run").sortWithinPartitions("p_brand", "run", "p_partkey", "p_name").mapInArrow(pack, "path string, run long, piece long, content binary")
+    ends = parts.select(F.col("p_brand").cast("string").alias("path")).distinct().select("path", F.lit((1 << 63) - 1).alias("run"), F.lit(0).cast("long").alias("piece"), F.lit(bytes(2 * archives.BLOCK)).alias("content"))
+    return packed.unionByName(ends)
+
 
-    return parts.groupBy("p_brand").applyInPandas(pack, "path string, content binary")
+def _index(spark, d):
+    return archives.index(_archives(spark, d), piece=("run", "piece"))
 
 
 def tar_index(spark, d):
-    return archives.index(_archives(spark, d)).select("path", F.col("index").cast("long").alias("place"), "name", "type", "size", "mtime", F.col("offset").alias("begin"))
+    return _index(spark, d).select("path", F.col("index").cast("long").alias("place"), "name", "type", "size", "mtime", F.col("offset").alias("begin"))
 
 
 def tar_extract(spark, d):
-    return archives.extract(_archives(spark, d)).select("path", file_stem(F.col("name")).alias("stem"), F.decode("data", "UTF-8").alias("body"))
+    return archives.extract(_archives(spark, d), piece=("run", "piece")).select("path", file_stem(F.col("name")).alias("stem"), F.decode("data", "UTF-8").alias("body"))
 
 
 def tar_find(spark, d):
-    return archives.find(archives.index(_archives(spark, d)), "part_7.jpg", any_extension=True).select("path", "name", "size")
+    return archives.find(_index(spark, d), "part_7.jpg", any_extension=True).select("path", "name", "size")
 
 
 def _annotations(spark, d):
