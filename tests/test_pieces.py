@@ -22,7 +22,7 @@ def test_pieces_of_model_files_are_the_files(spark, data, same_rows, monkeypatch
     same_rows(chain.model_files, chain.oracle_sql()["model_files"])
 
 
-@pytest.mark.parametrize("name", ["tar_find", "tar_index"])
+@pytest.mark.parametrize("name", ["tar_find", "tar_index", "tar_extract"])
 def test_pieces_of_archives_are_the_archives(name, spark, data, same_rows, monkeypatch):
     monkeypatch.setattr(chain, "KEYS", 60)
     monkeypatch.setattr(chain, "PIECE_BYTES", 3000)
