@@ -172,8 +172,8 @@ def positive_mean(spark, d):
 def _levels(spark, d):
     """Feature levels of one channel: ROWS users each, a column for each day, the value in whole numbers; missing days are 0.
 
-    A day's values are added in order of their events, as the SQL adds a table's rows:
-    another order may end on the other side of a whole number.
+    A day's values are added in order of their events: another order may end on the other
+    side of a whole number. The SQL adds so on one thread, if rows are stored by event.
     """
     cell = ["image", "y", "x"]
     e = table(spark, d, "events").select(F.floor(F.col("user_id") / ROWS).alias("image"), (F.col("user_id") % ROWS).cast("int").alias("y"), F.dayofmonth("ts").alias("x"), "event_id", "value")
