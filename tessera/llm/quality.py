@@ -100,44 +100,76 @@ def scores(words: Words, model: Model) -> np.ndarray:
     return _scores(*_marks(words, model), (shape(words) - model.mean) / model.scale, model.weights)
 
 
-def fit(texts: list[str], labels: np.ndarray) -> Model | None:
-    """Markers by z-score, then a ridge-penalized logistic model by Newton steps. None if a label has one value only."""
-    y = labels.astype(bool)
-    if y.all() or not y.any():
-        return None
-    seen, total, inside, shapes, first = np.empty(0, U64), np.empty(0), np.empty(0), [], 0
-    column = pa.array(texts, pa.large_string())
-    for words in runs(column, ALNUM, lower=True):  # twice over the texts, so that no run stays in memory
-        t, r = words.hashes, np.repeat(np.arange(len(words)), np.diff(words.rows))
-        order = np.lexsort((t, r))
-        t, r = t[order], r[order]
-        keep = np.ones(len(t), bool)
-        keep[1:] = (t[1:] != t[:-1]) | (r[1:] != r[:-1])
-        own, back = np.unique(t[keep], return_inverse=True)
-        known, at = np.unique(np.concatenate([seen, own]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([total, np.bincount(back, minlength=len(own))]), minlength=len(known))
-        inside = np.bincount(at, np.concatenate([inside, np.bincount(back, y[r[keep] + first], minlength=len(own))]), minlength=len(known))
-        seen = known
-        shapes.append(shape(words))
-        first += len(words)
-    shapes = np.concatenate(shapes)
-    rate = total / len(y)
-    z = (inside - y.sum() * rate) / np.sqrt(y.sum() * rate * (1 - rate) + 1e-9)
-    good = np.flatnonzero((inside >= 3) & (z > 5))
-    markers = seen[good]
-    table = np.zeros(1 << _BITS, bool)
-    table[markers >> U64(64 - _BITS)] = True
+def _counted(sample: DataFrame) -> DataFrame:
+    """word, a hash, and of how many texts of the sample and of each label's it is. sample: row, a boolean for each label, text."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [batch.column(i).to_numpy(zero_copy_only=False).astype(bool) for i in range(1, 1 + len(LABELS))]
+            for words in runs(batch.column(1 + len(LABELS)), ALNUM, lower=True):
+                t, r = words.hashes, np.repeat(np.arange(len(words)), np.diff(words.rows))
+                order = np.lexsort((t, r))
+                t, r = t[order], r[order]
+                keep = np.ones(len(t), bool)
+                keep[1:] = (t[1:] != t[:-1]) | (r[1:] != r[:-1])
+                own, back = np.unique(t[keep], return_inverse=True)
+                sums = [np.bincount(back, y[r[keep] + words.first], minlength=len(own)).astype(np.int64) for y in told]
+                yield pa.record_batch([pa.array(x) for x in (own.view(np.int64), np.bincount(back, minlength=len(own)), *sums)], ["word", "n", *LABELS])
+
+    names = ["n", *LABELS]
+    each = sample.select("row", *LABELS, "text").mapInArrow(count, ", ".join(f"{c} long" for c in ["word", *names]))
+    return each.groupBy("word").agg(*(F.sum(c).alias(c) for c in names))
+
+
+def _marked(sample: DataFrame, models: dict[str, Model]) -> DataFrame:
+    """row, the shape of its text, and the places of its markers for each label that has a model."""
+    sent = sample.sparkSession.sparkContext.broadcast(models)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            for words in runs(batch.column(1), ALNUM, lower=True):
+                found = []
+                for m in known.values():
+                    r, at = _marks(words, m)
+                    found.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(r, np.arange(len(words) + 1)).astype(np.int32)), pa.array(at, pa.int64())))
+                forms = shape(words)
+                forms = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * forms.shape[1]), pa.array(forms.ravel()))
+                yield pa.record_batch([batch.column(0).slice(words.first, len(words)), forms, *found], ["row", "shape", *known])
+
+    return sample.select("row", "text").mapInArrow(mark, ", ".join(["row long", "shape array<double>", *(f"{k} array<bigint>" for k in models)]))
+
+
+def fit(sample: DataFrame, labels: dict[str, np.ndarray]) -> dict[str, Model | None]:
+    """Markers by z-score, then ridge-penalized logistic models by Newton steps; None for a label that has one value only.
+
+    sample: row, a boolean for each label, text; labels: those of rows 0, 1 and so on.
+    Tasks go over the texts; markers, shapes and the places of markers reach the driver.
+    """
+    models: dict[str, Model] = {}
+    asked = {k: y.astype(bool) for k, y in labels.items() if y.any() and not y.all()}
+    if not asked:
+        return dict.fromkeys(labels)
+    passed = []
+    for k, y in asked.items():
+        positive, rate = F.lit(float(y.sum())), F.col("n") / F.lit(float(len(y)))
+        z = (F.col(k) - positive * rate) / F.sqrt(positive * rate * (F.lit(1.0) - rate) + F.lit(1e-9))
+        passed.append((F.col(k) >= 3) & (z > 5))
+    found = _counted(sample).select("word", *(c.alias(k) for k, c in zip(asked, passed, strict=True))).where(" OR ".join(asked)).toArrow()
+    for k in asked:
+        markers = np.sort(found["word"].filter(found[k]).to_numpy().astype(np.int64).view(U64))
+        table = np.zeros(1 << _BITS, bool)
+        table[markers >> U64(64 - _BITS)] = True
+        models[k] = Model(markers, np.empty(0), np.empty(0), np.empty(0), table)
+    found = _marked(sample, models).toArrow().sort_by("row").combine_chunks()
+    shapes = found["shape"].combine_chunks().flatten().to_numpy().reshape(found.num_rows, -1)
     mean, scale = shapes.mean(0), shapes.std(0) + 1e-3
-    model = Model(markers, np.zeros(len(markers) + shapes.shape[1] + 1), mean, scale, table)
-    del seen, total, inside, rate, z
-    found, first = [], 0
-    for words in runs(column, ALNUM, lower=True):
-        r, m = _marks(words, model)
-        found.append((r + first, m))
-        first += len(words)
-    rows, marks = (np.concatenate(x) for x in zip(*found, strict=True))
-    model.weights = _solved(rows, marks, (shapes - mean) / scale, len(markers), y.astype(float))
-    return model
+    for k, m in models.items():
+        places = found[k].combine_chunks()
+        rows = np.repeat(np.arange(found.num_rows), places.value_lengths().to_numpy())
+        m.mean, m.scale = mean, scale
+        m.weights = _solved(rows, places.flatten().to_numpy(), (shapes - mean) / scale, len(m.markers), asked[k].astype(float))
+    return {k: models.get(k) for k in labels}
 
 
 def _solved(rows: np.ndarray, marks: np.ndarray, shapes: np.ndarray, k: int, y: np.ndarray) -> np.ndarray:
@@ -174,7 +206,7 @@ def _solved(rows: np.ndarray, marks: np.ndarray, shapes: np.ndarray, k: int, y:
 
 
 def fitted(documents: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, limit_bytes: int = FIT_BYTES) -> dict[str, Model | None]:
-    """A model per label, from labelled documents that are there: `limit` rows and `limit_bytes` of text at most, which reach the driver.
+    """A model per label, from labelled documents that are there: `limit` rows and `limit_bytes` of text at most.
 
     Those of the least hash, but of each value of a label a twentieth of `limit` at least,
     if there are so many. Of documents with the same id, the text of the least hash counts.
@@ -196,12 +228,15 @@ def fitted(documents: DataFrame, labels: DataFrame, limit: int = FIT_ROWS, limit
         if used + r.bytes <= limit_bytes:
             used += r.bytes
             chosen.append((r.doc_id, r.low, r.toxic))
+    if not chosen:
+        return dict.fromkeys(LABELS)
     # One text of each id, by partial aggregates: an id that repeats is bounded too.
-    ids = documents.sparkSession.createDataFrame(chosen, "doc_id long, low boolean, toxic boolean")
-    found = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "low", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = found.toArrow().sort_by([(c, "ascending") for c in ("doc_id", "low", "toxic", "text")])
-    texts = rows["text"].fill_null("").to_pylist()
-    return {k: fit(texts, rows[k].to_numpy().astype(bool)) if texts else None for k in LABELS}
+    chosen.sort()
+    ids = documents.sparkSession.createDataFrame([(*x, i) for i, x in enumerate(chosen)], "doc_id long, low boolean, toxic boolean, row long")
+    found = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("row", *LABELS).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    with scratch(documents.sparkSession):
+        sample, _ = stash(found)
+        return fit(sample, {k: np.array([x[i] for x in chosen]) for i, k in enumerate(LABELS, 1)})
 
 
 def evidence(df: DataFrame, models: dict[str, Model | None]) -> DataFrame:

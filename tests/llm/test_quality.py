@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import quality
 
@@ -72,3 +75,18 @@ def test_scores_and_weights_equal_those_of_whole_rows():
         w -= np.linalg.solve((x.T * (p * (1 - p))) @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
     got = quality._solved(rows, marks, shapes, k, y)
     assert np.allclose(got, w, atol=1e-8) and np.allclose(quality._scores(rows, marks, shapes, got), x @ w, atol=1e-7)
+
+
+def test_texts_of_the_fit_stay_off_the_driver(spark):
+    """12 MB of labelled texts are counted and marked in tasks; the driver's Python holds markers, shapes and places only."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(1500)), lambda x: F.concat(F.lit("word"), F.col("doc_id") * 1500 + x))
+    docs = spark.range(800).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.when(F.col("id") % 2 == 0, "mark"), words).alias("text"))
+    labels = spark.range(800).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    assert docs.agg(F.sum(F.length("text"))).first()[0] > 10 << 20
+    tracemalloc.start()
+    try:
+        models = quality.fitted(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert models["toxic"] is None and len(models["low"].markers) == 1 and peak < 8 << 20
