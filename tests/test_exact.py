@@ -27,7 +27,7 @@ def copies(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["evaluate_detected"])
+@pytest.mark.parametrize("name", ["evaluate_detected", "image_crops"])
 def test_rows_are_those_of_the_sql_on_all_threads(name, copies, spark):
     folder, con = copies
     df = (chain.queries() | pixels.queries())[name](spark, folder)
