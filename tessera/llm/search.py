@@ -89,6 +89,10 @@ def _shard(words: Words, n_docs: int, total: int) -> tuple[np.ndarray, ...]:
 
 
 INDEX = "doc_ids array<bigint>, terms array<bigint>, begins array<int>, docs array<int>, impacts array<int>"
+#: A row group is one shard. Parquet's writer else looks at its size only after 100 rows, and Spark's reader makes arrays of a whole row group (up to 4096 rows) at once.
+ALONE = {"parquet.block.row.count.limit": "1"}
+#: Documents are read without Parquet's vectored reads, with which the JVM's memory outside its heap grows with the row groups.
+IN_TURN = {"parquet.hadoop.vectored.io.enabled": "false"}
 
 
 def _one(values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -110,7 +114,7 @@ def build_index(df: DataFrame, key: str = "doc_id", text: str = "text", shard_by
                     ["doc_ids", "terms", "begins", "docs", "impacts"],
                 )
 
-    out, path = stash(docs.mapInArrow(index, INDEX))
+    out, path = stash(docs.mapInArrow(index, INDEX), ALONE)
     return out, n_docs, path
 
 
@@ -268,7 +272,7 @@ def _merged(rows: DataFrame, top: int) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     with scratch(spark) as kept:
-        index, n_docs, path = build_index(read(spark, sf_dir, "documents"))
+        index, n_docs, path = build_index(read(spark, sf_dir, "documents", IN_TURN))
         out, at = stash(search(index, n_docs, read(spark, sf_dir, "benchmark")))
         kept.append(at)
         drop(spark, path)

@@ -1,7 +1,9 @@
 import math
 from collections import Counter
+from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tessera.llm import search
@@ -64,6 +66,14 @@ def test_ties_across_shards_go_by_id(spark):
         assert got == brute(rows, items, 4) and [r[2] for r in got] == [0, 1, 2, 3] * 2
 
 
+def test_a_row_group_of_the_index_is_one_shard(odd):
+    """However many shards a task writes: a reader makes arrays of a whole row group at once."""
+    index, _, _ = search.build_index(odd.coalesce(1), shard_bytes=1)
+    files = [pq.read_metadata(urlparse(f).path) for f in index.inputFiles()]
+    rows = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert len(files) == 1 and rows == [1] * index.count() and len(rows) > 9
+
+
 def test_empty_tables(spark, odd, empty):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert ranked(empty, items) == [] and ranked(odd, items.limit(0)) == []
